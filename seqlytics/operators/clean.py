@@ -176,10 +176,16 @@ def require(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def dates_to_epoch(df: DataFrame) -> DataFrame:
-    """Dates and timestamps become nanoseconds since 1970."""
-    return df.withColumns(
-        {c: F.unix_micros(F.col(c).cast("timestamp")) * F.lit(1000) for c in date_columns(df)}
-    )
+    """Dates and timestamps become nanoseconds since 1970; one without a zone counts as UTC."""
+    zoned = _of_type(df, T.TimestampType)
+    start = F.lit("1970-01-01").cast("timestamp_ntz")
+
+    def micros(c: str) -> Column:
+        if c in zoned:
+            return F.unix_micros(c)
+        return F.timestamp_diff("MICROSECOND", start, F.col(c).cast("timestamp_ntz"))
+
+    return df.withColumns({c: micros(c) * F.lit(1000) for c in date_columns(df)})
 
 
 def drop_dates(df: DataFrame) -> DataFrame:

@@ -296,7 +296,8 @@ def propagate(
             .withColumn(
                 "mass",
                 F.coalesce("in", F.lit(0.0))
-                + (F.col("_total") - F.coalesce("lost", F.lit(0.0))) / F.lit(float(max(size - 1, 1))),
+                + (F.col("_total") - F.coalesce("lost", F.lit(0.0)) if size > 1 else F.col("_total"))
+                / F.lit(float(max(size - 1, 1))),
             )
         )
         mass = checkpoint(new.select(*ids, "state", "mass"))
