@@ -255,15 +255,10 @@ def mutual_info(df: DataFrame, cols: Sequence[str], y: str, bins: int = 10, k: i
     )
     cuts = {f"q{i}": i / bins for i in range(1, bins)}
     edges = quantiles(long_form(df.where(F.col(y).isNotNull()), cols), ["name"], "value", cuts)
-    # One row per column: the cut points travel as a single scalar map.
-    table = edges.agg(
-        F.map_from_entries(F.collect_list(F.struct("name", F.array(*cuts)))).alias("m")
-    ).scalar()
-    cut = F.try_element_at(table, F.col("name"))
-    bin_of = F.aggregate(
-        cut, F.lit(0), lambda acc, e: acc + F.when(F.col("value") > e, F.lit(1)).otherwise(F.lit(0))
-    )
-    joint = cells.withColumn("bin", bin_of).groupBy("name", "bin", "_y").agg(F.sum("c").alias("c"))
+    # one row per column, so the cut points may be broadcast
+    cut = edges.select("name", F.array(*cuts).alias("_cuts"))
+    bin_of = F.size(F.filter("_cuts", lambda e: F.col("value") > e))
+    joint = cells.join(F.broadcast(cut), "name").withColumn("bin", bin_of).groupBy("name", "bin", "_y").agg(F.sum("c").alias("c"))
     # bins x classes rows per feature from here on
     by = Window.partitionBy
     n = F.sum("c").over(by("name"))

@@ -8,6 +8,7 @@ checkpoint folder, so the plan does not grow with the number of rounds.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from copy import copy
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -15,7 +16,16 @@ from pyspark.sql.window import Window
 from seqlytics.functions.expressions import argbest, is_terminal, reward_of
 from seqlytics.session import checkpoint
 
-ROUNDS_PER_JOB = 4
+ROUNDS_PER_JOB = 6
+# A written table with at most this many rows is worked on in one partition:
+# every join and aggregation of a round then runs without a shuffle.
+SMALL = 200_000
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` cut from its plan; a small one in a single partition."""
+    df = checkpoint(df)
+    return df.coalesce(1) if df.count() <= SMALL else df
 
 
 # --- transition model ------------------------------------------------------
@@ -28,9 +38,12 @@ def transitions(
     next_state: str = "next_state",
     alpha: float | None = None,
     support: str = "observed",
+    weight: str | None = None,
 ) -> DataFrame:
     """(state, action, next_state, n, p) over the observed next states.
 
+    ``weight`` names a column of row counts where the rows are counted already.
+
     With ``alpha`` p is (n + alpha) / (total + alpha * N). N counts the next
     states seen in the group, or with ``support="all"`` those of the whole model.
     The unseen ones of a group are not written out one by one: ``p_other`` is
@@ -38,7 +51,7 @@ def transitions(
     """
     counts = df.groupBy(
         F.col(state).alias("state"), F.col(action).alias("action"), F.col(next_state).alias("next_state")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    ).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
     if alpha is None:
         sums = counts.groupBy("state", "action").agg(F.sum("n").alias("_total"))
         return counts.join(sums, ["state", "action"]).select(
@@ -64,37 +77,53 @@ def with_reward(model: DataFrame) -> DataFrame:
 # --- values and policies ---------------------------------------------------
 
 
-class _Model:
-    """Transition model split once: the fixed reward per (state, action), and the moves between states."""
+class Model:
+    """A transition model made ready for solving: one table (state, action, p, reward, to).
+
+    Build it once and pass it to the functions below in place of the DataFrame
+    to solve and read off the policy without writing the table again.
 
-    def __init__(self, model: DataFrame, gamma: float, degree: int):
+    ``to`` is the next state, and a name of its own for every terminal row: it
+    meets no value, and a terminal state that ends most groups is no hot key.
+    """
+
+    def __init__(self, model: DataFrame, gamma: float = 0.9, degree: int = 1):
         self.gamma, self.degree = gamma, degree
-        t = checkpoint(model.select("state", "action", "next_state", "p"))
-        self.base = t.groupBy("state", "action").agg(
-            F.sum(F.col("p") * reward_of(F.col("next_state"))).alias("base")
+        end = is_terminal(F.col("next_state"))
+        self.t = _written(
+            model.select(
+                "state",
+                "action",
+                "p",
+                reward_of(F.col("next_state")).alias("reward"),
+                F.when(end, F.concat_ws("|", F.lit("terminal"), "state", "action")).otherwise(F.col("next_state")).alias("to"),
+            )
         )
-        self.moves = t.where(~is_terminal(F.col("next_state")))
-        self.states = t.select("state").distinct()
+        self.one_task = self.t.rdd.getNumPartitions() == 1
+        self.states = self.t.select("state").distinct()
 
     def q(self, v: DataFrame) -> DataFrame:
         """(state, action, q); a next state without a value counts 0."""
-        ahead = (
-            self.moves.join(v.select(F.col("state").alias("next_state"), "v"), "next_state")
-            .groupBy("state", "action")
-            .agg(F.sum(F.col("p") * F.col("v")).alias("ahead"))
-        )
-        value = F.col("base") + F.lit(self.gamma) * F.coalesce("ahead", F.lit(0.0))
+        ahead = v.select(F.col("state").alias("to"), "v")
+        if self.one_task:
+            # both sides sit in the same partition: a merge join needs no exchange
+            ahead = ahead.hint("merge")
+        value = F.sum(F.col("p") * (F.col("reward") + F.lit(self.gamma) * F.coalesce("v", F.lit(0.0))))
         if self.degree > 1:
             value = F.pow(value, F.lit(float(self.degree)))
-        return self.base.join(ahead, ["state", "action"], "left").select("state", "action", value.alias("q"))
+        return self.t.join(ahead, "to", "left").groupBy("state", "action").agg(value.alias("q"))
 
     def zero(self) -> DataFrame:
         return self.states.withColumn("v", F.lit(0.0))
 
 
+def _ready(model: DataFrame | Model, gamma: float, degree: int) -> Model:
+    return model if isinstance(model, Model) else Model(model, gamma, degree)
+
+
 def _iterate(start: DataFrame, step, theta: float, max_iter: int) -> DataFrame:
     """Apply ``step`` until the largest change of v is below ``theta``."""
-    v, done = checkpoint(start), 0
+    v, done = start, 0
     while done < max_iter:
         rounds = min(ROUNDS_PER_JOB, max_iter - done)
         last = v
@@ -104,27 +133,27 @@ def _iterate(start: DataFrame, step, theta: float, max_iter: int) -> DataFrame:
         done += rounds
         if theta > 0:
             new = new.join(last.withColumnRenamed("v", "_was"), "state", "left")
-            new = checkpoint(new)
+            new = _written(new)
             change = new.agg(F.max(F.abs(F.col("v") - F.coalesce("_was", F.lit(0.0))))).first()[0]
             v = new.drop("_was")
             if change is None or change < theta:
                 break
         else:
-            v = checkpoint(new)
+            v = _written(new)
     return v
 
 
 def value_iteration(
-    model: DataFrame, gamma: float = 0.9, theta: float = 1e-4, max_iter: int = 1000, degree: int = 1
+    model: DataFrame | Model, gamma: float = 0.9, theta: float = 1e-4, max_iter: int = 1000, degree: int = 1
 ) -> DataFrame:
     """(state, v): all states updated together each round; ``theta=0`` runs exactly ``max_iter`` rounds."""
-    m = _Model(model, gamma, degree)
+    m = _ready(model, gamma, degree)
     return _iterate(m.zero(), lambda v: m.q(v).groupBy("state").agg(F.max("q").alias("v")), theta, max_iter)
 
 
-def q_values(model: DataFrame, values: DataFrame, gamma: float = 0.9, degree: int = 1) -> DataFrame:
+def q_values(model: DataFrame | Model, values: DataFrame, gamma: float = 0.9, degree: int = 1) -> DataFrame:
     """(state, action, q)."""
-    return _Model(model, gamma, degree).q(values)
+    return _ready(model, gamma, degree).q(values)
 
 
 def _best(q: DataFrame) -> DataFrame:
@@ -132,7 +161,7 @@ def _best(q: DataFrame) -> DataFrame:
 
 
 def greedy_policy(
-    model: DataFrame,
+    model: DataFrame | Model,
     values: DataFrame,
     gamma: float = 0.9,
     degree: int = 1,
@@ -145,22 +174,23 @@ def greedy_policy(
     get ``fallback``, or the first action of the model. With an empty model every
     listed state gets ``fallback``.
     """
-    best = _best(q_values(model, values, gamma, degree))
+    m = _ready(model, gamma, degree)
+    best = _best(m.q(values))
     if states is None:
         return best
-    first = F.lit(fallback) if fallback is not None else model.agg(F.min("action")).scalar()
+    first = F.lit(fallback) if fallback is not None else m.t.agg(F.min("action")).scalar()
     return states.select("state").distinct().join(best, "state", "left").withColumn("action", F.coalesce("action", first))
 
 
 def policy_iteration(
-    model: DataFrame, gamma: float = 0.9, theta: float = 1e-4, max_iter: int = 1000, degree: int = 1
+    model: DataFrame | Model, gamma: float = 0.9, theta: float = 1e-4, max_iter: int = 1000, degree: int = 1
 ) -> DataFrame:
     """(state, action, v): evaluate the policy, improve it, until it is stable."""
-    m = _Model(model, gamma, degree)
-    plain = _Model.__new__(_Model)
-    plain.__dict__.update(m.__dict__, degree=1)
+    m = _ready(model, gamma, degree)
+    plain = copy(m)
+    plain.degree = 1  # a fixed policy is evaluated with plain values
     # the first action that a state has, in name order
-    policy = checkpoint(m.base.groupBy("state").agg(F.min("action").alias("action")))
+    policy = _written(m.t.groupBy("state").agg(F.min("action").alias("action")))
     v = m.zero()
     for _ in range(max_iter):
         def follow(values: DataFrame, policy: DataFrame = policy) -> DataFrame:
@@ -168,7 +198,7 @@ def policy_iteration(
             return chosen.select("state", F.col("q").alias("v"))
 
         v = _iterate(v, follow, theta, max_iter)
-        better = checkpoint(_best(m.q(v)).select("state", "action"))
+        better = _written(_best(m.q(v)).select("state", "action"))
         moved = better.join(policy.withColumnRenamed("action", "_old"), "state").where(F.col("action") != F.col("_old"))
         policy = better
         if moved.isEmpty():
@@ -253,7 +283,7 @@ def propagate(
 ) -> tuple[DataFrame, DataFrame]:
     """Expected state and action mix over ``n`` steps.
 
-    ``start`` is (ids, state, mass), ``actions`` (on, state, action, p), where
+    ``start`` is (ids, state, mass) with states of the model, ``actions`` (on, state, action, p), where
     ``on`` are those of the ids the action mix depends on. Returns (ids, step,
     state, mass) before each step and (ids, step, action, p). Mass that ends, or
     has no transition, spreads evenly over the other states of the model. That
@@ -261,46 +291,40 @@ def propagate(
     (a start state, an entity), not from rows.
     """
     ids, on = list(ids), list(on)
-    model = checkpoint(model.select("state", "action", "next_state", "p"))
-    actions = checkpoint(actions.select(*on, "state", "action", "p"))
+    model = _written(model.select("state", "action", "next_state", "p"))
+    actions = _written(actions.select(*on, "state", "action", "p"))
     space = model.select("state").distinct()
     size = space.count()
     every = space.agg(F.collect_set("state")).scalar()
     known = model.join(space.select(F.col("state").alias("next_state")), "next_state", "left_semi")
 
-    mass = checkpoint(start.select(*ids, "state", "mass"))
+    grid = start.groupBy(*ids).agg(F.lit(0.0).alias("mass")).withColumn("state", F.explode(every))
+    mass = start.select(*ids, "state", "mass").unionByName(grid.select(*ids, "state", "mass"))
+    mass = _written(mass.groupBy(*ids, "state").agg(F.sum("mass").alias("mass")))
     states, mixes = [], []
     for step in range(1, n + 1):
-        states.append(mass.withColumn("step", F.lit(step)))
+        states.append(mass.where(F.col("mass") > 0).withColumn("step", F.lit(step)))
         played = mass.join(actions, [*on, "state"]).select(
             *ids, "state", "action", (F.col("mass") * F.col("p")).alias("m")
         )
         mixes.append(played.groupBy(*ids, "action").agg(F.sum("m").alias("p")).withColumn("step", F.lit(step)))
         if step == n:
             break
-        moved = played.join(known, ["state", "action"]).withColumn("m", F.col("m") * F.col("p"))
-        arrived = moved.groupBy(*ids, F.col("next_state").alias("state")).agg(F.sum("m").alias("in"))
-        left = moved.groupBy(*ids, "state").agg(F.sum("m").alias("_left"))
-        lost = mass.join(left, [*ids, "state"], "left").withColumn(
-            "lost", F.col("mass") - F.coalesce("_left", F.lit(0.0))
-        )
-        # evenly to the others: everybody gets the id's total, less the own share
-        even = (
-            lost.groupBy(*ids)
-            .agg(F.sum("lost").alias("_total"))
-            .withColumn("state", F.explode(every))
+        # every move leaves one state and reaches another
+        m, none = F.col("m") * F.col("p"), F.lit(0.0)
+        ends = F.array(
+            F.struct(F.col("state"), none.alias("mass"), m.alias("left"), none.alias("in")),
+            F.struct(F.col("next_state").alias("state"), none.alias("mass"), none.alias("left"), m.alias("in")),
         )
-        new = (
-            even.join(lost.select(*ids, "state", "lost"), [*ids, "state"], "left")
-            .join(arrived, [*ids, "state"], "left")
-            .withColumn(
-                "mass",
-                F.coalesce("in", F.lit(0.0))
-                + (F.col("_total") - F.coalesce("lost", F.lit(0.0)) if size > 1 else F.col("_total"))
-                / F.lit(float(max(size - 1, 1))),
-            )
-        )
-        mass = checkpoint(new.select(*ids, "state", "mass"))
+        moved = played.join(known, ["state", "action"]).select(*ids, F.explode(ends).alias("e")).select(*ids, "e.*")
+        flows = mass.select(*ids, "state", "mass", none.alias("left"), none.alias("in")).unionByName(moved)
+        sums = flows.groupBy(*ids, "state").agg(*[F.sum(c).alias(c) for c in ("mass", "left", "in")])
+        # evenly to the others: everybody gets the id's loss, less the own share
+        lost = F.col("mass") - F.col("left")
+        whole = F.sum(lost).over(Window.partitionBy(*ids))
+        even = (whole - lost) / F.lit(float(size - 1)) if size > 1 else lost
+        mass = _written(sums.select(*ids, "state", (F.col("in") + even).alias("mass")))
+
     def stacked(parts: list[DataFrame], cols: Sequence[str]) -> DataFrame:
         out = parts[0]
         for part in parts[1:]:

@@ -64,9 +64,11 @@ def rollup_sequences(
     parts = placed.groupBy(*keys, "part").agg(
         F.sort_array(F.collect_list(F.struct("_at", *lists))).alias("_items")
     )
+    lists_ = [F.col("_items").getField(c).alias(c) for c in lists]
+    if not sums:
+        return parts.select(*keys, "part", *lists_)
     whole = df.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums])
-    columns = [F.transform("_items", lambda s, c=c: s[c]).alias(c) for c in lists]
-    return parts.join(whole, keys).select(*keys, "part", *columns, *sums)
+    return parts.join(whole, keys).select(*keys, "part", *lists_, *sums)
 
 
 def last_of(col: str) -> Column:

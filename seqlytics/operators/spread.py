@@ -178,9 +178,10 @@ def ranked_values(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
     and including it, and the rows of the group. Nulls are left out.
 
     Equal values are counted before the shuffle, so a value that fills the table
-    costs one row per map task.
+    costs one row per map task. The counts are written down, since both the size
+    check and the ranking read them.
     """
-    counts = (
+    counts = checkpoint(
         df.where(F.col(col).isNotNull())
         .groupBy(*keys, col)
         .agg(F.count(F.lit(1)).alias("n"))

@@ -94,7 +94,7 @@ def feature_stage(spark, d):
 _FEATURES = """
   avg(rel_speed) AS avg_pitch_speed, avg(spin_rate) AS avg_spin_rate, avg(plate_height) AS avg_platelocheight,
   count(*) FILTER (pitch_call = 'Strike') / count(*) AS strike_percentage,
-  count(*) FILTER (pitch_call = 'Ball') / count(*) AS ball_percentage, sum(outs_on_play) AS outs_created,
+  count(*) FILTER (pitch_call = 'Ball') / count(*) AS ball_percentage, CAST(sum(outs_on_play) AS BIGINT) AS outs_created,
   count(DISTINCT pitch_type) AS pitch_type_diversity, max(rel_speed) AS max_effective_velocity,
   avg(speed_drop) AS avg_velocity_drop,
   count(*) FILTER (regexp_matches(pitch_type, 'LARGE|MEDIUM')) / count(*) AS breaking_ball_ratio,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("cleaning", "grouped")
+AREAS = ("cleaning", "grouped", "encoding", "chains", "scored", "fitted", "reported")
 
 
 def all_queries() -> dict:
