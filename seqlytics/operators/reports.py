@@ -162,7 +162,9 @@ def hist2d(df: DataFrame, x: str, y: str, bins: int = 30) -> DataFrame:
     ).scalar()
     def bin_of(c: str) -> Column:
         width = F.nullif((ends[f"hi_{c}"] - ends[f"lo_{c}"]) / bins, F.lit(0.0))
-        return F.coalesce(F.least(F.floor((F.col(c) - ends[f"lo_{c}"]) / width), F.lit(bins - 1)), F.lit(0)).cast("int")
+        cell = F.coalesce(F.floor((F.col(c) - ends[f"lo_{c}"]) / width), F.lit(0))
+        return F.least(cell, F.lit(bins - 1)).cast("int")
+
     return known.groupBy(bin_of(x).alias("x_bin"), bin_of(y).alias("y_bin")).agg(F.count(F.lit(1)).alias("n"))
 
 

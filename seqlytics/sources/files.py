@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -106,10 +107,14 @@ def newest(names: DataFrame, name: str, prefix: str, by: Sequence[str] = ()) ->
 def latest_version(spark: SparkSession, folder: str, prefix: str) -> str | None:
     """Path of the newest version below ``folder``; None without any."""
     folder = folder.rstrip("/")
-    listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
-    )  # only paths are read, no content
+    try:
+        listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
     name = F.regexp_extract("path", f"/({prefix}[^/]*)(/|$)", 1)
+    # only the paths are read, no content
     versions = listing.select(name.alias("name"), F.lit(prefix).alias("prefix")).where(F.col("name") != "").distinct()
     found = newest(versions, "name", "prefix").first()
     return f"{folder}/{found[0]}" if found and found[0] else None
