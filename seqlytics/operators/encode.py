@@ -13,7 +13,8 @@ from pyspark.sql.window import Window
 
 from seqlytics.functions.expressions import argbest
 from seqlytics.operators.clean import numeric_columns, string_columns
-from seqlytics.operators.spread import Spec, over, position, quantiles
+from seqlytics.operators.spread import over, position, quantiles, quantiles_of
+from seqlytics.session import checkpoint
 
 MISSING = "Missing"
 UNKNOWN = "Unknown"
@@ -247,14 +248,15 @@ def mutual_info(df: DataFrame, cols: Sequence[str], y: str, bins: int = 10, k: i
     Columns are cut at their exact quantiles. Rows are counted per (feature,
     value, class) before anything else, so the later steps see distinct values.
     """
-    cells = (
+    cells = checkpoint(
         long_form(df.withColumn("_y", F.col(y).cast("string")), cols, ids=["_y"])
         .where(F.col("value").isNotNull() & F.col("_y").isNotNull())
         .groupBy("name", "value", "_y")
         .agg(F.count(F.lit(1)).alias("c"))
     )
     cuts = {f"q{i}": i / bins for i in range(1, bins)}
-    edges = quantiles(long_form(df.where(F.col(y).isNotNull()), cols), ["name"], "value", cuts)
+    counts = cells.groupBy("name", "value").agg(F.sum("c").alias("n"))
+    edges = quantiles_of(counts, ["name"], "value", cuts)
     # one row per column, so the cut points may be broadcast
     cut = edges.select("name", F.array(*cuts).alias("_cuts"))
     bin_of = F.size(F.filter("_cuts", lambda e: F.col("value") > e))

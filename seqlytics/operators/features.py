@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqlytics.functions.expressions import matches, share, smoothed
-from seqlytics.operators.spread import over, previous, ranked_values, value_at
+from seqlytics.operators.spread import counted, over, previous, ranked, value_at
 from seqlytics.roles import Roles
 
 
@@ -80,20 +80,26 @@ def grouped(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataF
     return _known(df, keys).groupBy(*keys).agg(*aggs)
 
 
-def action_entropy(df: DataFrame, keys: Sequence[str], action: str, out: str = "entropy") -> DataFrame:
-    """Shannon entropy (nats) of the action mix per group, nulls left out; 0 if all are null.
+def action_mix(df: DataFrame, keys: Sequence[str], action: str, entropy: str = "entropy", kinds: str = "kinds") -> DataFrame:
+    """Shannon entropy (nats) of the action mix and the number of actions per group.
 
-    Counting per (group, action) first leaves at most one row per action for the
-    second level, whatever the size of the group.
+    Nulls are left out of both; a group of nulls gives 0 and 0. Counting per
+    (group, action) first leaves at most one row per action for the second level,
+    whatever the size of the group, and saves a distinct count its own shuffle.
     """
     counts = _known(df, keys).groupBy(*keys, action).agg(F.count(F.lit(1)).alias("_c"))
     c = F.when(F.col(action).isNotNull(), F.col("_c"))
     n = F.sum(c)
     return counts.groupBy(*keys).agg(
-        F.coalesce(F.greatest(F.ln(n) - F.sum(c * F.ln(c)) / n, F.lit(0.0)), F.lit(0.0)).alias(out)
+        F.coalesce(F.greatest(F.ln(n) - F.sum(c * F.ln(c)) / n, F.lit(0.0)), F.lit(0.0)).alias(entropy),
+        F.count(action).alias(kinds),
     )
 
 
+def action_entropy(df: DataFrame, keys: Sequence[str], action: str, out: str = "entropy") -> DataFrame:
+    return action_mix(df, keys, action, out, "_kinds").drop("_kinds")
+
+
 def below_median_share(df: DataFrame, keys: Sequence[str], col: str, out: str = "below_median") -> DataFrame:
     """Share of the group's rows strictly below its exact median.
 
@@ -101,10 +107,9 @@ def below_median_share(df: DataFrame, keys: Sequence[str], col: str, out: str =
     middle values equal it is the rows before that value, else the rows up to
     the lower one. Rows with a null count in the denominator only.
     """
-    rows = _known(df, keys)
-    ranked = ranked_values(rows, keys, col)
+    counts = counted(_known(df, keys), keys, col)
     low, high = F.floor((F.col("size") - 1) / 2), F.floor(F.col("size") / 2)
-    middle = ranked.groupBy(*keys).agg(
+    middle = ranked(counts, keys, col).groupBy(*keys).agg(
         value_at(col, low).alias("_lo"),
         value_at(col, high).alias("_hi"),
         F.min(F.when(F.col("upto") > low, F.col("upto"))).alias("_upto"),
@@ -113,7 +118,7 @@ def below_median_share(df: DataFrame, keys: Sequence[str], col: str, out: str =
     below = middle.select(
         *keys, F.when(F.col("_lo") == F.col("_hi"), F.col("_before")).otherwise(F.col("_upto")).alias("_below")
     )
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = counts.groupBy(*keys).agg(F.sum("n").alias("_rows"))
     return sizes.join(below, list(keys), "left").select(
         *keys, (F.coalesce(F.col("_below"), F.lit(0)) / F.col("_rows")).alias(out)
     )
@@ -175,8 +180,8 @@ def basic_aggregates(r: Roles) -> list[Column]:
 
 
 def advanced_aggregates(r: Roles) -> list[Column]:
+    """All but the action mix and the median share, which need a level of their own."""
     return [
-        diversity(r.action).alias("pitch_type_diversity"),
         max_of(r.velocity).alias("max_effective_velocity"),
         F.avg(r.drop).alias("avg_velocity_drop"),
         pattern_ratio(r.action, r.breaking).alias("breaking_ball_ratio"),
@@ -190,13 +195,13 @@ def advanced_aggregates(r: Roles) -> list[Column]:
 def feature_table(df: DataFrame, r: Roles) -> DataFrame:
     """Basic and advanced features, one row per group.
 
-    One aggregation carries everything that a single pass can; the entropy and
+    One aggregation carries everything that a single pass can; the action mix and
     the median share need their own level and meet it on the same keys, so the
     joins add no shuffle.
     """
     keys = list(r.group)
     flat = grouped(df, keys, [*basic_aggregates(r), *advanced_aggregates(r)])
-    mix = action_entropy(df, keys, r.action, "pitch_sequencing_entropy")
+    mix = action_mix(df, keys, r.action, "pitch_sequencing_entropy", "pitch_type_diversity")
     zone = below_median_share(df, keys, r.height, "pitch_zonal_targeting")
     return flat.join(mix, keys).join(zone, keys)
 
@@ -214,14 +219,21 @@ def more_features(df: DataFrame, r: Roles, speed: str | None = None) -> DataFram
         df,
         keys,
         [
-            action_variance(r.action).alias("pitch_type_variance"),
+            F.count(F.lit(1)).alias("_rows"),
             std_of(speed).alias("speed_consistency"),
             pattern_pair_ratio(r.action, r.breaking, r.fast).alias("breaking_vs_fastball_ratio"),
             F.avg(r.horizontal).alias("avg_horizontal_movement"),
             F.avg(r.vertical).alias("avg_vertical_movement"),
             zero_share(r.balls).alias("pitcher_aggressiveness"),
         ],
-    ).join(mean_diff(df, keys, speed, r.order, "change_in_speed_per_pitch"), keys)
+    )
+    mix = action_mix(df, keys, r.action, "_entropy", "_kinds")
+    level = (
+        level.join(mix, keys)
+        .join(mean_diff(df, keys, speed, r.order, "change_in_speed_per_pitch"), keys)
+        .withColumn("pitch_type_variance", F.col("_kinds") / F.col("_rows"))
+        .drop("_rows", "_kinds", "_entropy")
+    )
     pair = [r.entity_a, r.entity_b]
     rates = smoothed_rate(
         df, pair, r.result, {"hit_probability": r.hit_event, "strikeout_likelihood": r.out_event}

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqlytics.functions.expressions import share
-from seqlytics.operators.spread import over, position, quantiles, spread_join
+from seqlytics.operators.spread import counted, over, position, quantiles_of, spread_join
 
 # Result names.
 RESULT_FLAGS = ("Strikeout", "Walk")
@@ -171,8 +171,8 @@ def hist2d(df: DataFrame, x: str, y: str, bins: int = 30) -> DataFrame:
 def box_stats(df: DataFrame, group: Sequence[str], x: str) -> DataFrame:
     """(group, q1, median, q3, low, high, outliers, n): quartiles, 1.5 IQR whiskers, rows beyond them."""
     keys = list(group)
-    counts = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("n"))
-    box = quantiles(df, keys, x, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    counts = counted(df.where(F.col(x).isNotNull()), keys, x)
+    box = quantiles_of(counts, keys, x, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = (F.col("q3") - F.col("q1")) * F.lit(1.5)
     v = F.col(x)
     inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)

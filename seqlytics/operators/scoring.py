@@ -11,6 +11,7 @@ from seqlytics.functions.expressions import argbest, percent, smoothed
 from seqlytics.operators.clean import dates_to_epoch, numeric_columns, require, string_columns
 from seqlytics.operators.encode import impute_const, impute_median, label_encode
 from seqlytics.operators.spread import over, position, running_sum
+from seqlytics.session import checkpoint
 
 
 # --- matchup tables --------------------------------------------------------
@@ -41,8 +42,11 @@ def matchup_table(
 def prepare_matchups(
     df: DataFrame, a: str, b: str, target: str, order: Sequence[str], ids: Sequence[str] = ()
 ) -> DataFrame:
-    """Matchup table, all numeric: epochs, medians, ``Missing``, label codes, target not null."""
-    table = dates_to_epoch(matchup_table(df, a, b, target, order, ids))
+    """Matchup table, all numeric: epochs, medians, ``Missing``, label codes, target not null.
+
+    The table of pairs is written once; medians, codes and the result read it.
+    """
+    table = checkpoint(dates_to_epoch(matchup_table(df, a, b, target, order, ids)))
     strings = string_columns(table)
     numbers = [c for c in numeric_columns(table) if c not in (a, b, target)]
     filled = impute_const(impute_median(table, numbers), strings) if strings else impute_median(table, numbers)

@@ -173,30 +173,34 @@ def _ranged(df: DataFrame, keys: list, order: list, specs: Mapping[str, Spec]) -
     return joined.select(*df.columns, *[mended(n, s.kind).alias(n) for n, s in specs.items()])
 
 
-def ranked_values(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
-    """(keys, col, n, upto, size): how often each value occurs, the rows up to
-    and including it, and the rows of the group. Nulls are left out.
+def counted(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
+    """(keys, col, n): how often each value occurs in its group, null included.
 
-    Equal values are counted before the shuffle, so a value that fills the table
-    costs one row per map task. The counts are written down, since both the size
-    check and the ranking read them.
+    Equal values meet before the shuffle, so a value that fills the table costs
+    one row per map task. The counts are written down: the size check, the
+    ranking and group totals all read them, and the rows are read once.
     """
-    counts = checkpoint(
-        df.where(F.col(col).isNotNull())
-        .groupBy(*keys, col)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return over(counts, keys, [col], {"upto": running_sum("n"), "size": total("n")})
+    return checkpoint(df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("n")))
+
+
+def ranked(counts: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
+    """``counts`` without nulls, plus the rows up to and including each value, and of the group."""
+    known = counts.where(F.col(col).isNotNull())
+    return over(known, keys, [col], {"upto": running_sum("n"), "size": total("n")})
 
 
 def value_at(col: str, rank: Column) -> Column:
-    """Aggregate over ``ranked_values``: the value at 0-based ``rank``."""
+    """Aggregate over ``ranked``: the value at 0-based ``rank``."""
     return F.min(F.when(F.col("upto") > rank, F.col(col)))
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], col: str, at: Mapping[str, float]) -> DataFrame:
-    """Exact quantiles with linear interpolation: one row per group."""
-    ranked = ranked_values(df, keys, col)
+    """Exact quantiles with linear interpolation: one row per group that has a value."""
+    return quantiles_of(counted(df, keys, col), keys, col, at)
+
+
+def quantiles_of(counts: DataFrame, keys: Sequence[str], col: str, at: Mapping[str, float]) -> DataFrame:
+    """The same from (keys, col, n)."""
     picks = []
     for name, q in at.items():
         h = (F.col("size") - 1) * F.lit(float(q))
@@ -204,7 +208,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], col: str, at: Mapping[str, flo
             value_at(col, F.floor(h)).alias(f"_lo_{name}"),
             value_at(col, F.ceil(h)).alias(f"_hi_{name}"),
         ]
-    found = ranked.groupBy(*keys).agg(F.max("size").alias("_size"), *picks)
+    found = ranked(counts, keys, col).groupBy(*keys).agg(F.max("size").alias("_size"), *picks)
     out = []
     for name, q in at.items():
         h = (F.col("_size") - 1) * F.lit(float(q))
