@@ -50,6 +50,7 @@ def percent(p: Column) -> Column:
 def argbest(score: Column, name: Column) -> Column:
     """Aggregate: the name with the highest score, the first name on ties.
 
-    Works as a partial aggregate, so a long candidate list is never sorted.
+    A null score never wins. Works as a partial aggregate, so a long candidate
+    list is never sorted.
     """
-    return F.min(F.struct((-score).alias("s"), name.alias("name")))["name"]
+    return F.min(F.when(score.isNotNull(), F.struct((-score).alias("s"), name.alias("name"))))["name"]

@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from seqlytics.functions.expressions import argbest, percent, smoothed
 from seqlytics.operators.clean import dates_to_epoch, numeric_columns, require, string_columns
 from seqlytics.operators.encode import impute_const, impute_median, label_encode
-from seqlytics.operators.spread import over, position, running_sum
+from seqlytics.operators.spread import over, position, running_sum, total
 from seqlytics.session import checkpoint
 
 
@@ -64,14 +64,8 @@ def split(
     """
     mark = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key]))
     keys = [strata] if strata else []
-    placed = over(
-        df.withColumn("_mark", mark).withColumn("_one", F.lit(1)), keys, ["_mark", *key], {"_at": position()}
-    )
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    if strata:
-        placed = placed.join(sizes, keys)
-    else:
-        placed = placed.withColumn("_n", sizes.scalar())
+    marked = df.withColumn("_mark", mark).withColumn("_one", F.lit(1))
+    placed = over(marked, keys, ["_mark", *key], {"_at": position(), "_n": total("_one")})
     take = F.when(F.col("_n") < 2, F.lit(0)).otherwise(F.ceil(F.col("_n") * F.lit(test_share)))
     return placed.withColumn(out, (F.col("_at") <= take).cast("int")).drop("_mark", "_one", "_at", "_n")
 

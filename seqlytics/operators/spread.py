@@ -17,7 +17,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from seqlytics.session import checkpoint, group_limit, shuffle_partitions
+from seqlytics.session import GROUP_LIMIT, checkpoint, group_limit, shuffle_partitions
+
+# A range partitioning samples its edges on the driver; more pieces than this
+# would get poor edges, and a piece may well be larger and spill.
+MOST_PIECES = 10_000
 
 
 @dataclass(frozen=True)
@@ -81,7 +85,7 @@ def over(
         largest = largest_group(df, keys)
     if largest <= group_limit(df.sparkSession):
         return _windowed(df, keys, order, specs)
-    return _ranged(df, keys, order, specs)
+    return _ranged(df, keys, order, specs, largest)
 
 
 def _local(specs: Mapping[str, Spec], keys: list, order: list) -> dict[str, Column]:
@@ -103,9 +107,9 @@ def _windowed(df: DataFrame, keys: list, order: list, specs: Mapping[str, Spec])
     return df.withColumns(_local(specs, keys, order))
 
 
-def _ranged(df: DataFrame, keys: list, order: list, specs: Mapping[str, Spec]) -> DataFrame:
-    spark = df.sparkSession
-    pieces = max(shuffle_partitions(spark), 2)
+def _ranged(df: DataFrame, keys: list, order: list, specs: Mapping[str, Spec], largest: int) -> DataFrame:
+    # Enough pieces for a table of which the largest group is a quarter or more.
+    pieces = max(shuffle_partitions(df.sparkSession), min(4 * largest // GROUP_LIMIT, MOST_PIECES), 2)
     # The partition number is part of the data from here on, so it is written
     # down once: a recomputed range partitioning could draw other edges.
     rows = checkpoint(

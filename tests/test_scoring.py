@@ -178,3 +178,8 @@ def test_fits_beat_the_majority(spark, tmp_path):
     assert {x["model"] for x in table.collect()} == {"tree", "line"} and best is not None
     search = models.fit_action_classifier(df, ["x", "z"], "y", folds=2, trees=(2,), depths=(3,), subsets=("sqrt",))
     assert search.avgMetrics[0] > 0.6
+
+
+def test_best_ignores_missing_scores(spark):
+    df = spark.createDataFrame([(1, "a", None), (1, "b", 0.5), (2, "c", None)], "step int, cand string, score double")
+    assert [x[3] for x in rows(s.attach_best(df, ["step"], "score", "cand"), "step", "cand")] == ["b", "b", None]
