@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from seqlytics.functions.expressions import argbest
 from seqlytics.operators.clean import numeric_columns, string_columns
-from seqlytics.operators.spread import over, position, quantiles, quantiles_of
+from seqlytics.operators.spread import over, position, quantiles, quantiles_of, split_join
 from seqlytics.session import checkpoint
 
 MISSING = "Missing"
@@ -118,7 +118,7 @@ def apply_labels(df: DataFrame, mapping: DataFrame, cols: Sequence[str], unknown
     out = df
     for c in cols:
         codes = mapping.where(F.col("name") == c).select(F.col("value").alias(c), F.col("code").alias("_code"))
-        out = out.withColumn(c, F.col(c).cast("string")).join(codes, c, "left")
+        out = split_join(out.withColumn(c, F.col(c).cast("string")), codes, [c], "left")
         code = F.col("_code")
         if unknown == "error":
             code = F.when(
@@ -147,7 +147,7 @@ def fit_target_encoding(df: DataFrame, col: str, y: str, smoothing: float = 10.0
 def apply_target_encoding(df: DataFrame, encoding: DataFrame, col: str, overall: Column, out: str | None = None) -> DataFrame:
     """Value to encoding, unseen or null gives the global mean."""
     enc = encoding.select(F.col("value").alias(col), F.col("encoding").alias("_enc"))
-    return df.join(enc, col, "left").withColumn(out or col, F.coalesce("_enc", overall)).drop("_enc")
+    return split_join(df, enc, [col], "left").withColumn(out or col, F.coalesce("_enc", overall)).drop("_enc")
 
 
 def class_weights(df: DataFrame, y: str, classes: Sequence | None = None) -> DataFrame:
@@ -227,7 +227,7 @@ def _normalized(df: DataFrame, group: Sequence[str], w: Column, out: str) -> Dat
     sums = df.groupBy(*keys).agg(F.sum(w).alias("_total"), F.count(F.lit(1)).alias("_rows"))
     good = (F.col("_total") > 0) & ~F.isnan("_total") & (F.col("_total") < F.lit(float("inf")))
     weight = F.when(good, w / F.nullif(F.col("_total"), F.lit(0.0))).otherwise(F.lit(1.0) / F.col("_rows"))
-    return df.join(sums, keys).withColumn(out, weight).drop("_total", "_rows")
+    return split_join(df, sums, keys).withColumn(out, weight).drop("_total", "_rows")
 
 
 # --- feature construction and selection ------------------------------------
@@ -320,7 +320,7 @@ def sequences(
     real = F.transform("_steps", lambda s: s["v"])
     steps = F.concat(real, F.array_repeat(zero, (width - F.size(real)).cast("int")))
     return (
-        parts.join(ends, seq)
+        split_join(parts, ends, seq)
         .withColumn("steps", steps)
         .withColumn("longest", longest)
         .select(*seq, "part", "steps", "length", "longest", "label")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqlytics.functions.expressions import matches, share, smoothed
-from seqlytics.operators.spread import counted, over, previous, ranked, value_at
+from seqlytics.operators.spread import counted, over, previous, ranked, split_join, value_at
 from seqlytics.roles import Roles
 
 
@@ -159,7 +159,7 @@ def attach(df: DataFrame, feats: DataFrame, keys: Sequence[str], how: str = "inn
     AQE splits a hot key on the row side, or broadcasts ``feats`` when its
     measured size allows it.
     """
-    return df.join(feats, list(keys), how)
+    return split_join(df, feats, keys, how)
 
 
 def group_std(df: DataFrame, key: str, col: str, out: str) -> DataFrame:

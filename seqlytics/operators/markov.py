@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from seqlytics.functions.expressions import argbest, is_terminal, reward_of
+from seqlytics.operators.spread import split_join
 from seqlytics.session import checkpoint
 
 ROUNDS_PER_JOB = 6
@@ -215,7 +216,7 @@ def fill_situation(sit: DataFrame, hist: DataFrame, entity: str, cols: Sequence[
     filled = {
         c: F.coalesce(F.nullif(F.col(c).cast("double"), F.lit(0.0)), F.col(f"_avg_{c}"), F.lit(0.0)) for c in cols
     }
-    return sit.join(means, entity, "left").withColumns(filled).drop(*[f"_avg_{c}" for c in cols])
+    return split_join(sit, means, [entity], "left").withColumns(filled).drop(*[f"_avg_{c}" for c in cols])
 
 
 def recommend_distribution(
@@ -240,15 +241,15 @@ def recommend_distribution(
     """
     pairs = sit.select(entity, state, *[c for c in on if c not in (entity, state)]).distinct()
     own = arsenal.select(entity, "action").distinct().withColumn("_own", F.lit(1))
-    best = policy.select(F.col("state").alias(state), F.col("action").alias("_best"))
+    best = policy.select(F.col("state").alias(state), "action", F.lit(bonus).alias("_bonus"))
     w = Window.partitionBy(entity, state)
     scored = (
-        pairs.join(probs.where(F.col("action") != unknown), list(on))
+        split_join(pairs, probs.where(F.col("action") != unknown), on)
         .join(own, [entity, "action"], "left")
         .withColumn("_any", F.max("_own").over(w))
         .where(F.col("_own").isNotNull() | F.col("_any").isNull())
-        .join(best, state, "left")
-        .withColumn("p", F.col("p") + F.when(F.col("action") == F.col("_best"), F.lit(bonus)).otherwise(F.lit(0.0)))
+        .transform(lambda x: split_join(x, best, [state, "action"], "left"))
+        .withColumn("p", F.col("p") + F.coalesce("_bonus", F.lit(0.0)))
         .withColumn("_k", F.count(F.lit(1)).over(w))
     )
     def evened(p: Column) -> Column:

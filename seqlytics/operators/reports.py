@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqlytics.functions.expressions import share
-from seqlytics.operators.spread import counted, over, position, quantiles_of, spread_join
+from seqlytics.operators.spread import counted, over, position, quantiles_of, split_join, spread_join
 
 # Result names.
 RESULT_FLAGS = ("Strikeout", "Walk")
@@ -68,7 +68,7 @@ def rollup_sequences(
     if not sums:
         return parts.select(*keys, "part", *lists_)
     whole = df.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums])
-    return parts.join(whole, keys).select(*keys, "part", *lists_, *sums)
+    return split_join(parts, whole, keys).select(*keys, "part", *lists_, *sums)
 
 
 def last_of(col: str) -> Column:

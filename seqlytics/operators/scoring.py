@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from seqlytics.functions.expressions import argbest, percent, smoothed
 from seqlytics.operators.clean import dates_to_epoch, numeric_columns, require, string_columns
 from seqlytics.operators.encode import impute_const, impute_median, label_encode
-from seqlytics.operators.spread import over, position, running_sum, total
+from seqlytics.operators.spread import over, position, running_sum, split_join, total
 from seqlytics.session import checkpoint
 
 
@@ -77,8 +77,8 @@ def matchup_or_entity(df: DataFrame, pairs: DataFrame, a: str, b: str) -> DataFr
     """
     asked = pairs.select(F.col(a), F.col(b).alias("for_b")).distinct()
     met = df.select(F.col(a), F.col(b).alias("for_b")).distinct()
-    own = df.withColumn("for_b", F.col(b)).join(asked, [a, "for_b"], "left_semi").withColumn("is_matchup", F.lit(1))
-    rest = df.join(asked.join(met, [a, "for_b"], "left_anti"), a).withColumn("is_matchup", F.lit(0))
+    own = split_join(df.withColumn("for_b", F.col(b)), asked, [a, "for_b"], "left_semi").withColumn("is_matchup", F.lit(1))
+    rest = split_join(df, asked.join(met, [a, "for_b"], "left_anti"), [a]).withColumn("is_matchup", F.lit(0))
     return own.unionByName(rest)
 
 
@@ -122,7 +122,7 @@ def score_candidates(
     weights = base_weights(df, pairs, a, b, situation)
     candidates = df.where(F.col(action).isNotNull()).select(a, action).distinct()
     even = F.lit(1.0 / len(classes))
-    scored = weights.join(candidates, a).join(scores, [action, *situation], "left")
+    scored = split_join(split_join(weights, candidates, [a]), scores, [action, *situation], "left")
     n = F.col("_n")
     table = scored.groupBy(a, b, action).agg(
         *[percent(F.sum(n * F.coalesce(c, even)) / F.sum(n)).alias(c) for c in classes]
@@ -165,7 +165,7 @@ def score_candidates_model(
     candidates = (
         df.where(F.col(action).isNotNull()).groupBy(a).agg(F.array_sort(F.collect_set(action)).alias("_actions"))
     )
-    asked = base.join(candidates, a).withColumn(action, F.explode("_actions")).drop("_actions", b)
+    asked = split_join(base, candidates, [a]).withColumn(action, F.explode("_actions")).drop("_actions", b)
     p = vector_to_array(F.col(probability))
     scored = model.transform(asked.withColumnRenamed("for_b", b)).withColumn("_p", p)
     table = scored.groupBy(a, b, action).agg(
@@ -190,8 +190,7 @@ def score_action(
     n = F.col("_n")
     asked = wanted.select(a, b, action).distinct()
     table = (
-        weights.join(asked, [a, b])
-        .join(scores, [action, *situation], "left")
+        split_join(split_join(weights, asked, [a, b]), scores, [action, *situation], "left")
         .groupBy(a, b, action)
         .agg(*[F.round(F.sum(n * F.coalesce(c, even)) / F.sum(n), 4).alias(c) for c in classes])
     )
@@ -202,7 +201,7 @@ def score_action(
 def attach_best(df: DataFrame, step: Sequence[str], score: str, candidate: str, out: str = "best") -> DataFrame:
     """The candidate with the highest score of the step on each row, first name on ties."""
     best = df.groupBy(*step).agg(argbest(F.col(score), F.col(candidate)).alias(out))
-    return df.join(best, list(step), "left")
+    return split_join(df, best, step, "left")
 
 
 def prediction_report(table: DataFrame, steps: int, step: str = "step") -> DataFrame:
@@ -235,7 +234,7 @@ def plan_lengths(
     sit: DataFrame, lengths: DataFrame, pair: Sequence[str], override: str | None = None, default: int = 10
 ) -> DataFrame:
     """Steps per situation: the override, else the predicted length; null or below 1 gives ``default``."""
-    want = sit.join(lengths.select(*pair, F.ceil("length").cast("int").alias("_len")), list(pair), "left")
+    want = split_join(sit, lengths.select(*pair, F.ceil("length").cast("int").alias("_len")), pair, "left")
     n = F.col("_len")
     if override:
         n = F.when(F.col(override) > 0, F.col(override)).otherwise(n)
@@ -244,4 +243,4 @@ def plan_lengths(
 
 def plan_table(sequence: DataFrame, probabilities: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Steps with their action and its class map; null where the action could not be scored."""
-    return sequence.join(probabilities, list(keys), "left")
+    return split_join(sequence, probabilities, keys, "left")

@@ -221,6 +221,16 @@ def quantiles_of(counts: DataFrame, keys: Sequence[str], col: str, at: Mapping[s
     return found.select(*keys, *out)
 
 
+def split_join(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join rows with an aggregated table so that AQE can split a hot key.
+
+    AQE splits a join only where both inputs come straight out of a shuffle. An
+    aggregate is partitioned by its keys already and would be joined without
+    one, so it is rebalanced first; the shuffle for the join follows.
+    """
+    return df.join(small.hint("rebalance"), list(keys), how)
+
+
 def spread_join(
     df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 32
 ) -> DataFrame:
@@ -228,8 +238,7 @@ def spread_join(
 
     A key is hot when it holds more than a thousandth of the rows, so there are
     fewer than a thousand of them and their list may be broadcast. Use it where
-    the join feeds an aggregation on the same keys; a join that ends a query is
-    split by AQE already.
+    the join feeds an aggregation on the same keys, where AQE does not split.
     """
     keys = list(keys)
     rows = df.agg(F.count(F.lit(1))).scalar()

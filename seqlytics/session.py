@@ -37,7 +37,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        path = sc.getConf().get("spark.checkpoint.dir")
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if path is None:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")

@@ -138,7 +138,7 @@ def test_recommendation(spark):
 def test_picks(spark):
     dist = recommend(spark).where("e = 'p'")
     assert [r[2] for r in rows(m.pick_action(dist, ["e", "state"]))] == ["a"]
-    many = spark.range(4000).crossJoin(dist.drop("e", "state"))
+    many = dist.select(F.explode(F.sequence(F.lit(0), F.lit(3999))).alias("id"), "action", "p")
     drawn = m.pick_action(many, ["id"], seed=1)
     assert rows(drawn, "id") == rows(m.pick_action(many.repartition(7), ["id"], seed=1), "id")
     share = drawn.where("action = 'a'").count() / 4000

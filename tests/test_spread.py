@@ -16,6 +16,7 @@ from seqlytics.operators.spread import (
     previous,
     quantiles,
     running_sum,
+    split_join,
     spread_join,
     total,
 )
@@ -97,3 +98,27 @@ def test_spread_join_splits_the_hot_key(spark):
     small = df.groupBy("k").agg(F.count("*").alias("n"))
     plan = spread_join(df, small, ["k"])._jdf.queryExecution().toString()
     assert "_salt" in plan and "CartesianProduct" not in plan
+
+
+def test_split_join_spreads_a_hot_key(spark):
+    """AQE splits the key that holds a third of the rows; a plain join with an aggregate is not split."""
+    small_sizes = {
+        "spark.sql.shuffle.partitions": "40",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50000",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50000",
+    }
+    before = {k: spark.conf.get(k, None) for k in small_sizes}
+    try:
+        for k, v in small_sizes.items():
+            spark.conf.set(k, v)
+        df = spark.range(600_000).select(
+            F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5000).alias("k"), F.xxhash64("id").alias("x")
+        ).repartition(20)
+        out = split_join(df, df.groupBy("k").agg(F.avg("x").alias("m")), ["k"])
+        sizes = out.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()
+        assert sum(sizes) == 600_000 and max(sizes) < 150_000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
