@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqlytics.llm import mixing, sharding, toxicity, url_filter
+from seqlytics.llm import decontaminate, mixing, near_dup, sharding, toxicity, url_filter
 
 RULES = [
     ("allow", "com", "/"),
@@ -130,9 +130,20 @@ def toxic_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", rejected.alias("predicted"))
 
 
+def prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(_table(spark, sf_dir, "documents"))
+
+
+def simhash_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start_word", "n_words", F.round("similarity", 6).alias("similarity"))
+
+
 QUERIES = {
     "op1_redirect_filter": (url_redirects, URL_SQL),
     "op5_extendible_shards": (extendible_shards, SHARD_SQL),
+    "op6_prob_minhash": (prob_minhash, None),
+    "op8_simhash_windows": (simhash_decontaminate, None),
     "op9_source_mix": (mix_sources, MIX_SQL),
     "op10_toxic_ngrams": (toxic_ngrams, None),
 }
