@@ -22,13 +22,16 @@ MOST_BLOCKS_SENT = 1_000_000
 MOST_ROWS_SENT = 1_000_000
 
 
-def shingle_hashes(text: str = "text", k: int = SHINGLE) -> Column:
-    """Hashes of every ``k`` consecutive lower-case words; none for fewer words or null."""
-    words = F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09-\x0D]+"), "")
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    parts = [F.slice(hashed, i + 1, F.greatest(F.lit(0), F.size(hashed) - (k - 1))) for i in range(k)]
-    zipped = F.arrays_zip(*[p.alias(f"h{i}") for i, p in enumerate(parts)])
-    return F.transform(zipped, lambda s: F.xxhash64(s))
+def words_of(text: str = "text") -> Column:
+    """Lower-case words; none for null."""
+    return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09-\x0D]+"), "")
+
+
+def shingle_hashes(words: str, every: int = 1, k: int = SHINGLE) -> Column:
+    """Hashes of the ``k`` words from each ``every``-th word on; none for fewer words."""
+    last = F.size(words) - k
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(every))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))
 
 
 def simhash(hashes: str) -> Column:
@@ -45,11 +48,27 @@ def _block(bits: Column, number: Column) -> Column:
 
 def item_table(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(item_id, shingles, n, bits) of the items that have a shingle. Null ids, null and short texts are left out."""
-    items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), shingle_hashes(text).alias("shingles"))
+    items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), words_of(text).alias("words"))
+    items = items.select("item_id", shingle_hashes("words").alias("shingles"))
     items = items.where(F.size("shingles") > 0).distinct()
     return items.select("item_id", "shingles", F.size("shingles").alias("n"), simhash("shingles").alias("bits"))
 
 
+def suspects(docs: DataFrame, items: DataFrame, vocabulary: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame:
+    """(row, doc_id, words) of every text that can hold a hit, and of few others: some strided shingle is of the benchmark.
+
+    A hit shares all but ``lost`` of its window's n shingles, so a stride of which more than ``lost`` lie in any n words in a row
+    can't pass over one. The largest such stride for all item sizes is taken.
+    """
+    n = F.col("n")
+    lost = F.floor(n - 2 * similarity / (1 + similarity) * n + 1e-9)
+    stride = items.agg(F.min(F.floor(similarity * n / (lost + 1)))).first()[0] or 1
+    rows = docs.select(F.xxhash64(doc_id, text).alias("row"), F.col(doc_id).alias("doc_id"), words_of(text).alias("words"))
+    probe = rows.select("row", F.explode(shingle_hashes("words", max(1, stride))).alias("h"))
+    marked = checkpoint(probe.join(broadcast_if(vocabulary.select("h"), MOST_SHINGLES_SENT), "h", "left_semi").select("row").distinct())
+    return rows.join(broadcast_if(marked, MOST_ROWS_SENT), "row", "left_semi")
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(row, doc_id, item_id, start_word, n_words, similarity): the best window of each row and item that reaches ``similarity``.
 
@@ -59,7 +78,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     """
     items = checkpoint(item_table(benchmark))
     vocabulary = checkpoint(items.select(F.explode("shingles").alias("h"), "n").groupBy("h").agg(F.collect_set("n").alias("sizes")))
-    keyed = docs.select(F.xxhash64(doc_id, text).alias("row"), F.col(doc_id).alias("doc_id"), shingle_hashes(text).alias("s"))
+    keyed = suspects(docs, items, vocabulary, doc_id, text, similarity).select("row", "doc_id", shingle_hashes("words").alias("s"))
     keyed = keyed.select("row", "doc_id", F.size("s").alias("total"), F.posexplode("s").alias("pos", "h"))
     found = keyed.join(broadcast_if(vocabulary, MOST_SHINGLES_SENT), "h")
     # the hits of one text, at most as many as it has words

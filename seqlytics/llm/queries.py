@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqlytics.llm import decontaminate, mixing, near_dup, sharding, toxicity, url_filter
+from seqlytics.llm import decontaminate, mixing, near_dup, repeats, sharding, toxicity, url_filter
 
 RULES = [
     ("allow", "com", "/"),
@@ -139,8 +139,14 @@ def simhash_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "start_word", "n_words", F.round("similarity", 6).alias("similarity"))
 
 
+def block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.without_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_redirect_filter": (url_redirects, URL_SQL),
+    "op2_block_anchors": (block_anchors, None),
     "op5_extendible_shards": (extendible_shards, SHARD_SQL),
     "op6_prob_minhash": (prob_minhash, None),
     "op8_simhash_windows": (simhash_decontaminate, None),
