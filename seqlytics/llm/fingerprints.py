@@ -56,7 +56,7 @@ def winnow(codes: np.ndarray, offsets: np.ndarray, k: int = K, w: int = W) -> li
     short = np.flatnonzero((size > 0) & (size < k))
     for i in short.tolist():
         part = units[offsets[i] : offsets[i + 1]]
-        one = grams.mixed((part * np.multiply.accumulate(np.full(len(part), grams.STEP))).sum(dtype=U) + U(len(part)))
+        one = grams.mixed((part * np.multiply.accumulate(np.full(len(part), grams.STEP))).sum(dtype=U, keepdims=True) + U(len(part)))[0]
         picked.append(np.array([(one >> U(32)) << U(32) | (LOW - U(int(offsets[i])))], U))
     chosen = np.concatenate(picked)
     at = (LOW - (chosen & LOW)).astype(np.int64)

@@ -23,6 +23,7 @@ _sep[[9, 10, 11, 12, 13, 32]] = True
 
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
+    h = np.atleast_1d(h)
     h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
     return h ^ (h >> U(31))

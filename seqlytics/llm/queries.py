@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqlytics.llm import decontaminate, mixing, near_dup, repeats, sharding, toxicity, url_filter
+from seqlytics.llm import decontaminate, fingerprints, mixing, near_dup, repeats, secrets, sharding, token_counts, toxicity, url_filter
 
 RULES = [
     ("allow", "com", "/"),
@@ -144,11 +144,38 @@ def block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def winnowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.with_edits(_table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
+    return found.select("doc_id", "n_chars", digest, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def transducer_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = token_counts.token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    return token_counts.over_limit(counted).select("doc_id", size, "n_tokens", "over_limit")
+
+
+def secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.fit(docs))
+    of = lambda kind: F.filter("spans", lambda s: s.kind == kind)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS[:3]]
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    base = F.sha2(joined(F.filter("spans", lambda s: s.kind != "net")).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, joined("spans").alias("spans"))
+
+
 QUERIES = {
     "op1_redirect_filter": (url_redirects, URL_SQL),
     "op2_block_anchors": (block_anchors, None),
+    "op3_winnowing": (winnowed, None),
+    "op4_secret_network": (secret_network, None),
     "op5_extendible_shards": (extendible_shards, SHARD_SQL),
     "op6_prob_minhash": (prob_minhash, None),
+    "op7_transducer_tokens": (transducer_tokens, None),
     "op8_simhash_windows": (simhash_decontaminate, None),
     "op9_source_mix": (mix_sources, MIX_SQL),
     "op10_toxic_ngrams": (toxic_ngrams, None),

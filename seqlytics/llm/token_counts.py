@@ -1,8 +1,8 @@
 """Token counts by finite-state machines compiled from a byte-level BPE tokenizer file.
 
 1. A boundary machine reads code points and says where a pre-token starts. It has nine states; a piece of text is cut into chunks, each
-   chunk's map from states to states is computed for all chunks at once, the maps are composed by a prefix scan, and
-   every chunk is read again from its known first state.
+   chunk's map from states to states is computed for all chunks at once (where a symbol sends every state to the same one, that is a
+   single state), the maps are composed by a prefix scan, and every chunk is read again from its known first state.
 2. A merge machine reads a pre-token's bytes. A state knows, for every start from which a longer token may still grow, the last token
    before it; a transition is annotated with the change of the number of tokens emitted so far, so the sum along a pre-token is its count. It is compiled
    as texts need it and holds at most ``MOST_STATES`` states, then starts anew.
@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 from seqlytics.llm import grams
 
 CHUNK = 64
-MOST_STATES = 200_000
+MOST_STATES = 400_000
+MOST_WORDS = 400_000
 U = np.uint64
 
 # fixed values: the white space of Unicode, and the letters after an apostrophe that make a pre-token with it
@@ -60,13 +61,13 @@ def _boundary_machine() -> tuple[np.ndarray, np.ndarray]:
     into = {LETTER: IN_LETTERS, NUMBER: IN_NUMBERS, OTHER: IN_OTHERS, BLANK_LAST: AFTER_SPACE, WHITE_LAST: NONE, BLANK: IN_BLANKS}
     for symbol in range(SYMBOLS):
         for state in range(STATES):
-            if symbol in (APOSTROPHE_1, APOSTROPHE_2):
+            if symbol in (BLANK_LAST, WHITE_LAST):
+                run, goes = False, into[symbol]
+            elif symbol in (APOSTROPHE_1, APOSTROPHE_2):
                 run = state in (IN_OTHERS, AFTER_SPACE)
                 goes = IN_OTHERS if run else DUE_1 if symbol == APOSTROPHE_1 else DUE_2
             elif state in (DUE_1, DUE_2):
                 run, goes = True, DUE_1 if state == DUE_2 else DONE
-            elif symbol in (BLANK_LAST, WHITE_LAST):
-                run, goes = False, into[symbol]
             elif symbol == BLANK:
                 run, goes = state == IN_BLANKS, IN_BLANKS
             else:
@@ -112,9 +113,19 @@ def boundaries(codes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     symbols = np.zeros(chunks * CHUNK, np.uint8)
     symbols[:n] = _symbols(codes, firsts)
     columns = np.ascontiguousarray(symbols.reshape(chunks, CHUNK).T)
-    maps = np.repeat(np.arange(STATES, dtype=np.uint8)[None], chunks, 0)
-    for x in columns:
-        maps = to[x[:, None], maps]
+    flat_to, flat_new = to.ravel(), new.ravel()
+    base = columns.astype(np.int16) * STATES
+    settles = (to == to[:, :1]).all(1)
+    state = np.full(chunks, NONE, np.uint8)
+    for x in base:
+        state = flat_to[x + state]
+    maps = np.repeat(state[:, None], STATES, 1)
+    loose = np.flatnonzero(~settles[columns].any(0))
+    if len(loose):
+        part = np.repeat(np.arange(STATES, dtype=np.uint8)[None], len(loose), 0)
+        for x in base[:, loose]:
+            part = flat_to[x[:, None] + part]
+        maps[loose] = part
     # prefix scan: after it, a chunk's map is that of all chunks up to it
     step = 1
     while step < chunks:
@@ -124,9 +135,10 @@ def boundaries(codes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     state = np.full(chunks, NONE, np.uint8)
     state[1:] = maps[:-1, NONE]
     flags = np.empty((CHUNK, chunks), np.uint8)
-    for i, x in enumerate(columns):
-        flags[i] = new[x, state]
-        state = to[x, state]
+    for i, x in enumerate(base):
+        at = x + state
+        flags[i] = flat_new[at]
+        state = flat_to[at]
     return np.flatnonzero(flags.T.ravel()[:n])
 
 
@@ -145,6 +157,7 @@ class MergeMachine:
         self.rank = {pair: i for i, pair in enumerate(merges)}
         self.prefixes = {t[:i] for t in vocabulary for i in range(1, len(t))}
         self.apart: dict[tuple[bytes, bytes], bool] = {}
+        self.words: dict[int, int] = {}
         self._anew()
 
     def _anew(self) -> None:
@@ -165,6 +178,8 @@ class MergeMachine:
         return parts
 
     def _stay_apart(self, left: bytes, right: bytes) -> bool:
+        if (left, right) in self.rank:
+            return False
         found = self.apart.get((left, right))
         if found is None:
             if len(self.apart) > 4 * MOST_STATES:
@@ -242,8 +257,15 @@ def count_texts(texts: list[str], path: str) -> np.ndarray:
         within = np.arange(len(codes)) - np.repeat(starts, size)
         powers = np.multiply.accumulate(np.full(int(size.max()) + 1, grams.STEP))
         h = np.add.reduceat(grams.mixed(codes.astype(U) * grams.ODD) * powers[within], starts) + size.astype(U) * grams.ODD
-        _, lead, which = np.unique(grams.mixed(h), return_index=True, return_inverse=True)
-        found = [machine.count(whole[a : a + n].encode("utf-8", "surrogatepass")) for a, n in zip(starts[lead].tolist(), size[lead].tolist())]
+        names, lead, which = np.unique(grams.mixed(h), return_index=True, return_inverse=True)
+        known, found = machine.words, []
+        if len(known) > MOST_WORDS:
+            known.clear()
+        for name, a, n in zip(names.tolist(), starts[lead].tolist(), size[lead].tolist()):
+            c = known.get(name)
+            if c is None:
+                c = known[name] = machine.count(whole[a : a + n].encode("utf-8", "surrogatepass"))
+            found.append(c)
         owner = of[i:j][np.searchsorted(at, starts, "right") - 1]
         total += np.bincount(owner, np.array(found, np.int64)[which], len(texts)).astype(np.int64)
     return total
