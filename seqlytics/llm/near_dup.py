@@ -2,19 +2,22 @@
 
 Signatures are computed in Arrow batches, where every shingle is a Poisson process whose arrivals fall on random
 registers; a text is done when its next arrivals come later than all its registers hold. Candidates meet by band hash.
-A bucket's members are checked against its first member only; members that are tied by then need no check, and only
-those of a bucket that are still apart are checked against one another. So a group of n copies costs n checks, and no
-link between two different texts of a bucket is lost.
+A bucket's members are checked against its first member only; members that are tied by then need no check. Those of a
+bucket that are still apart meet once more, by their rarest shingles: two texts that reach the similarity share one of
+these, so a group of n copies costs n checks, a group of merely related texts few, and no link between two different
+texts of a bucket is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from seqlytics.llm import grams
 from seqlytics.llm.components import components
@@ -25,6 +28,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: 40 bands of 8 registers: a pair at 0.8 meets with a chance of 0.9994, at 0.5 of 0.15, at 0.3 of 0.003.
 BANDS, ROWS = 40, 8
+#: Pairs in the second round whose registers show less than the similarity by so many standard errors are left: one in 2,000 at 0.8.
+LEEWAY = 3.3
 U = np.uint64
 
 
@@ -91,6 +96,20 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def four_bits(signature: np.ndarray) -> np.ndarray:
+    """The upper four bits of every register, sixteen to a long."""
+    part = (signature >> U(60)).reshape(len(signature), -1, 16) << (U(4) * np.arange(16, dtype=U))
+    return np.bitwise_or.reduce(part, axis=2)
+
+
+def _estimate(bits: str, other: str, registers: int) -> Column:
+    """The likeness that two texts' four-bit registers show: unlike ones agree in one of sixteen cases."""
+    mark = "(shiftright(x ^ y, {0}))"
+    differ = " | ".join(["(x ^ y)", *(mark.format(i) for i in (1, 2, 3))])
+    unlike = F.expr(f"aggregate(zip_with({bits}, {other}, (x, y) -> bit_count(({differ}) & 1229782938247303441L)), 0, (acc, n) -> acc + n)")
+    return (1 - unlike / F.lit(registers) - 1 / 16) * (16 / 15)
+
+
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """The larger of the exact probability Jaccard of two weighted sets and their plain Jaccard.
 
@@ -110,7 +129,7 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def _signed(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
-    """(doc_id, same, bands): a hash of the whole text and the band hashes; none for texts without words."""
+    """(doc_id, same, bands, bits): a hash of the whole text, the band hashes and short registers; none for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,10 +145,10 @@ def _signed(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
                 found = band_hashes(sig, bands, rows).view(np.int64)
                 raw = part.tobytes()
                 same = [hashlib.blake2b(raw[at[t] : at[t + 1]], digest_size=16).digest() for t in held.tolist()]
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, bands, dtype=np.int32)), pa.array(found.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(held + i)), pa.array(same, pa.binary()), flat], ["doc_id", "same", "bands"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel())) for x in (found, four_bits(sig).view(np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(held + i)), pa.array(same, pa.binary()), *lists], ["doc_id", "same", "bands", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same binary, bands array<long>, bits array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -155,6 +174,46 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) ->
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "src long, dst long")
 
 
+def _rarest(texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(doc_id, h, left, of, before, early): of each text the rarest shingles, as many as leave less than ``similarity`` of its shingles and
+    of their weight; ``left`` of its ``of`` shingles are not rarer, ``before`` is the weight of the rarer ones, and
+    ``early`` lists the text's rows.
+
+    Two texts of which none of these is shared have less than ``similarity`` in common, by number and by weight, and both kinds of
+    likeness are below that share. Rarity is counted over ``texts``; shingles of one text only are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = grams.flat(batch.column("text"))
+            for i, j in grams.pieces(offsets):
+                h, text, weight = weighted(*shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k))
+                mass = weight / np.bincount(text, weight)[text] if len(text) else weight.astype(float)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(text + i)), pa.array(h.view(np.int64)), pa.array(mass)], ["doc_id", "h", "mass"])
+
+    each = checkpoint(texts.select("doc_id", "text").mapInArrow(run, "doc_id long, h long, mass double"))
+    spread = split_join(each, each.groupBy("h").agg(F.count(F.lit(1)).alias("n")), ["h"])
+    own = Window.partitionBy("doc_id")
+    w = own.orderBy("n", "h")
+    before = F.coalesce(F.sum("mass").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    placed = spread.withColumns({"before": before, "of": F.count(F.lit(1)).over(own), "nth": F.row_number().over(w)}).withColumn("left", F.col("of") - F.col("nth") + 1)
+    early = (F.col("before") <= 1 - similarity + 1e-9) | (F.col("left") >= F.col("of") * similarity - 1e-9)
+    kept = placed.where(early & (F.col("n") > 1))
+    # in the order of rarity, which is the same for all texts
+    return kept.withColumn("early", F.transform(F.array_sort(F.collect_list(F.struct("n", "h")).over(own)), lambda x: x.h)).select("doc_id", "h", "left", "of", "before", "early")
+
+
+def _may_reach(similarity: float) -> Column:
+    """Whether two texts can still reach ``similarity`` if this shingle is the rarest that they share.
+
+    By number, what is shared is at most the lesser rest m, so the likeness is at most m / (a + b - m). By weight, with u and v of
+    the weights passed by, probability Jaccard is at most (1 - u)(1 - v) / (1 - uv).
+    """
+    m = F.least("left", "left_b")
+    u, v = F.col("before"), F.col("before_b")
+    return (m >= similarity * (F.col("of") + F.col("of_b") - m) - 1e-9) | ((1 - u) * (1 - v) >= similarity * (1 - u * v) - 1e-9)
+
+
 def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, n_links): one row per distinct id. ``class_id`` is the least id of its class.
 
@@ -164,7 +223,7 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SHIN
     white space, as written. Empty table: no rows.
     """
     signed = checkpoint(_signed(docs.where("doc_id is not null"), bands, rows, k))
-    copies = checkpoint(signed.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")))
+    copies = checkpoint(signed.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")))
     banded = copies.select("rep", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("bucket", "lead")
     member = checkpoint(split_join(banded, buckets, ["bucket"]))
@@ -180,8 +239,16 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SHIN
     root = checkpoint(root)
     apart = root.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
     open_ = checkpoint(split_join(root, apart, ["bucket"]))
-    mates = open_.select("bucket", F.col("rep").alias("b"), F.col("root").alias("root_b"))
-    more = open_.withColumnRenamed("rep", "a").join(mates, "bucket").where("a < b and root <> root_b").select("a", "b").distinct()
+    rare = _rarest(texts.join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), k, similarity)
+    about = open_.select("rep", "root").distinct().join(copies.select("rep", "bits"), "rep").withColumnRenamed("rep", "doc_id")
+    rare = checkpoint(split_join(rare, about, ["doc_id"]))
+    mates = rare.select("h", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "root", "left", "of", "before", "bits", "early")])
+    # a pair meets once, at the rarest shingle that both hold
+    once = F.get(F.array_intersect("early", "early_b"), F.lit(0)) == F.col("h")
+    least = similarity - LEEWAY * math.sqrt(similarity * (1 - similarity) / (bands * rows))
+    close = _estimate("bits", "bits_b", bands * rows) >= least
+    met = rare.join(mates, "h").where("doc_id < doc_id_b and root <> root_b").where(_may_reach(similarity)).where(close).where(once)
+    more = met.select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b"))
     more = checkpoint(more.join(asked, ["a", "b"], "left_anti"))
     links = checkpoint(links.union(_verified(more, texts, k, similarity)))
 
