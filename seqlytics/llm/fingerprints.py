@@ -19,7 +19,7 @@ from seqlytics.session import checkpoint
 #: Shared passages of 100 code points are sure to be seen.
 K, W = 25, 76
 #: Code points of an ordered piece on the average. Pieces are streamed, so more would only be slower.
-PIECE_CHARS = 1 << 24
+PIECE_CHARS = 1 << 22
 MOST_PIECES = 100_000
 U = np.uint64
 LOW = U(0xFFFFFFFF)
