@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from seqlytics.llm import grams
-from seqlytics.llm.components import components
+from seqlytics.llm.components import broadcast_if, components
 from seqlytics.operators.spread import split_join
 from seqlytics.session import checkpoint
 
@@ -30,6 +30,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 40, 8
 #: Pairs in the second round whose registers show less than the similarity by so many standard errors are left: one in 2,000 at 0.8.
 LEEWAY = 3.3
+MOST_IDS_SENT = 1_000_000
 U = np.uint64
 
 
@@ -177,7 +178,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) ->
 def _rarest(texts: DataFrame, k: int, similarity: float) -> DataFrame:
     """(doc_id, h, left, of, before, early): of each text the rarest shingles, as many as leave less than ``similarity`` of its shingles and
     of their weight; ``left`` of its ``of`` shingles are not rarer, ``before`` is the weight of the rarer ones, and
-    ``early`` lists the text's rows.
+    ``early`` lists short hashes of the text's rows.
 
     Two texts of which none of these is shared have less than ``similarity`` in common, by number and by weight, and both kinds of
     likeness are below that share. Rarity is counted over ``texts``; shingles of one text only are left out.
@@ -200,7 +201,7 @@ def _rarest(texts: DataFrame, k: int, similarity: float) -> DataFrame:
     early = (F.col("before") <= 1 - similarity + 1e-9) | (F.col("left") >= F.col("of") * similarity - 1e-9)
     kept = placed.where(early & (F.col("n") > 1))
     # in the order of rarity, which is the same for all texts
-    return kept.withColumn("early", F.transform(F.array_sort(F.collect_list(F.struct("n", "h")).over(own)), lambda x: x.h)).select("doc_id", "h", "left", "of", "before", "early")
+    return kept.withColumn("early", F.transform(F.array_sort(F.collect_list(F.struct("n", "h")).over(own)), lambda x: F.hash(x.h))).select("doc_id", "h", "left", "of", "before", "early")
 
 
 def _may_reach(similarity: float) -> Column:
@@ -229,7 +230,8 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SHIN
     member = checkpoint(split_join(banded, buckets, ["bucket"]))
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     wanted = member.select(F.col("rep").alias("doc_id")).distinct()
-    texts = checkpoint(texts.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
+    texts = texts.join(broadcast_if(wanted, MOST_IDS_SENT), "doc_id", "left_semi")
+    texts = checkpoint(texts.groupBy("doc_id").agg(F.max("text").alias("text")))
 
     asked = checkpoint(member.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
     links = checkpoint(_verified(asked, texts, k, similarity))
@@ -244,7 +246,7 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SHIN
     rare = checkpoint(split_join(rare, about, ["doc_id"]))
     mates = rare.select("h", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "root", "left", "of", "before", "bits", "early")])
     # a pair meets once, at the rarest shingle that both hold
-    once = F.get(F.array_intersect("early", "early_b"), F.lit(0)) == F.col("h")
+    once = F.get(F.array_intersect("early", "early_b"), F.lit(0)) == F.hash("h")
     least = similarity - LEEWAY * math.sqrt(similarity * (1 - similarity) / (bands * rows))
     close = _estimate("bits", "bits_b", bands * rows) >= least
     met = rare.join(mates, "h").where("doc_id < doc_id_b and root <> root_b").where(_may_reach(similarity)).where(close).where(once)
