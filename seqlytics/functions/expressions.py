@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, functions as F
 
 
@@ -54,3 +56,10 @@ def argbest(score: Column, name: Column) -> Column:
     list is never sorted.
     """
     return F.min(F.when(score.isNotNull(), F.struct((-score).alias("s"), name.alias("name"))))["name"]
+
+
+def uniform(keys: Sequence[str], seed: int) -> Column:
+    """A number in (0, 1) from the md5 of the keys and the seed: the same on every run and partitioning."""
+    key = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.lit(str(seed)))
+    bits = F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("double")
+    return (bits + 0.5) / F.lit(float(1 << 48))

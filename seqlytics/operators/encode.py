@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from seqlytics.functions.expressions import argbest
+from seqlytics.functions.expressions import argbest, uniform
 from seqlytics.operators.clean import numeric_columns, string_columns
 from seqlytics.operators.spread import over, position, quantiles, quantiles_of, split_join
 from seqlytics.session import checkpoint
@@ -206,10 +206,15 @@ def min_max(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     return df.withColumn(out or col, F.when(width == 0, F.lit(1.0)).otherwise(scaled))
 
 
-def add_noise(df: DataFrame, cols: Sequence[str], level: float = 0.01, seed: int = 0) -> DataFrame:
-    """Gaussian jitter of ``level`` population deviations."""
+def add_noise(df: DataFrame, cols: Sequence[str], key: Sequence[str], level: float = 0.01, seed: int = 0) -> DataFrame:
+    """Gaussian jitter of ``level`` population deviations, drawn by the rows' ``key``: rows with equal keys get the same draw."""
     std = df.agg(F.struct(*[F.stddev_pop(c).alias(c) for c in cols]).alias("s")).scalar()
-    return df.withColumns({c: F.col(c) + F.randn(seed + i) * std[c] * F.lit(level) for i, c in enumerate(cols)})
+
+    def normal(i: int) -> Column:
+        first, second = uniform(key, seed + 2 * i), uniform(key, seed + 2 * i + 1)
+        return F.sqrt(-2 * F.log(first)) * F.cos(2 * F.pi() * second)
+
+    return df.withColumns({c: F.col(c) + normal(i) * std[c] * F.lit(level) for i, c in enumerate(cols)})
 
 
 def normalize_weights(df: DataFrame, group: Sequence[str], w: str, out: str | None = None) -> DataFrame:
@@ -301,7 +306,7 @@ def sequences(
     ``steps`` is padded with zero vectors to the longest sequence, ``label`` is
     the outcome of the last step. A sequence longer than ``part_size`` goes on in
     further rows (``part`` 1, 2, ...), so no cell grows with the data; its parts
-    are padded to ``part_size``, and parts after its end are all zero and left out.
+    are padded to ``part_size``, and parts after its end, up to the longest sequence, are all zero.
     """
     seq = list(seq)
     placed = over(df, seq, order, {"_at": position()}, largest).withColumn(
@@ -315,12 +320,16 @@ def sequences(
         F.count(F.lit(1)).alias("length"), F.max_by(y, F.struct(*order)).alias("label")
     )
     longest = ends.agg(F.max("length")).scalar()
-    width = F.least(longest, F.lit(part_size))
     zero = F.array(*[F.lit(0.0) for _ in cols])
     real = F.transform("_steps", lambda s: s["v"])
+    every = ends.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((longest - 1) / part_size).cast("int"))))
+    none = F.array().cast(parts.schema["_steps"].dataType)
+    left = longest - F.col("part") * part_size
+    width = F.least(left, F.lit(part_size))
     steps = F.concat(real, F.array_repeat(zero, (width - F.size(real)).cast("int")))
     return (
-        split_join(parts, ends, seq)
+        split_join(every, parts, [*seq, "part"], "left")
+        .withColumn("_steps", F.coalesce("_steps", none))
         .withColumn("steps", steps)
         .withColumn("longest", longest)
         .select(*seq, "part", "steps", "length", "longest", "label")

@@ -13,20 +13,11 @@ from copy import copy
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from seqlytics.functions.expressions import argbest, is_terminal, reward_of
+from seqlytics.functions.expressions import argbest, is_terminal, reward_of, uniform
 from seqlytics.operators.spread import split_join
 from seqlytics.session import checkpoint
 
 ROUNDS_PER_JOB = 6
-# A written table with at most this many rows is worked on in one partition:
-# every join and aggregation of a round then runs without a shuffle.
-SMALL = 200_000
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` cut from its plan; a small one in a single partition."""
-    df = checkpoint(df)
-    return df.coalesce(1) if df.count() <= SMALL else df
 
 
 # --- transition model ------------------------------------------------------
@@ -91,25 +82,35 @@ class Model:
     def __init__(self, model: DataFrame, gamma: float = 0.9, degree: int = 1):
         self.gamma, self.degree = gamma, degree
         end = is_terminal(F.col("next_state"))
-        self.t = _written(
+        self.t = checkpoint(
             model.select(
                 "state",
                 "action",
                 "p",
+                F.col("p_other") if "p_other" in model.columns else F.lit(0.0).alias("p_other"),
                 reward_of(F.col("next_state")).alias("reward"),
                 F.when(end, F.concat_ws("|", F.lit("terminal"), "state", "action")).otherwise(F.col("next_state")).alias("to"),
             )
         )
-        self.one_task = self.t.rdd.getNumPartitions() == 1
         self.states = self.t.select("state").distinct()
+        # with unseen next states in the model, every next state once, the terminals with their reward
+        self.smoothed = "p_other" in model.columns
+        if self.smoothed:
+            reached = model.select(F.col("next_state").alias("state")).distinct()
+            self.reached = checkpoint(reached.select("state", reward_of(F.col("state")).alias("reward"), is_terminal(F.col("state")).alias("end")))
 
     def q(self, v: DataFrame) -> DataFrame:
-        """(state, action, q); a next state without a value counts 0."""
+        """(state, action, q); a next state without a value counts 0.
+
+        In a smoothed model each unseen next state of a group has ``p_other``: all that next states are worth, less what the seen ones are.
+        """
         ahead = v.select(F.col("state").alias("to"), "v")
-        if self.one_task:
-            # both sides sit in the same partition: a merge join needs no exchange
-            ahead = ahead.hint("merge")
-        value = F.sum(F.col("p") * (F.col("reward") + F.lit(self.gamma) * F.coalesce("v", F.lit(0.0))))
+        worth = F.col("reward") + F.lit(self.gamma) * F.coalesce("v", F.lit(0.0))
+        value = F.sum(F.col("p") * worth)
+        if self.smoothed:
+            each = F.col("reward") + F.when(F.col("end"), 0.0).otherwise(F.lit(self.gamma) * F.coalesce("v", F.lit(0.0)))
+            whole = self.reached.join(v, "state", "left").agg(F.sum(each)).scalar()
+            value = value + F.max("p_other") * (F.max(whole) - F.sum(worth))
         if self.degree > 1:
             value = F.pow(value, F.lit(float(self.degree)))
         return self.t.join(ahead, "to", "left").groupBy("state", "action").agg(value.alias("q"))
@@ -122,11 +123,11 @@ def _ready(model: DataFrame | Model, gamma: float, degree: int) -> Model:
     return model if isinstance(model, Model) else Model(model, gamma, degree)
 
 
-def _iterate(start: DataFrame, step, theta: float, max_iter: int) -> DataFrame:
-    """Apply ``step`` until the largest change of v is below ``theta``."""
+def _iterate(start: DataFrame, step, theta: float, max_iter: int, rounds_per_job: int = ROUNDS_PER_JOB) -> DataFrame:
+    """Apply ``step`` until the largest change of v is below ``theta``, or ``max_iter`` times."""
     v, done = start, 0
     while done < max_iter:
-        rounds = min(ROUNDS_PER_JOB, max_iter - done)
+        rounds = min(rounds_per_job, max_iter - done)
         last = v
         for _ in range(rounds - 1):
             last = step(last)
@@ -134,13 +135,13 @@ def _iterate(start: DataFrame, step, theta: float, max_iter: int) -> DataFrame:
         done += rounds
         if theta > 0:
             new = new.join(last.withColumnRenamed("v", "_was"), "state", "left")
-            new = _written(new)
+            new = checkpoint(new)
             change = new.agg(F.max(F.abs(F.col("v") - F.coalesce("_was", F.lit(0.0))))).first()[0]
             v = new.drop("_was")
             if change is None or change < theta:
                 break
         else:
-            v = _written(new)
+            v = checkpoint(new)
     return v
 
 
@@ -149,7 +150,9 @@ def value_iteration(
 ) -> DataFrame:
     """(state, v): all states updated together each round; ``theta=0`` runs exactly ``max_iter`` rounds."""
     m = _ready(model, gamma, degree)
-    return _iterate(m.zero(), lambda v: m.q(v).groupBy("state").agg(F.max("q").alias("v")), theta, max_iter)
+    # a smoothed model reads the values twice in a round, so each round is written
+    rounds = 1 if m.smoothed else ROUNDS_PER_JOB
+    return _iterate(m.zero(), lambda v: m.q(v).groupBy("state").agg(F.max("q").alias("v")), theta, max_iter, rounds)
 
 
 def q_values(model: DataFrame | Model, values: DataFrame, gamma: float = 0.9, degree: int = 1) -> DataFrame:
@@ -191,15 +194,15 @@ def policy_iteration(
     plain = copy(m)
     plain.degree = 1  # a fixed policy is evaluated with plain values
     # the first action that a state has, in name order
-    policy = _written(m.t.groupBy("state").agg(F.min("action").alias("action")))
+    policy = checkpoint(m.t.groupBy("state").agg(F.min("action").alias("action")))
     v = m.zero()
     for _ in range(max_iter):
         def follow(values: DataFrame, policy: DataFrame = policy) -> DataFrame:
             chosen = plain.q(values).join(policy, ["state", "action"], "left_semi")
             return chosen.select("state", F.col("q").alias("v"))
 
-        v = _iterate(v, follow, theta, max_iter)
-        better = _written(_best(m.q(v)).select("state", "action"))
+        v = _iterate(v, follow, theta, max_iter, 1 if m.smoothed else ROUNDS_PER_JOB)
+        better = checkpoint(_best(m.q(v)).select("state", "action"))
         moved = better.join(policy.withColumnRenamed("action", "_old"), "state").where(F.col("action") != F.col("_old"))
         policy = better
         if moved.isEmpty():
@@ -269,8 +272,7 @@ def pick_action(dist: DataFrame, group: Sequence[str], seed: int | None = None)
         return dist.groupBy(*keys).agg(
             argbest(F.col("p"), F.col("action")).alias("action"), F.max("p").alias("p")
         )
-    # The bits of a hash of the group as a number in [0, 1).
-    u = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    u = uniform(keys, seed)
     w = Window.partitionBy(*keys).orderBy("action").rowsBetween(Window.unboundedPreceding, 0)
     upto = dist.withColumn("_upto", F.sum("p").over(w)).withColumn("_u", u)
     pick = F.coalesce(
@@ -292,8 +294,8 @@ def propagate(
     (a start state, an entity), not from rows.
     """
     ids, on = list(ids), list(on)
-    model = _written(model.select("state", "action", "next_state", "p"))
-    actions = _written(actions.select(*on, "state", "action", "p"))
+    model = checkpoint(model.select("state", "action", "next_state", "p"))
+    actions = checkpoint(actions.select(*on, "state", "action", "p"))
     space = model.select("state").distinct()
     size = space.count()
     every = space.agg(F.collect_set("state")).scalar()
@@ -301,7 +303,7 @@ def propagate(
 
     grid = start.groupBy(*ids).agg(F.lit(0.0).alias("mass")).withColumn("state", F.explode(every))
     mass = start.select(*ids, "state", "mass").unionByName(grid.select(*ids, "state", "mass"))
-    mass = _written(mass.groupBy(*ids, "state").agg(F.sum("mass").alias("mass")))
+    mass = checkpoint(mass.groupBy(*ids, "state").agg(F.sum("mass").alias("mass")))
     states, mixes = [], []
     for step in range(1, n + 1):
         states.append(mass.where(F.col("mass") > 0).withColumn("step", F.lit(step)))
@@ -324,7 +326,7 @@ def propagate(
         lost = F.col("mass") - F.col("left")
         whole = F.sum(lost).over(Window.partitionBy(*ids))
         even = (whole - lost) / F.lit(float(size - 1)) if size > 1 else lost
-        mass = _written(sums.select(*ids, "state", (F.col("in") + even).alias("mass")))
+        mass = checkpoint(sums.select(*ids, "state", (F.col("in") + even).alias("mass")))
 
     def stacked(parts: list[DataFrame], cols: Sequence[str]) -> DataFrame:
         out = parts[0]

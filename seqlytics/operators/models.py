@@ -166,7 +166,8 @@ def compare_models(
     ).orderBy(F.col(first).asc_nulls_last() if up else F.col(first).desc_nulls_last(), "model")
     best = None
     if refit:
-        winner = (min if up else max)(rows, key=lambda r: r[first])["model"]
+        worst = float("inf") if up else float("-inf")
+        winner = (min if up else max)(rows, key=lambda r: worst if r[first] is None else r[first])["model"]
         best = Pipeline(stages=[*scaled_features(features), estimators[winner]]).fit(df)
     return table, best
 

@@ -13,7 +13,6 @@ from seqlytics.operators.spread import counted, over, position, quantiles_of, sp
 RESULT_FLAGS = ("Strikeout", "Walk")
 OUT_RESULTS = ("Out", "Strikeout")
 BASE_RESULTS = ("Single", "Double", "Triple", "HomeRun", "Walk", "Sacrifice")
-HIT_RESULTS = ("Single", "Double", "Triple", "HomeRun")
 
 
 def value_counts(df: DataFrame, col: str, out: str = "n") -> DataFrame:

@@ -6,7 +6,7 @@ from seqlytics.functions.expressions import reward_of
 from seqlytics.operators import markov as m
 from seqlytics.operators import sequence as s
 from seqlytics.operators.spread import largest_group, over, position
-from seqlytics.plans.sql import GAMES, PITCHES, STEPS, model, policy, rounds, spread, with_
+from seqlytics.plans.sql import GAMES, PITCHES, STEPS, model, policy, rounds, spread, with_, smoothed_model
 from seqlytics.session import checkpoint
 from seqlytics.sources.tables import PITCH_ORDER, STEP_ORDER, STEP_SEQUENCE, pitches, steps, table
 
@@ -126,6 +126,11 @@ def value_iteration(spark, d):
     return _values(spark, d)[1].withColumn("v", F.round("v", 6))
 
 
+def value_iteration_smoothed(spark, d):
+    solved = m.Model(m.transitions(step_states(spark, d), alpha=0.5, support="all"))
+    return m.value_iteration(solved, theta=0.0, max_iter=ROUNDS).withColumn("v", F.round("v", 6))
+
+
 def greedy_policy(spark, d):
     return m.greedy_policy(*_values(spark, d)).withColumn("q", F.round("q", 6))
 
@@ -280,6 +285,10 @@ QUERIES = {
           AS DOUBLE) AS reward FROM states GROUP BY next_state""",
     ),
     "value_iteration": (value_iteration, with_(*_MODEL) + f"SELECT state, round(v, 6) AS v FROM v{ROUNDS}"),
+    "value_iteration_smoothed": (
+        value_iteration_smoothed,
+        with_(STEPS, smoothed_model(0.5), rounds(ROUNDS)) + f"SELECT state, round(v, 6) AS v FROM v{ROUNDS}",
+    ),
     "greedy_policy": (
         greedy_policy,
         with_(*_MODEL, policy(ROUNDS)) + "SELECT state, action, round(q, 6) AS q FROM policy",
@@ -307,7 +316,14 @@ QUERIES = {
         + """SELECT user_id, state, action, round(p, 6) AS p FROM (SELECT *, row_number() OVER (
           PARTITION BY user_id, state ORDER BY round(p, 9) DESC, action) AS rn FROM rec) WHERE rn = 1""",
     ),
-    "pick_action_draw": (pick_action_draw, None),
+    "pick_action_draw": (
+        pick_action_draw,
+        with_(*_REC)
+        + """SELECT user_id, state, coalesce(min(action) FILTER (upto > u), max(action)) AS action FROM (
+          SELECT *, sum(p) OVER (PARTITION BY user_id, state ORDER BY action) AS upto,
+            (('0x' || substr(md5(user_id || '|' || state || '|42'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u FROM rec)
+          GROUP BY user_id, state""",
+    ),
     "propagate_steps": (
         propagate_steps,
         with_(*_AHEAD)

@@ -123,7 +123,12 @@ def fill_from_defaults(spark, d):
 
 
 def add_noise(spark, d):
-    return e.add_noise(pitches(spark, d, ["game_id", "spin_rate"]), ["spin_rate"], 0.01, 7)
+    rows = pitches(spark, d, ["game_id", "pitch_of_pa", "spin_rate"])
+    return e.add_noise(rows, ["spin_rate"], ["game_id", "pitch_of_pa"], 0.01, 7).withColumn("spin_rate", F.round("spin_rate", 6))
+
+
+def _draw(seed):
+    return f"(('0x' || substr(md5(game_id || '|' || pitch_of_pa || '|{seed}'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE"
 
 
 def min_max(spark, d):
@@ -158,11 +163,15 @@ def one_hot(spark, d):
 _KINDS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 
 
+# far fewer steps to a part than in use, so that sequences of several parts are read here as well
+PART = 2
+
+
 def padded_sequences(spark, d):
-    packed = e.sequences(steps(spark, d), STEP_SEQUENCE, STEP_ORDER, ["value", "success"], "action")
+    packed = e.sequences(steps(spark, d), STEP_SEQUENCE, STEP_ORDER, ["value", "success"], "action", PART)
     return packed.select(
-        "user_id", F.col("day").cast("string").alias("day"), "length", "longest", "label", F.posexplode("steps").alias("pos", "v")
-    ).select("user_id", "day", "length", "longest", "label", "pos", F.col("v")[0].alias("value"), F.col("v")[1].alias("success"))
+        "user_id", F.col("day").cast("string").alias("day"), "length", "longest", "label", "part", F.posexplode("steps").alias("pos", "v")
+    ).select("user_id", "day", "length", "longest", "label", (F.col("part") * PART + F.col("pos")).alias("pos"), F.col("v")[0].alias("value"), F.col("v")[1].alias("success"))
 
 
 def surrogate_id(spark, d):
@@ -255,7 +264,12 @@ QUERIES = {
             ELSE (SELECT p_type FROM part GROUP BY p_type ORDER BY count(*) DESC, p_type LIMIT 1) END AS p_type,
           (SELECT p_brand FROM part GROUP BY p_brand ORDER BY count(*) DESC, p_brand LIMIT 1) AS p_brand FROM part""",
     ),
-    "add_noise": (add_noise, None),
+    "add_noise": (
+        add_noise,
+        with_(PITCHES)
+        + f"""SELECT game_id, pitch_of_pa, round(spin_rate + sqrt(-2 * ln({_draw(7)})) * cos(2 * pi() * {_draw(8)})
+          * (SELECT stddev_pop(spin_rate) FROM pitches) * 0.01, 6) AS spin_rate FROM pitches""",
+    ),
     "min_max": (
         min_max,
         with_(PITCHES)

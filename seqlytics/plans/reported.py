@@ -39,9 +39,13 @@ def _games(spark, d):
 _GAMES = "gm AS (SELECT *, CASE WHEN outs_on_play = 1 THEN play_result END AS flag FROM pitches)"
 
 
+# far fewer rows to a part than in use, so that games of several parts are read here as well
+PART = 2
+
+
 def _rolled(spark, d):
     return r.rollup_sequences(
-        _games(spark, d), ["game_id"], PITCH_ORDER, ["pitch_type", "flag"], ["outs_on_play", "runs_scored"]
+        _games(spark, d), ["game_id"], PITCH_ORDER, ["pitch_type", "flag"], ["outs_on_play", "runs_scored"], PART
     )
 
 
@@ -49,13 +53,14 @@ def rollup_sequences(spark, d):
     def text(c):
         return F.array_join(c, ",", "-").alias(c)
 
-    return _rolled(spark, d).select("game_id", text("pitch_type"), text("flag"), "outs_on_play", "runs_scored")
+    return _rolled(spark, d).select("game_id", "part", text("pitch_type"), text("flag"), "outs_on_play", "runs_scored")
 
 
 def last_in_sequence(spark, d):
     rolled = _rolled(spark, d)
     # the last element of the list, and the same without a list
-    listed = rolled.select("game_id", r.last_of("pitch_type").alias("listed_type"), r.last_of("flag").alias("listed_flag"))
+    ends = {name: F.max_by(r.last_of(c), "part").alias(name) for name, c in (("listed_type", "pitch_type"), ("listed_flag", "flag"))}
+    listed = rolled.groupBy("game_id").agg(*ends.values())
     direct = r.last_in_sequence(_games(spark, d), ["game_id"], PITCH_ORDER, {"last_type": "pitch_type", "last_flag": "flag"})
     return listed.join(direct, "game_id")
 
@@ -159,10 +164,15 @@ QUERIES = {
     ),
     "rollup_sequences": (
         rollup_sequences,
-        with_(PITCHES, _GAMES)
-        + f"""SELECT game_id, string_agg(pitch_type, ',' ORDER BY {ORDER}) AS pitch_type,
-          string_agg(coalesce(flag, '-'), ',' ORDER BY {ORDER}) AS flag, CAST(sum(outs_on_play) AS BIGINT) AS outs_on_play,
-          CAST(sum(runs_scored) AS BIGINT) AS runs_scored FROM gm GROUP BY game_id""",
+        with_(
+            PITCHES,
+            _GAMES,
+            f"""z AS (SELECT *, CAST((row_number() OVER (PARTITION BY game_id ORDER BY {ORDER}) - 1) // {PART} AS INTEGER) AS part,
+              sum(outs_on_play) OVER (PARTITION BY game_id) AS outs, sum(runs_scored) OVER (PARTITION BY game_id) AS runs FROM gm)""",
+        )
+        + f"""SELECT game_id, part, string_agg(pitch_type, ',' ORDER BY {ORDER}) AS pitch_type,
+          string_agg(coalesce(flag, '-'), ',' ORDER BY {ORDER}) AS flag, CAST(max(outs) AS BIGINT) AS outs_on_play,
+          CAST(max(runs) AS BIGINT) AS runs_scored FROM z GROUP BY game_id, part""",
     ),
     "last_in_sequence": (
         last_in_sequence,

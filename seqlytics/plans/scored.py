@@ -185,22 +185,26 @@ def attach_best(spark, d):
     return s.attach_best(table_, ["season", "pitch_of_pa"], "score", "pitch_type")
 
 
-MOST = 7
+# The wished length of some matchups; their plans are longer than any matchup was.
+WISH = 12
 
 
 def predict_plan(spark, d):
     """Length of each matchup, the likely action per step, and its outcome chances."""
     t = game_model(game_usage(spark, d))
     start = t.agg(F.lit("all").alias("start"), F.lit("0_None").alias("state"), F.lit(1.0).alias("mass"))
-    mixes = m.propagate(start, frequencies(t), t, MOST, ids=["start"])[1]
-    plan = m.pick_action(mixes.withColumn("p", F.round("p", 9)), ["start", "step"])
-
     rows, scores = _what_if(spark, d)
     lengths = pitches(spark, d, [*PAIR, "pitch_of_pa"]).groupBy(*PAIR).agg((F.avg("pitch_of_pa")).alias("length"))
-    asked = lengths.select(*PAIR, F.when(F.col("pitcher_id") % 10 == 0, F.lit(MOST)).alias("wish"))
-    planned = s.plan_lengths(asked, lengths.where(F.col("pitcher_id") % 10 != 1), PAIR, "wish", default=3)
+    asked = lengths.select(*PAIR, F.when(F.col("pitcher_id") % 10 == 0, F.lit(WISH)).alias("wish"))
+    planned = s.plan_lengths(asked, lengths.where(F.col("pitcher_id") % 10 != 1), PAIR, "wish", default=10)
+    # as many steps as the longest plan asks for, so that no step is without an action
+    longest = planned.agg(F.max("n")).first()[0] or 1
+    mixes = m.propagate(start, frequencies(t), t, longest, ids=["start"])[1]
+    plan = m.pick_action(mixes.withColumn("p", F.round("p", 9)), ["start", "step"])
     each = planned.withColumn("step", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    taken = each.join(plan.select("step", F.col("action").alias("pitch_type")), "step")
+    taken = each.join(plan.select("step", F.col("action").alias("pitch_type")), "step", "left")
+    missing = F.raise_error(F.concat(F.lit("no action for step "), F.col("step").cast("string"))).cast("string")
+    taken = taken.withColumn("pitch_type", F.coalesce("pitch_type", missing))
     probs = s.score_action(rows, taken, scores, *PAIR, "pitch_type", ["balls"], CLASSES)
     full = s.plan_table(taken, probs, [*PAIR, "pitch_type"])
     return full.select(*PAIR, "step", "pitch_type", F.explode("probabilities").alias("outcome", "p"))
@@ -347,11 +351,11 @@ QUERIES = {
             model("gstates", "pitch_type"),
             _FREQ,
             "acts AS (SELECT * FROM freq)",
-            spread(MOST, "start", "SELECT 'all' AS start, '0_None' AS state, CAST(1 AS DOUBLE) AS mass"),
-            _picked(MOST, "start"),
+            spread(WISH, "start", "SELECT 'all' AS start, '0_None' AS state, CAST(1 AS DOUBLE) AS mass"),
+            _picked(WISH, "start"),
             _SCORES,
             _WEIGHTS,
-            f"""ln AS (SELECT pitcher_id, batter_id, CASE WHEN pitcher_id % 10 = 0 THEN {MOST} WHEN pitcher_id % 10 = 1 THEN 3
+            f"""ln AS (SELECT pitcher_id, batter_id, CASE WHEN pitcher_id % 10 = 0 THEN {WISH} WHEN pitcher_id % 10 = 1 THEN 10
               ELSE CAST(ceil(avg(pitch_of_pa)) AS INTEGER) END AS n FROM pitches GROUP BY pitcher_id, batter_id)""",
             """tk AS (SELECT pitcher_id, batter_id, CAST(step AS INTEGER) AS step, action AS pitch_type FROM ln JOIN picked ON step <= n)""",
             """z AS (SELECT pitcher_id, batter_id, w.pitch_type, round(sum(n * coalesce(ball, 1/3)) / sum(n), 4) AS "Ball",

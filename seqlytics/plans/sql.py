@@ -56,7 +56,21 @@ def model(rows: str = "states", action: str = "action") -> str:
   SELECT state, {action} AS action, next_state, count(*) AS n,
     count(*) / sum(count(*)) OVER (PARTITION BY state, {action}) AS p
   FROM {rows} GROUP BY state, {action}, next_state),
-base AS (
+{_BASE}"""
+
+
+def smoothed_model(alpha: float, rows: str = "states", action: str = "action") -> str:
+    """The same with every next state of the model written out for every state and action."""
+    return f"""seen AS (SELECT state, {action} AS action, next_state, count(*) AS n FROM {rows} GROUP BY ALL),
+t AS (
+  SELECT g.state, g.action, x.next_state, coalesce(n, 0) AS n,
+    (coalesce(n, 0) + CAST({alpha} AS DOUBLE)) / (total + CAST({alpha} AS DOUBLE) * (SELECT count(DISTINCT next_state) FROM seen)) AS p
+  FROM (SELECT state, action, sum(n) AS total FROM seen GROUP BY ALL) g CROSS JOIN (SELECT DISTINCT next_state FROM seen) x
+  LEFT JOIN seen s ON s.state = g.state AND s.action = g.action AND s.next_state = x.next_state),
+{_BASE}"""
+
+
+_BASE = """base AS (
   SELECT state, action, sum(p * CASE next_state WHEN 'terminal_out' THEN 1 WHEN 'terminal_hit' THEN -1 ELSE 0 END) AS base
   FROM t GROUP BY state, action),
 moves AS (SELECT * FROM t WHERE substr(next_state, 1, 8) <> 'terminal')"""

@@ -86,8 +86,8 @@ def test_seq_id_and_noise(spark):
     assert rows(e.ensure_seq_id(df, "id", ["s"]), "id") == [("a", 1), ("b", 2)]
     assert e.ensure_seq_id(df, "id").select("id").distinct().count() == 2
     assert e.ensure_seq_id(df, "s").columns == ["s"]
-    x = spark.range(2000).select((F.col("id") % 10).cast("double").alias("x"))
-    moved = e.add_noise(x.withColumn("old", F.col("x")), ["x"], 0.01, 1).agg(F.stddev(F.col("x") - F.col("old"))).first()[0]
+    x = spark.range(2000).select("id", (F.col("id") % 10).cast("double").alias("x"))
+    moved = e.add_noise(x.withColumn("old", F.col("x")), ["x"], ["id"], 0.01, 1).agg(F.stddev(F.col("x") - F.col("old"))).first()[0]
     assert 0.02 < moved < 0.04  # a hundredth of the deviation, 2.87
 
 

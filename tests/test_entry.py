@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import compare, connect
+from seqlytics.plans.registry import all_queries
 
 FOLDER = "/root/testdata/sf0.001"
 # the spread paths of these run in the other tests; the fits take long and have no SQL text
@@ -23,10 +24,10 @@ def test_entry_gives_rows(spark):
 
 def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert not any(n.startswith("op") and n[2:3].isdigit() or "pipeline" in n for n in entry.queries())
+    assert set(all_queries()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(all_queries()) - SLOW))
 def test_query(spark, con, name):
     good, note = compare(spark, con, FOLDER, name, entry.queries()[name], entry.oracle_sql().get(name))
     assert good, note
