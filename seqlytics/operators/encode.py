@@ -305,8 +305,8 @@ def sequences(
 
     ``steps`` is padded with zero vectors to the longest sequence, ``label`` is
     the outcome of the last step. A sequence longer than ``part_size`` goes on in
-    further rows (``part`` 1, 2, ...), so no cell grows with the data; its parts
-    are padded to ``part_size``, and parts after its end, up to the longest sequence, are all zero.
+    further rows (``part`` 1, 2, ...), so no cell grows with the data; every
+    sequence has the parts of the longest one, all zero after its own end.
     """
     seq = list(seq)
     placed = over(df, seq, order, {"_at": position()}, largest).withColumn(

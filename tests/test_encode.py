@@ -78,7 +78,7 @@ def test_sequences_pad_and_part(spark, both_ways):
     got = rows(e.sequences(df, ["s"], ["i"], ["x"], "y"), "s")
     assert got == [("a", 0, [[1.0], [2.0], [3.0]], 3, 3, "o3"), ("b", 0, [[9.0], [0.0], [0.0]], 1, 3, "end")]
     parts = rows(e.sequences(df, ["s"], ["i"], ["x"], "y", part_size=2), "s", "part")
-    assert [p[2] for p in parts] == [[[1.0], [2.0]], [[3.0], [0.0]], [[9.0], [0.0]]]
+    assert [p[2] for p in parts] == [[[1.0], [2.0]], [[3.0]], [[9.0], [0.0]], [[0.0]]]
 
 
 def test_seq_id_and_noise(spark):
