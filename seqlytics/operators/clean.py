@@ -22,6 +22,7 @@ ACTION_RULES = (
     (r"(?i)^changeup$", "ChangeUp"),
     (r"(?i)(twoseamfastball|oneseamfastball)", "TwoSeamFastBall"),
 )
+# fixed values
 UNDEFINED = r"(?i)^undefined"
 SENTINEL = "no recorded value"
 

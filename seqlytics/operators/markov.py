@@ -7,6 +7,7 @@ checkpoint folder, so the plan does not grow with the number of rounds.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from copy import copy
 
@@ -142,6 +143,9 @@ def _iterate(start: DataFrame, step, theta: float, max_iter: int, rounds_per_job
                 break
         else:
             v = checkpoint(new)
+    else:
+        if theta > 0:
+            warnings.warn(f"values still changed by {theta} or more after {max_iter} rounds", stacklevel=3)
     return v
 
 

@@ -63,10 +63,12 @@ def target_encode(spark, d):
 
 
 def apply_target_encode(spark, d):
-    known = _team_rows(spark, d).where(F.col("pitcher_id") % 2 == 0)
+    known = _team_rows(spark, d)
     overall = known.agg(F.avg("spin_rate")).scalar()
     enc = e.fit_target_encoding(known, "pitcher_id", "spin_rate")
-    asked = table(spark, d, "supplier").select(F.col("s_suppkey").alias("pitcher_id"), "s_name")
+    key = F.col("s_suppkey")
+    # every other asked key is one that no row has
+    asked = table(spark, d, "supplier").select(F.when(key % 2 == 1, key + 1000000000).otherwise(key).alias("pitcher_id"), "s_name")
     return e.apply_target_encoding(asked, enc, "pitcher_id", overall, "encoding").withColumn("encoding", F.round("encoding", 5))
 
 
@@ -225,13 +227,13 @@ QUERIES = {
         apply_target_encode,
         with_(
             PITCHES,
-            "k AS (SELECT * FROM pitches WHERE pitcher_id % 2 = 0)",
-            "g AS (SELECT avg(spin_rate) AS m FROM k)",
+            "g AS (SELECT avg(spin_rate) AS m FROM pitches)",
             """enc AS (SELECT pitcher_id, count(*) / (count(*) + 10) * avg(spin_rate)
-              + (1 - count(*) / (count(*) + 10)) * (SELECT m FROM g) AS e FROM k GROUP BY pitcher_id)""",
+              + (1 - count(*) / (count(*) + 10)) * (SELECT m FROM g) AS e FROM pitches GROUP BY pitcher_id)""",
         )
-        + """SELECT s_suppkey AS pitcher_id, s_name, round(coalesce(e, (SELECT m FROM g)), 5) AS encoding
-          FROM supplier LEFT JOIN enc ON pitcher_id = s_suppkey""",
+        + """SELECT CASE WHEN s_suppkey % 2 = 1 THEN s_suppkey + 1000000000 ELSE s_suppkey END AS pitcher_id, s_name,
+          round(coalesce(e, (SELECT m FROM g)), 5) AS encoding
+          FROM supplier LEFT JOIN enc ON pitcher_id = s_suppkey AND s_suppkey % 2 = 0""",
     ),
     "mutual_info": (mutual_info, _mi_sql(8, 4)),
     "polynomial_features": (

@@ -196,7 +196,7 @@ def predict_plan(spark, d):
     rows, scores = _what_if(spark, d)
     lengths = pitches(spark, d, [*PAIR, "pitch_of_pa"]).groupBy(*PAIR).agg((F.avg("pitch_of_pa")).alias("length"))
     asked = lengths.select(*PAIR, F.when(F.col("pitcher_id") % 10 == 0, F.lit(WISH)).alias("wish"))
-    planned = s.plan_lengths(asked, lengths.where(F.col("pitcher_id") % 10 != 1), PAIR, "wish", default=10)
+    planned = s.plan_lengths(asked, lengths, PAIR, "wish", default=10)
     # as many steps as the longest plan asks for, so that no step is without an action
     longest = planned.agg(F.max("n")).first()[0] or 1
     mixes = m.propagate(start, frequencies(t), t, longest, ids=["start"])[1]
@@ -355,7 +355,7 @@ QUERIES = {
             _picked(WISH, "start"),
             _SCORES,
             _WEIGHTS,
-            f"""ln AS (SELECT pitcher_id, batter_id, CASE WHEN pitcher_id % 10 = 0 THEN {WISH} WHEN pitcher_id % 10 = 1 THEN 10
+            f"""ln AS (SELECT pitcher_id, batter_id, CASE WHEN pitcher_id % 10 = 0 THEN {WISH}
               ELSE CAST(ceil(avg(pitch_of_pa)) AS INTEGER) END AS n FROM pitches GROUP BY pitcher_id, batter_id)""",
             """tk AS (SELECT pitcher_id, batter_id, CAST(step AS INTEGER) AS step, action AS pitch_type FROM ln JOIN picked ON step <= n)""",
             """z AS (SELECT pitcher_id, batter_id, w.pitch_type, round(sum(n * coalesce(ball, 1/3)) / sum(n), 4) AS "Ball",

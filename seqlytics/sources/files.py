@@ -32,7 +32,9 @@ def _layouts(spark: SparkSession, root: str) -> DataFrame:
 
 def _names(header: Column) -> Column:
     clean = F.regexp_replace(header, "[\\r\\uFEFF]", "")
-    return F.transform(F.split(clean, ","), lambda c: F.trim(F.regexp_replace(c, '"', "")))
+    # every name follows a comma; commas between quotes belong to the name
+    cells = F.regexp_extract_all(F.concat(F.lit(","), clean), F.lit(',("(?:[^"]|"")*"|[^,]*)'), 1)
+    return F.transform(cells, lambda c: F.trim(F.regexp_replace(c, '"', "")))
 
 
 def read_csv_tree(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
@@ -120,13 +122,15 @@ def latest_version(spark: SparkSession, folder: str, prefix: str) -> str | None:
     return f"{folder}/{found[0]}" if found and found[0] else None
 
 
-def write_report(df: DataFrame, folder: str, by: Sequence[str]) -> None:
-    """CSV with a header, one set of files per value of ``by``.
+def write_report(df: DataFrame, folder: str, by: Sequence[str], width: int = 8) -> None:
+    """CSV with a header, at most ``width`` files per value of ``by``.
 
-    Rows are not gathered per value first: a value that fills the table is
-    written by many tasks.
+    A value that fills the table is written by ``width`` tasks; which rows each of them gets follows
+    from the rows alone, so a task that is run again writes the same.
     """
-    df.write.mode("overwrite").partitionBy(*by).option("header", "true").csv(folder)
+    every = [F.col(f"`{c}`") for c in df.columns]
+    dealt = df.repartition(*[F.col(f"`{c}`") for c in by], F.pmod(F.xxhash64(*every), F.lit(width)))
+    dealt.write.mode("overwrite").partitionBy(*by).option("header", "true").csv(folder)
 
 
 def read_metrics(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:

@@ -32,6 +32,21 @@ def test_csv_tree(spark, tmp_path):
     assert [x[0].rsplit("/", 1)[1] for x in rows(files.skipped_files(spark, root, SCHEMA))] == ["broken.csv"]
 
 
+def test_csv_header_with_commas_in_quotes(spark, tmp_path):
+    (tmp_path / "q.csv").write_text(',"last, first",name,"n",x\n9,zz,ann,4,0.5\n')
+    df = files.read_csv_tree(spark, str(tmp_path), SCHEMA)
+    assert rows(df) == [("ann", 4, 0.5)]
+
+
+def test_report_files_are_bounded(spark, tmp_path):
+    out = tmp_path / "report"
+    df = spark.range(0, 400, 1, 20).selectExpr("if(id < 300, 'hot', cast(id % 3 as string)) as kind", "id")
+    files.write_report(df, str(out), ["kind"], width=2)
+    counts = [len(list(p.glob("*.csv"))) for p in out.glob("kind=*")]
+    assert len(counts) == 4 and max(counts) <= 2
+    assert spark.read.option("header", "true").csv(str(out)).count() == 400
+
+
 def test_csv_tree_without_files(spark, tmp_path):
     (tmp_path / "x.txt").write_text("nothing")
     df = files.read_csv_tree(spark, str(tmp_path), SCHEMA)
