@@ -66,10 +66,7 @@ def tiny(spark):
     return spark.createDataFrame(data, "state string, action string, next_state string, p double")
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_values_and_policies(spark, monkeypatch, small):
-    if not small:
-        monkeypatch.setattr(m, "SMALL", 0)
+def test_values_and_policies(spark):
     t = tiny(spark)
     v = m.value_iteration(t)
     assert rows(v, "state") == [("s1", 0.9), ("s2", 1.0)]
