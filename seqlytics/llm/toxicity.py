@@ -102,25 +102,31 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: list[list[int]] = [[] for _ in range(batch.num_rows)]
+            held = [b""] * batch.num_rows
             for i, row, bucket in _features(batch.column("text").to_pylist(), wanted):
-                for k, b in zip(row.tolist(), bucket.tolist()):
-                    held[i + k].append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int64())), batch.column("toxic").cast(pa.int64())], ["buckets", "toxic"])
-
-    sample = rows.mapInArrow(pick, "buckets array<long>, toxic long").orderBy("toxic", "buckets").collect()
-    y = np.array([t for _, t in sample], float)
-    row = np.repeat(np.arange(len(sample)), [len(b) for b, _ in sample])
-    col = np.fromiter((x for b, _ in sample for x in b), np.int64, len(row))
-    used, col = np.unique(col, return_inverse=True)
+                edges = [*np.flatnonzero(np.diff(row, prepend=-1)).tolist(), len(row)]
+                for begin, end in zip(edges[:-1], edges[1:]):
+                    held[i + int(row[begin])] = bucket[begin:end].astype(np.int32).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), batch.column("toxic").cast(pa.int64())], ["buckets", "toxic"])
+
+    # at most ``most_rows`` rows, in an order that does not depend on the tasks
+    sample = sorted((t, bytes(b)) for b, t in rows.mapInArrow(pick, "buckets binary, toxic long").collect())
+    y = np.array([t for t, _ in sample], float)
+    size = np.array([len(b) // 4 for _, b in sample])
+    col = np.frombuffer(b"".join(b for _, b in sample), np.int32)
+    del sample
+    held = np.zeros(1 << BUCKET_BITS, bool)
+    held[col] = True
+    used = np.flatnonzero(held)
+    col = (np.cumsum(held) - 1)[col]
+    row = np.repeat(np.arange(len(y)), size)
     scale = ratios[used]
-    x = scale[col]
     w, bias = np.zeros(len(used)), prior
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for k in range(1, ROUNDS + 1):
-        margin = np.bincount(row, x * w[col], len(y)) + bias
+        margin = np.bincount(row, (w * scale)[col], len(y)) + bias
         err = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y
-        grad = np.append(np.bincount(col, x * err[row], len(used)) / len(y) + RIDGE * w, err.mean())
+        grad = np.append(scale * np.bincount(col, err[row], len(used)) / len(y) + RIDGE * w, err.mean())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         step = 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
