@@ -4,14 +4,13 @@ Signatures are computed in Arrow batches, where every shingle is a Poisson proce
 registers; a text is done when its next arrivals come later than all its registers hold. Candidates meet by band hash.
 A bucket's members are checked against its first member only; members that are tied by then need no check. Those of a
 bucket that are still apart meet once more, by their rarest shingles: two texts that reach the similarity share one of
-these, so a group of n copies costs n checks, a group of merely related texts few, and no link between two different
-texts of a bucket is lost.
+these. Only bounds that no alike pair fails keep a pair from its check. So a group of n copies costs n checks, a group of merely
+related texts few, and no link between two different texts of a bucket is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +27,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: 40 bands of 8 registers: a pair at 0.8 meets with a chance of 0.9994, at 0.5 of 0.15, at 0.3 of 0.003.
 BANDS, ROWS = 40, 8
-#: Pairs in the second round whose registers show less than the similarity by so many standard errors are left: one in 2,000 at 0.8.
-LEEWAY = 3.3
+#: Bits of a text's shingle map. Longer texts fill theirs, so that fewer pairs are known to be unlike before their check.
+MAP_BITS = 2048
 MOST_IDS_SENT = 1_000_000
 U = np.uint64
 
@@ -97,18 +96,11 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def four_bits(signature: np.ndarray) -> np.ndarray:
-    """The upper four bits of every register, sixteen to a long."""
-    part = (signature >> U(60)).reshape(len(signature), -1, 16) << (U(4) * np.arange(16, dtype=U))
-    return np.bitwise_or.reduce(part, axis=2)
-
-
-def _estimate(bits: str, other: str, registers: int) -> Column:
-    """The likeness that two texts' four-bit registers show: unlike ones agree in one of sixteen cases."""
-    mark = "(shiftright(x ^ y, {0}))"
-    differ = " | ".join(["(x ^ y)", *(mark.format(i) for i in (1, 2, 3))])
-    unlike = F.expr(f"aggregate(zip_with({bits}, {other}, (x, y) -> bit_count(({differ}) & 1229782938247303441L)), 0, (acc, n) -> acc + n)")
-    return (1 - unlike / F.lit(registers) - 1 / 16) * (16 / 15)
+def shingle_maps(h: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
+    """A bit for each value of a hash's upper bits, set where a shingle of the text has it; 64 to a long."""
+    there = np.zeros((texts, MAP_BITS), bool)
+    there[text, (h >> U(64 - MAP_BITS.bit_length() + 1)).astype(np.int64)] = True
+    return np.packbits(there, axis=1).view(np.int64)
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -130,7 +122,7 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def _signed(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
-    """(doc_id, same, bands, bits): a hash of the whole text, the band hashes and short registers; none for texts without words."""
+    """(doc_id, same, bands): a hash of the whole text and the band hashes; none for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,10 +138,10 @@ def _signed(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
                 found = band_hashes(sig, bands, rows).view(np.int64)
                 raw = part.tobytes()
                 same = [hashlib.blake2b(raw[at[t] : at[t + 1]], digest_size=16).digest() for t in held.tolist()]
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel())) for x in (found, four_bits(sig).view(np.int64))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(held + i)), pa.array(same, pa.binary()), *lists], ["doc_id", "same", "bands", "bits"])
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, bands, dtype=np.int32)), pa.array(found.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(held + i)), pa.array(same, pa.binary()), flat], ["doc_id", "same", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same binary, bands array<long>, bits array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same binary, bands array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -215,6 +207,34 @@ def _may_reach(similarity: float) -> Column:
     return (m >= similarity * (F.col("of") + F.col("of_b") - m) - 1e-9) | ((1 - u) * (1 - v) >= similarity * (1 - u * v) - 1e-9)
 
 
+def _mapped(texts: DataFrame, k: int) -> DataFrame:
+    """(doc_id, total, bits): the number of shingles with their repeats, and the shingle map."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = grams.flat(batch.column("text"))
+            for i, j in grams.pieces(offsets):
+                h, text = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
+                bits = shingle_maps(h, text, j - i)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, bits.shape[1], dtype=np.int32)), pa.array(bits.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.bincount(text, minlength=j - i)), lists], ["doc_id", "total", "bits"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, total long, bits array<long>")
+
+
+def _maps_may_reach(similarity: float) -> Column:
+    """Whether two texts can reach ``similarity`` by their shingle maps.
+
+    A bit that only one text has stands for at least one shingle that the other lacks, of a weight of 1 / total at least; the
+    bounds are those of ``_may_reach``. So no alike pair is left out.
+    """
+    only = lambda x, y: F.expr(f"aggregate(zip_with({x}, {y}, (x, y) -> bit_count(x & ~y)), 0, (acc, n) -> acc + n)")
+    p, q = only("bits", "bits_b"), only("bits_b", "bits")
+    m = F.least(F.col("of") - p, F.col("of_b") - q)
+    u, v = p / F.col("total"), q / F.col("total_b")
+    return (m >= similarity * (F.col("of") + F.col("of_b") - m) - 1e-9) | ((1 - u) * (1 - v) >= similarity * (1 - u * v) - 1e-9)
+
+
 def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, n_links): one row per distinct id. ``class_id`` is the least id of its class.
 
@@ -224,7 +244,7 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SHIN
     white space, as written. Empty table: no rows.
     """
     signed = checkpoint(_signed(docs.where("doc_id is not null"), bands, rows, k))
-    copies = checkpoint(signed.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")))
+    copies = checkpoint(signed.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")))
     banded = copies.select("rep", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("bucket", "lead")
     member = checkpoint(split_join(banded, buckets, ["bucket"]))
@@ -241,15 +261,14 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SHIN
     root = checkpoint(root)
     apart = root.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
     open_ = checkpoint(split_join(root, apart, ["bucket"]))
-    rare = _rarest(texts.join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), k, similarity)
-    about = open_.select("rep", "root").distinct().join(copies.select("rep", "bits"), "rep").withColumnRenamed("rep", "doc_id")
+    left = texts.join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    rare = _rarest(left, k, similarity)
+    about = open_.select(F.col("rep").alias("doc_id"), "root").distinct().join(_mapped(left, k), "doc_id")
     rare = checkpoint(split_join(rare, about, ["doc_id"]))
-    mates = rare.select("h", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "root", "left", "of", "before", "bits", "early")])
+    mates = rare.select("h", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "root", "left", "of", "before", "total", "bits", "early")])
     # a pair meets once, at the rarest shingle that both hold
     once = F.get(F.array_intersect("early", "early_b"), F.lit(0)) == F.hash("h")
-    least = similarity - LEEWAY * math.sqrt(similarity * (1 - similarity) / (bands * rows))
-    close = _estimate("bits", "bits_b", bands * rows) >= least
-    met = rare.join(mates, "h").where("doc_id < doc_id_b and root <> root_b").where(_may_reach(similarity)).where(close).where(once)
+    met = rare.join(mates, "h").where("doc_id < doc_id_b and root <> root_b").where(_may_reach(similarity)).where(once).where(_maps_may_reach(similarity))
     more = met.select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b"))
     more = checkpoint(more.join(asked, ["a", "b"], "left_anti"))
     links = checkpoint(links.union(_verified(more, texts, k, similarity)))

@@ -225,6 +225,16 @@ def test_near_dup_family(spark):
     assert {r.doc_id: r.class_id for r in near_dup.classes(frame(spark, rows)).collect()} == want
 
 
+def test_near_dup_apart_with_repeated_line(spark):
+    """Alike by plain likeness only (probability Jaccard 0.45), and in every bucket behind a first member that neither is alike to."""
+    rng = random.Random(21)
+    body, line = words(rng, 305, 10**6), words(rng, 12, 10**6)
+    rows = [(0, body[:155]), (1, body[151:] + line), (2, line * 40), (3, body + line * 3), (4, body + line * 41)]
+    docs = frame(spark, [(i, " ".join(w)) for i, w in rows])
+    got = {r.doc_id: r.class_id for r in near_dup.classes(docs, bands=320, rows=1).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 3}
+
+
 def test_probability_jaccard():
     rng = np.random.default_rng(1)
     for _ in range(20):
