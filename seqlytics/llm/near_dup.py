@@ -1,7 +1,8 @@
 """Near-duplicate classes by ProbMinHash over weighted word shingles, banding, and exact verification.
 
 Signatures are computed in Arrow batches, where every shingle is a Poisson process whose arrivals fall on random
-registers; a text is done when its next arrivals come later than all its registers hold. Candidates meet by band hash.
+registers; a text is done when its next arrivals come later than all its registers hold. Candidates meet by band hash, by
+their weighted sets or by their plain ones.
 A bucket's members are checked against its first member only; members that are tied by then need no check. Those of a
 bucket that are still apart meet once more, by their rarest shingles: two texts that reach the similarity share one of
 these. Only bounds that no alike pair fails keep a pair from its check. So a group of n copies costs n checks, a group of merely
@@ -122,7 +123,10 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def _signed(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
-    """(doc_id, same, bands): a hash of the whole text and the band hashes; none for texts without words."""
+    """(doc_id, same, bands): a hash of the whole text and the band hashes; none for texts without words.
+
+    A text with repeated shingles has the bands of its weighted and of its plain set, so that it meets by both kinds of likeness.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,11 +138,18 @@ def _signed(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
                 held = np.unique(text)
                 if not len(held):
                     continue
-                sig = signatures(h, np.searchsorted(held, text), weight, len(held), bands * rows)
-                found = band_hashes(sig, bands, rows).view(np.int64)
+                of = np.searchsorted(held, text)
+                found = band_hashes(signatures(h, of, weight, len(held), bands * rows), bands, rows)
+                # without repeats both kinds of likeness have the same registers
+                twice = np.unique(of[weight > 1])
+                again = np.isin(of, twice)
+                plain = signatures(h[again], np.searchsorted(twice, of[again]), np.ones(again.sum()), len(twice), bands * rows)
+                owner = np.concatenate([np.arange(len(held)), twice])
+                found = np.concatenate([found, band_hashes(plain, bands, rows)])[np.argsort(owner, kind="stable")].view(np.int64)
+                at_band = np.append(0, np.cumsum(np.bincount(owner) * bands)).astype(np.int32)
                 raw = part.tobytes()
                 same = [hashlib.blake2b(raw[at[t] : at[t + 1]], digest_size=16).digest() for t in held.tolist()]
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, bands, dtype=np.int32)), pa.array(found.ravel()))
+                flat = pa.ListArray.from_arrays(pa.array(at_band), pa.array(found.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(held + i)), pa.array(same, pa.binary()), flat], ["doc_id", "same", "bands"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same binary, bands array<long>")
@@ -245,7 +256,7 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SHIN
     """
     signed = checkpoint(_signed(docs.where("doc_id is not null"), bands, rows, k))
     copies = checkpoint(signed.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")))
-    banded = copies.select("rep", F.explode("bands").alias("bucket"))
+    banded = copies.select("rep", F.explode(F.array_distinct("bands")).alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("bucket", "lead")
     member = checkpoint(split_join(banded, buckets, ["bucket"]))
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")

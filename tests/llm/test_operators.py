@@ -235,6 +235,18 @@ def test_near_dup_apart_with_repeated_line(spark):
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 3}
 
 
+def test_near_dup_unequal_repeats(spark):
+    """Pairs that share all but the repeats of a line: alike by plain likeness, seldom in a bucket by probability Jaccard."""
+    rng = random.Random(22)
+    rows = []
+    for i in range(0, 20, 2):
+        body, line = words(rng, 305, 10**6), words(rng, 12, 10**6)
+        rows += [(i, " ".join(body + line * 3)), (i + 1, " ".join(line * 41 + body))]
+    held = {i: {tuple(t.split()[p : p + 5]) for p in range(len(t.split()) - 4)} for i, t in rows}
+    assert all(len(held[i] & held[i + 1]) >= 0.9 * len(held[i] | held[i + 1]) for i in range(0, 20, 2))
+    assert {r.doc_id: r.class_id for r in near_dup.classes(frame(spark, rows)).collect()} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_probability_jaccard():
     rng = np.random.default_rng(1)
     for _ in range(20):
