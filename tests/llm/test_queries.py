@@ -1,11 +1,13 @@
 """The registered queries of the llm subpackage against their SQL texts on the smallest tables, and the pipeline's stages."""
 
+import random
+
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from check import compare, connect
-from seqlytics.llm.queries import QUERIES
+from seqlytics.llm.queries import QUERIES, winnowed
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -22,6 +24,14 @@ def test_query(spark, name):
     assert good, note
 
 
+def test_winnowed_short_texts(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(n, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))) for n in range(22, 130)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = winnowed(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(r.near_edited > r.near_next for r in got)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     out = corpus_pipeline.run(spark, FOLDER)
