@@ -1,5 +1,7 @@
 """The registered queries against their SQL texts on the smallest tables."""
 
+import sys
+
 import pytest
 
 import __spark_entry__ as entry
@@ -27,6 +29,15 @@ def test_names():
     assert set(all_queries()) <= set(entry.queries())
 
 
+def test_names_without_the_corpus_parts(monkeypatch):
+    for name in [n for n in sys.modules if n == "corpus_pipeline" or n.startswith("seqlytics.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "seqlytics.llm", None)
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert set(entry.queries()) == set(all_queries())
+    assert set(entry.oracle_sql()) <= set(all_queries())
+
+
 @pytest.mark.parametrize("name", sorted(set(all_queries()) - SLOW))
 def test_query(spark, con, name):
     good, note = compare(spark, con, FOLDER, name, entry.queries()[name], entry.oracle_sql().get(name))
