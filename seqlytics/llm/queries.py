@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqlytics.llm import decontaminate, fingerprints, mixing, near_dup, repeats, secrets, sharding, token_counts, toxicity, url_filter
+from seqlytics.llm import decontaminate, fingerprints, mixing, near_dup, quality, repeats, secrets, sharding, token_counts, toxicity, url_filter
 
 RULES = [
     ("allow", "com", "/"),
@@ -170,6 +170,42 @@ def secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, base, joined("spans").alias("spans"))
 
 
+def quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.judged(docs, quality.plan(docs))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUALITY_SQL = r"""
+with d as (
+  select row_number() over () as id, doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), l as (
+  select *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d
+), g as (
+  select id, i, list_aggregate(w[i:i + 4], 'string_agg', ' ') as g from (select id, w, unnest(range(1, len(w) - 3)) as i from d)
+), c as (
+  select id, count(distinct i + j) as n from (select id, i, count(*) over (partition by id, g) as n from g), range(0, 5) r(j) where n > 1 group by id
+), p as (
+  select id, max(n) as n from (
+    select id, w[i] as a, w[i + 1] as b, count(*) as n from (select id, w, unnest(range(1, len(w))) as i from d) group by 1, 2, 3) group by id
+), m as (
+  select l.*, len(w) as n_words, list_sum(list_transform(w, lambda x: length(x))) as chars, len(regexp_extract_all(text, '[#*$%&|<>]')) as symbols,
+    len(lines) - len(list_distinct(lines)) as dups, coalesce(c.n, 0) as repeated, coalesce(p.n, 0) as pair
+  from l left join c using (id) left join p using (id)
+), b as (
+  select *, n_words < 10 or 100 * repeated > 20 * n_words as failed,
+    chars < 3 * n_words or chars > 10 * n_words or 100 * symbols > 10 * n_words or (dups >= 3 and 100 * dups > 30 * len(lines))
+    or 100 * len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09]*[-*•‣▪]'))) > 90 * len(lines)
+    or 100 * len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09\r]*$'))) > 30 * len(lines)
+    or 100 * len(list_filter(w, lambda x: not regexp_matches(x, '\p{L}'))) > 20 * n_words or (n_words >= 100 and 200 * pair > 20 * n_words) as rejected
+  from m
+)
+select doc_id, cast(n_words as bigint) as n_words, cast(coalesce(chars, 0) as bigint) as word_chars, cast(symbols as bigint) as n_symbols, cast(dups as bigint) as n_dup_lines,
+  cast(repeated as bigint) as n_repeat_words, failed as base_failed, not failed and not rejected as kept
+from b
+"""
+
+
 QUERIES = {
     "op1_redirect_filter": (url_redirects, URL_SQL),
     "op2_block_anchors": (block_anchors, None),
@@ -181,4 +217,5 @@ QUERIES = {
     "op8_simhash_windows": (simhash_decontaminate, None),
     "op9_source_mix": (mix_sources, MIX_SQL),
     "op10_toxic_ngrams": (toxic_ngrams, None),
+    "op13_quality_cascade": (quality_cascade, QUALITY_SQL),
 }
