@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqlytics.llm import decontaminate, fingerprints, mixing, near_dup, quality, repeats, secrets, sharding, token_counts, toxicity, url_filter
+from seqlytics.llm import decontaminate, fingerprints, importance, mixing, near_dup, quality, repeats, secrets, sharding, token_counts, toxicity, url_filter
 
 RULES = [
     ("allow", "com", "/"),
@@ -170,6 +170,49 @@ def secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, base, joined("spans").alias("spans"))
 
 
+def head_tail_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = importance.scored(docs, _table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# CRC-32 byte by byte: a table built by its rule, folded over the bytes of each distinct word
+RESAMPLE_SQL = r"""
+with recursive steps as (
+  select list(list_reduce(range(0, 9), lambda acc, k: case when k = 0 then acc when acc & 1 = 1 then xor(acc >> 1, 3988292384) else acc >> 1 end, b)
+    order by b) as t from range(0, 256) r(b)
+), every as (
+  select 'd' as kind, row_number() over () as id, doc_id, text from documents union all select 'b', row_number() over (), null, text from benchmark
+), w as (
+  select kind, id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from every
+), runs as (
+  select kind, id, unnest(w) as f from w
+), crc as (
+  select f, xor(list_reduce(list_transform(range(0, strlen(f)), lambda i: ('0x' || substr(hex(encode(f)), cast(2 * i + 1 as bigint), 2))::bigint),
+    lambda s, b: xor(t[(xor(s, b) & 255) + 1], s >> 8), 4294967295::bigint), 4294967295) % 10000 as bucket
+  from (select distinct f from runs), steps
+), hits as (
+  select kind, id, bucket from runs join crc using (f)
+), totals as (
+  select bucket, count(*) filter (kind = 'd') as s, count(*) filter (kind = 'b') as t from hits group by bucket
+), gain as (
+  select bucket, floor(1000 * ln((t + 1)::double * ((select count(*) from hits where kind = 'd') + 10000)::double
+    / ((s + 1)::double * ((select count(*) from hits where kind = 'b') + 10000)::double))) as gain from totals
+), weights as (
+  select id, count(*) as n, cast(floor(sum(gain) / count(*)) as bigint) as weight from hits join gain using (bucket) where kind = 'd' group by id
+), x as (
+  select doc_id, coalesce(n, 0) as n, coalesce(weight, 0) as weight, ('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as h
+  from w left join weights using (id) where kind = 'd'
+), s as (
+  select doc_id, n, weight, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double))) as bigint) as score from x
+), r as (
+  select *, n >= 20 as fit, row_number() over (partition by n >= 20 order by score desc, doc_id nulls last) as nth, count(*) over (partition by n >= 20) as many from s
+)
+select doc_id, cast(n as bigint) as n_features, weight, cast(score as bigint) as score, case when fit and nth <= 10 * many // 100 then nth end as rank from r
+"""
+
+
 def quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality.judged(docs, quality.plan(docs))
@@ -217,5 +260,6 @@ QUERIES = {
     "op8_simhash_windows": (simhash_decontaminate, None),
     "op9_source_mix": (mix_sources, MIX_SQL),
     "op10_toxic_ngrams": (toxic_ngrams, None),
+    "op11_head_tail_resample": (head_tail_resample, RESAMPLE_SQL),
     "op13_quality_cascade": (quality_cascade, QUALITY_SQL),
 }
