@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqlytics.llm import decontaminate, fingerprints, importance, mixing, near_dup, quality, repeats, secrets, sharding, token_counts, toxicity, url_filter
+from seqlytics.llm import decontaminate, fingerprints, importance, mixing, near_dup, quality, repeats, secrets, sharding, token_counts, toxicity, url_filter, whitening
 
 RULES = [
     ("allow", "com", "/"),
@@ -213,6 +213,11 @@ select doc_id, cast(n as bigint) as n_features, weight, cast(score as bigint) as
 """
 
 
+def whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.by_component(whitening.whitened(_table(spark, sf_dir, "embeddings")))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality.judged(docs, quality.plan(docs))
@@ -261,5 +266,6 @@ QUERIES = {
     "op9_source_mix": (mix_sources, MIX_SQL),
     "op10_toxic_ngrams": (toxic_ngrams, None),
     "op11_head_tail_resample": (head_tail_resample, RESAMPLE_SQL),
+    "op12_block_whitening": (whiten_embeddings, None),
     "op13_quality_cascade": (quality_cascade, QUALITY_SQL),
 }
