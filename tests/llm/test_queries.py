@@ -13,7 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert {*QUERIES, "pipeline"} <= set(entry.queries())
 
 
