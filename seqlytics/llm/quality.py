@@ -142,7 +142,7 @@ def base_failed(least_words: int = LEAST_WORDS, most_repeated: int = MOST_REPEAT
 def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 7) -> DataFrame:
     """About ``rows`` rows of ``docs`` in one partition, dealt by chance over the whole table, all if there are no more."""
     n = docs.count()
-    return (docs.sample(min(1.0, rows / n), seed) if n > rows else docs).coalesce(1)
+    return (docs.sample(min(1.0, rows / n), seed) if n > rows else docs).repartition(1)
 
 
 def estimates(sample: DataFrame, wanted: Sequence[Rule], runs: int = RUNS) -> tuple[dict[str, float], list[tuple[frozenset, int]]]:
