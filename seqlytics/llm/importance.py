@@ -17,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from seqlytics.llm import grams
-from seqlytics.operators.spread import over, position, running_sum
+from seqlytics.operators.spread import over, running_sum
 from seqlytics.session import checkpoint
 
 LONGEST = 1
@@ -283,8 +284,8 @@ def drawn(rows: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORD
     wanted = (rows.where(fit).count() * percent) // 100
     upto = over(counts, [], ["_down"], {"_upto": running_sum("_n")}).withColumn("_above", F.col("_upto") - F.col("_n"))
     cut = checkpoint(upto.where(F.col("_above") < wanted).select("score", "_above"))
-    inside = rows.where(fit).join(cut, "score").withColumns({"_last": F.col(doc_id).isNull(), "_spare": F.monotonically_increasing_id()})
-    placed = over(inside, ["score"], ["_last", doc_id, "_spare"], {"_at": position()}).withColumn("rank", F.col("_above") + F.col("_at"))
+    w = Window.partitionBy("score").orderBy(F.col(doc_id).asc_nulls_last())
+    placed = rows.where(fit).join(cut, "score").withColumn("rank", F.col("_above") + F.row_number().over(w))
     cols = [f"`{c}`" for c in rows.columns]
     in_ = placed.select(*cols, F.when(F.col("rank") <= wanted, F.col("rank")).alias("rank"))
     # a row without words has a score too, but is never drawn
