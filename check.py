@@ -11,7 +11,7 @@ import duckdb
 from pyspark.sql import SparkSession
 
 from seqlytics.plans.registry import all_queries
-from seqlytics.session import GROUP_LIMIT_KEY, RECOMMENDED
+from seqlytics.session import ROWS_PER_PIECE_KEY, RECOMMENDED
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -82,7 +82,7 @@ def main() -> int:
     spark, con = session(), connect(folder)
     for a in sys.argv[2:]:
         if a.startswith("limit="):
-            spark.conf.set(GROUP_LIMIT_KEY, a[6:])
+            spark.conf.set(ROWS_PER_PIECE_KEY, a[6:])
     bad = []
     for name, (query, sql) in all_queries().items():
         if wanted and name not in wanted:

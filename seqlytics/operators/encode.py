@@ -299,7 +299,7 @@ def sequences(
     cols: Sequence[str],
     y: str,
     part_size: int = 1024,
-    largest: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """(seq, part, steps, length, longest, label): ordered feature vectors per sequence.
 
@@ -309,7 +309,7 @@ def sequences(
     sequence has the parts of the longest one, all zero after its own end.
     """
     seq = list(seq)
-    placed = over(df, seq, order, {"_at": position()}, largest).withColumn(
+    placed = over(df, seq, order, {"_at": position()}, rows).withColumn(
         "part", F.floor((F.col("_at") - 1) / part_size).cast("int")
     )
     vector = F.array(*[F.col(c).cast("double") for c in cols])

@@ -48,7 +48,7 @@ def rollup_sequences(
     lists: Sequence[str],
     sums: Sequence[str],
     part_size: int = 1024,
-    largest: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """(keys, part, a list per column, sums): sequences as lists in row order.
 
@@ -57,7 +57,7 @@ def rollup_sequences(
     those of the whole sequence.
     """
     keys = list(keys)
-    placed = over(df, keys, order, {"_at": position()}, largest).withColumn(
+    placed = over(df, keys, order, {"_at": position()}, rows).withColumn(
         "part", F.floor((F.col("_at") - 1) / part_size).cast("int")
     )
     parts = placed.groupBy(*keys, "part").agg(

@@ -216,14 +216,14 @@ def cumulative_success(
     p: str,
     alpha: float = 0.5,
     out: str = "cumulative",
-    largest: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Chance of at least one success up to each step, c <- 1 - (1 - c)(1 - alpha p), in percent.
 
     The product is a running sum of logarithms; needs alpha * p below 1.
     """
     logs = df.withColumn("_log", F.ln(F.lit(1.0) - F.lit(alpha) * F.col(p)))
-    summed = over(logs, seq, order, {"_sum": running_sum("_log")}, largest)
+    summed = over(logs, seq, order, {"_sum": running_sum("_log")}, rows)
     return summed.withColumn(out, percent(F.lit(1.0) - F.exp("_sum"))).drop("_log", "_sum")
 
 

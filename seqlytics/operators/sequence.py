@@ -31,17 +31,17 @@ def success_label(df: DataFrame, outcome: str, outs: str, value: str = "strike",
     return df.withColumn(out, good.cast("int"))
 
 
-def first_flag(df: DataFrame, seq: Sequence[str], order: Sequence[str], out: str = "is_first", largest: int | None = None) -> DataFrame:
+def first_flag(df: DataFrame, seq: Sequence[str], order: Sequence[str], out: str = "is_first", rows: int | None = None) -> DataFrame:
     """1 on the first row of a sequence."""
-    placed = over(df, seq, order, {"_at": position()}, largest)
+    placed = over(df, seq, order, {"_at": position()}, rows)
     return placed.withColumn(out, (F.col("_at") == 1).cast("int")).drop("_at")
 
 
 def prev_action(
-    df: DataFrame, seq: Sequence[str], order: Sequence[str], action: str, out: str = "prev_action", largest: int | None = None
+    df: DataFrame, seq: Sequence[str], order: Sequence[str], action: str, out: str = "prev_action", rows: int | None = None
 ) -> DataFrame:
     """Action of the row before, ``None`` as text where there is none."""
-    moved = over(df, seq, order, {out: previous(action)}, largest)
+    moved = over(df, seq, order, {out: previous(action)}, rows)
     return moved.withColumn(out, F.coalesce(F.col(out), F.lit("None")))
 
 
@@ -52,10 +52,10 @@ def next_situation(
     situation: str,
     success: str,
     out: str = "next_situation",
-    largest: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Situation of the row after; at the end ``terminal_out`` on success, else ``terminal_hit``."""
-    moved = over(df, seq, order, {out: following(situation)}, largest)
+    moved = over(df, seq, order, {out: following(situation)}, rows)
     return moved.withColumn(out, F.coalesce(F.col(out), _ending(success)))
 
 
@@ -70,7 +70,7 @@ def state_columns(
     situation: str,
     action: str,
     success: str,
-    largest: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """prev_action, next_situation, state, next_state and is_first in one pass."""
     moved = over(
@@ -78,7 +78,7 @@ def state_columns(
         seq,
         order,
         {"prev_action": previous(action), "next_situation": following(situation), "_at": position()},
-        largest,
+        rows,
     )
     ended = moved.withColumns(
         {

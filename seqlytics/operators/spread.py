@@ -1,15 +1,20 @@
 """Ordered columns, exact quantiles and joins that hold when one group is huge.
 
-A plain window hands a whole group to one task. That is the best plan while
-groups are small, so ``over`` first measures the largest group and keeps the
-plain window below the limit. Beyond it the rows are range partitioned on
-(group, order), every partition works on its own piece, and what has to cross a
-partition edge (the neighbour row, sums so far) travels in a table with at most
-two rows per partition.
+Ordered columns have one form for every size of group. The table's order (group,
+order) is cut into pieces of about ``rows_per_piece`` rows, the cuts being literal
+values drawn once, and each row works out its piece from its own values. A window
+runs over (piece, group): small groups are spread by their hash, a huge one over
+its pieces. A group that goes on beyond a cut needs help from its other pieces
+(the neighbour row, sums so far); each piece has at most two such groups, its first
+and its last, so the help is a small table.
+
+A task that is run again gives its rows the same pieces, as long as ``df`` gives
+the same values each time it is read. Rows are never written.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -17,10 +22,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from seqlytics.session import GROUP_LIMIT, checkpoint, group_limit, shuffle_partitions
+from seqlytics.session import checkpoint, rows_per_piece
 
-# A range partitioning samples its edges on the driver; more pieces than this
-# would get poor edges, and a piece may well be larger and spill.
+# Rows of the sample for each cut: pieces differ by about a quarter of their size.
+SAMPLED_PER_PIECE = 16
+# The cuts are part of the plan. With more rows pieces get larger, and spill.
 MOST_PIECES = 10_000
 
 
@@ -60,67 +66,114 @@ def carried(col: str) -> Spec:
     return Spec("carried", col)
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the largest group: one aggregation, one number to the driver."""
-    if not keys:
-        return df.count()
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
+def _places(df: DataFrame, cols: Sequence[str]) -> list[Column]:
+    """What rows are ordered by, instants as numbers: literals of these come back as they were read."""
+    kinds = dict(df.dtypes)
+    return [(F.unix_micros(c) if kinds[c] == "timestamp" else F.col(c)).alias(f"p{i}") for i, c in enumerate(cols)]
 
 
-def over(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    specs: Mapping[str, Spec],
-    largest: int | None = None,
-) -> DataFrame:
-    """Add ordered columns; ``order`` must make rows unique inside a group.
+def _cuts(df: DataFrame, cols: Sequence[str], rows: int, pieces: int) -> list:
+    """Ascending places that cut ``df`` into ``pieces`` of about equal size: at most ``SAMPLED_PER_PIECE`` rows for each, chosen by hash, come to the driver."""
+    if pieces < 2:
+        return []
+    lot = F.pmod(F.xxhash64(*cols), F.lit(1 << 40))
+    drawn = df.where(lot < F.lit(int(min(1.0, pieces * SAMPLED_PER_PIECE / rows) * (1 << 40)))).select(*_places(df, cols))
+    found = drawn.orderBy(*drawn.columns).collect()
+    return [found[len(found) * i // pieces] for i in range(1, pieces)] if found else []
+
+
+def _literal(df: DataFrame, cols: Sequence[str], cuts: list) -> Column:
+    """The cuts as an array of structs with the fields p0, p1 and so on."""
+    kinds = df.select(*_places(df, cols)).schema.fields
+    return F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(cut, kinds)]) for cut in cuts])
+
+
+def _piece(df: DataFrame, cols: Sequence[str], known: Column | None, cuts: int) -> Column:
+    """How many of the ``known`` cuts are at or before the row: a binary search, by halves of their number."""
+    if known is None:
+        return F.lit(0)
+    place = F.struct(*_places(df, cols))
+
+    def step(found: Column, width: Column) -> Column:
+        return found + F.when(F.get(known, found + width - 1) <= place, width).otherwise(0)
 
-    ``largest`` is the size of the largest group where the caller knows a bound.
+    widths = [1 << i for i in reversed(range(cuts.bit_length()))]
+    return F.aggregate(F.array(*[F.lit(w) for w in widths]), F.lit(0), step)
+
+
+def over(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs: Mapping[str, Spec], rows: int | None = None) -> DataFrame:
+    """Add ordered columns; ``order`` must make rows unique inside a group, or their order among themselves must not matter.
+
+    ``rows`` is the number of rows where the caller knows it; it only decides how many pieces there are. ``df`` has to
+    give the same keys, order and values whenever it is read: write down what comes of chance or of a row's partition.
     """
     keys = list(keys)
     order = [c for c in order if c not in keys]
-    if largest is None:
-        largest = largest_group(df, keys)
-    if largest <= group_limit(df.sparkSession):
-        return _windowed(df, keys, order, specs)
-    return _ranged(df, keys, order, specs, largest)
-
-
-def _local(specs: Mapping[str, Spec], keys: list, order: list) -> dict[str, Column]:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys)
+    rows = df.count() if rows is None else rows
+    pieces = min(MOST_PIECES, math.ceil(rows / rows_per_piece(df.sparkSession)))
+    cuts = _cuts(df, [*keys, *order], rows, pieces)
+    known = _literal(df, [*keys, *order], cuts) if cuts else None
+    parts = df.withColumn("_piece", _piece(df, [*keys, *order], known, len(cuts)))
+    inner = Window.partitionBy("_piece", *keys).orderBy(*order)
+    upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("_piece", *keys)
     made = {
-        "previous": lambda c: F.lag(c).over(w),
-        "following": lambda c: F.lead(c).over(w),
-        "position": lambda c: F.row_number().over(w).cast("long"),
+        "previous": lambda c: F.lag(c).over(inner),
+        "following": lambda c: F.lead(c).over(inner),
+        "position": lambda c: F.row_number().over(inner).cast("long"),
         "running_sum": lambda c: F.sum(c).over(upto),
         "total": lambda c: F.sum(c).over(whole),
         "carried": lambda c: F.last(c, ignorenulls=True).over(upto),
     }
-    return {name: made[s.kind](s.col) for name, s in specs.items()}
+    local = {name: made[s.kind](s.col) for name, s in specs.items()}
+    if known is None:
+        return parts.withColumns(local).drop("_piece")
+    local |= {"_at": F.row_number().over(inner), "_end": F.lead(F.lit(1)).over(inner)}
+    help_ = checkpoint(_help(parts, keys, order, specs, known))
+    same = [F.col("_piece") == F.col("_h_piece")]
+    same += [F.col(k).eqNullSafe(F.col(f"_h_{i}")) for i, k in enumerate(keys)]
+    joined = parts.withColumns(local).join(F.broadcast(help_), reduce(lambda a, b: a & b, same), "left")
 
+    def mended(name: str, kind: str) -> Column:
+        here, there = F.col(name), F.col(f"_h_{name}")
+        if kind == "previous":
+            return F.when(F.col("_at") == 1, there).otherwise(here)
+        if kind == "following":
+            return F.when(F.col("_end").isNull(), there).otherwise(here)
+        if kind == "position":
+            return here + F.coalesce(there, F.lit(0))
+        if kind == "running_sum":
+            return F.coalesce(here + there, here, there)
+        if kind == "total":
+            return F.when(F.col("_h_piece").isNotNull(), there).otherwise(here)
+        return F.coalesce(here, there)
 
-def _windowed(df: DataFrame, keys: list, order: list, specs: Mapping[str, Spec]) -> DataFrame:
-    return df.withColumns(_local(specs, keys, order))
+    own = [f"`{c}`" for c in df.columns if c not in specs]
+    return joined.select(*own, *[mended(n, s.kind).alias(n) for n, s in specs.items()])
 
 
-def _ranged(df: DataFrame, keys: list, order: list, specs: Mapping[str, Spec], largest: int) -> DataFrame:
-    # Enough pieces for a table of which the largest group is a quarter or more.
-    pieces = max(shuffle_partitions(df.sparkSession), min(4 * largest // GROUP_LIMIT, MOST_PIECES), 2)
-    # The partition number is part of the data from here on, so it is written
-    # down once: a recomputed range partitioning could draw other edges.
-    rows = checkpoint(
-        df.repartitionByRange(pieces, *keys, *order).withColumn("_piece", F.spark_partition_id())
-    )
-    cols = sorted({s.col for s in specs.values() if s.col is not None})
+def _help(parts: DataFrame, keys: list, order: list, specs: Mapping[str, Spec], known: Column) -> DataFrame:
+    """What the pieces of a group that is cut need of its other pieces: at most two rows per piece, those of its first and of its last group.
+
+    A group is cut if a cut beside one of its rows' pieces lies in it. Rows of other groups are passed by before anything is shuffled.
+    """
+    own = _places(parts, keys)
+
+    def holds(cut: Column) -> Column:
+        return reduce(lambda a, b: a & b, [c.eqNullSafe(cut[f"p{i}"]) for i, c in enumerate(own)], cut.isNotNull())
+
+    parts = parts.where(holds(F.get(known, F.col("_piece") - 1)) | holds(F.get(known, F.col("_piece"))))
     place = F.struct(*order)
-    edges = rows.groupBy("_piece", *keys).agg(
+    cols = sorted({s.col for s in specs.values() if s.kind in ("previous", "following")})
+    edge = lambda: F.struct(F.lit(1).alias("_one"), *cols)
+    ends = []
+    if any(s.kind == "previous" for s in specs.values()):
+        ends.append(F.max_by(edge(), place).alias("_tail"))
+    if any(s.kind == "following" for s in specs.values()):
+        ends.append(F.min_by(edge(), place).alias("_head"))
+    sums = parts.groupBy("_piece", *keys).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.min_by(F.struct(F.lit(1).alias("_one"), *cols), place).alias("_head"),
-        F.max_by(F.struct(F.lit(1).alias("_one"), *cols), place).alias("_tail"),
+        *ends,
         *[F.sum(s.col).alias(f"_sum_{name}") for name, s in specs.items() if s.kind in ("running_sum", "total")],
         *[
             F.max_by(s.col, F.when(F.col(s.col).isNotNull(), place)).alias(f"_seen_{name}")
@@ -128,8 +181,6 @@ def _ranged(df: DataFrame, keys: list, order: list, specs: Mapping[str, Spec], l
             if s.kind == "carried"
         ],
     )
-    # One row per group and piece. Only groups that cross an edge need help:
-    # at most two rows per piece, which bounds the broadcast below.
     by_key = Window.partitionBy(*keys)
     w = by_key.orderBy("_piece")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -141,50 +192,20 @@ def _ranged(df: DataFrame, keys: list, order: list, specs: Mapping[str, Spec], l
         "total": lambda n, c: F.sum(f"_sum_{n}").over(by_key),
         "carried": lambda n, c: F.last(f"_seen_{n}", ignorenulls=True).over(before),
     }
-    help_ = edges.select(
+    return sums.select(
         F.col("_piece").alias("_h_piece"),
         *[F.col(k).alias(f"_h_{i}") for i, k in enumerate(keys)],
-        F.count(F.lit(1)).over(by_key).alias("_h_pieces"),
         *[made[s.kind](name, s.col).alias(f"_h_{name}") for name, s in specs.items()],
-    ).where(F.col("_h_pieces") > 1)
-
-    inner = Window.partitionBy("_piece", *keys).orderBy(*order)
-    local = rows.withColumns(
-        {
-            **_local(specs, ["_piece", *keys], order),
-            "_at": F.row_number().over(inner),
-            "_end": F.lead(F.lit(1)).over(inner),
-        }
     )
-    same = [local["_piece"] == F.col("_h_piece")]
-    same += [local[k].eqNullSafe(F.col(f"_h_{i}")) for i, k in enumerate(keys)]
-    joined = local.join(F.broadcast(help_), reduce(lambda a, b: a & b, same), "left")
-
-    def mended(name: str, kind: str) -> Column:
-        here, there = F.col(name), F.col(f"_h_{name}")
-        if kind == "previous":
-            return F.when(F.col("_at") == 1, there).otherwise(here)
-        if kind == "following":
-            return F.when(F.col("_end").isNull(), there).otherwise(here)
-        if kind == "position":
-            return here + F.coalesce(there, F.lit(0))
-        if kind == "running_sum":
-            return F.coalesce(here + there, here, there)
-        if kind == "total":
-            return F.when(F.col("_h_pieces").isNotNull(), there).otherwise(here)
-        return F.coalesce(here, there)
-
-    return joined.select(*df.columns, *[mended(n, s.kind).alias(n) for n, s in specs.items()])
 
 
 def counted(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
     """(keys, col, n): how often each value occurs in its group, null included.
 
     Equal values meet before the shuffle, so a value that fills the table costs
-    one row per map task. The counts are written down: the size check, the
-    ranking and group totals all read them, and the rows are read once.
+    one row per map task.
     """
-    return checkpoint(df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("n")))
+    return df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("n"))
 
 
 def ranked(counts: DataFrame, keys: Sequence[str], col: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from seqlytics.functions.expressions import reward_of
 from seqlytics.operators import markov as m
 from seqlytics.operators import sequence as s
-from seqlytics.operators.spread import largest_group, over, position
+from seqlytics.operators.spread import over, position
 from seqlytics.plans.sql import GAMES, PITCHES, STEPS, model, policy, rounds, spread, with_, smoothed_model
 from seqlytics.session import checkpoint
 from seqlytics.sources.tables import PITCH_ORDER, STEP_ORDER, STEP_SEQUENCE, pitches, steps, table
@@ -14,15 +14,15 @@ SEQ, ORDER = list(STEP_SEQUENCE), list(STEP_ORDER)
 ROUNDS = 12
 
 
-def situated(df, seq, order, largest=None):
+def situated(df, seq, order, n_rows=None):
     """Situation: the place in the sequence from 0, at most 3."""
-    placed = over(df, seq, order, {"place": position()}, largest)
+    placed = over(df, seq, order, {"place": position()}, n_rows)
     return placed.withColumn("situation", F.least(F.col("place") - 1, F.lit(3)).cast("string")).drop("place")
 
 
 def _states(rows, seq, order, action):
-    largest = largest_group(rows, seq)
-    return s.state_columns(situated(rows, seq, order, largest), seq, order, "situation", action, "success", largest)
+    n_rows = rows.count()
+    return s.state_columns(situated(rows, seq, order, n_rows), seq, order, "situation", action, "success", n_rows)
 
 
 def step_states(spark, d):

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A window may only see this many rows of one group; larger groups are spread
-# over range partitions (see operators.spread). Set per session when needed.
-GROUP_LIMIT_KEY = "spark.seqlytics.groupLimit"
-GROUP_LIMIT = 2_000_000
+# Ordered columns are worked out in pieces of about so many rows (see
+# operators.spread). Set per session when needed.
+ROWS_PER_PIECE_KEY = "spark.seqlytics.rowsPerPiece"
+ROWS_PER_PIECE = 2_000_000
 
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
@@ -19,8 +19,8 @@ RECOMMENDED = {
 }
 
 
-def group_limit(spark: SparkSession) -> int:
-    return int(spark.conf.get(GROUP_LIMIT_KEY, str(GROUP_LIMIT)))
+def rows_per_piece(spark: SparkSession) -> int:
+    return int(spark.conf.get(ROWS_PER_PIECE_KEY, str(ROWS_PER_PIECE)))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -28,11 +28,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; where it is unset, one in the session's warehouse."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``. Where it is unset, a local session takes one in its warehouse; a cluster has none that all see."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        sc.setCheckpointDir(path)
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return sc.getCheckpointDir()
 
 

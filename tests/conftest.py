@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from seqlytics.session import GROUP_LIMIT, GROUP_LIMIT_KEY, RECOMMENDED  # noqa: E402
+from seqlytics.session import RECOMMENDED, ROWS_PER_PIECE, ROWS_PER_PIECE_KEY  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -22,12 +22,12 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-@pytest.fixture(params=["window", "spread"])
+@pytest.fixture(params=[ROWS_PER_PIECE, 20])
 def both_ways(request, spark):
-    """Run a test with plain windows, and with every group taken for a huge one."""
-    spark.conf.set(GROUP_LIMIT_KEY, str(GROUP_LIMIT) if request.param == "window" else "1")
+    """Run a test in one piece, and in pieces of few rows, so that most groups are cut."""
+    spark.conf.set(ROWS_PER_PIECE_KEY, str(request.param))
     yield request.param
-    spark.conf.unset(GROUP_LIMIT_KEY)
+    spark.conf.unset(ROWS_PER_PIECE_KEY)
 
 
 def rows(df, *order):

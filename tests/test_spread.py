@@ -7,10 +7,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from conftest import rows
+from seqlytics.operators import spread
 from seqlytics.operators.spread import (
     carried,
     following,
-    largest_group,
     over,
     position,
     previous,
@@ -20,6 +20,7 @@ from seqlytics.operators.spread import (
     spread_join,
     total,
 )
+from seqlytics.session import ROWS_PER_PIECE_KEY
 
 
 def skewed(n=900, seed=3):
@@ -67,11 +68,39 @@ def test_over_without_keys(spark, both_ways):
     assert got[-1][3] == sum(i % 7 for i in range(500))
 
 
-def test_largest_group(spark):
-    df = spark.createDataFrame(skewed(), "k string, o int, x int")
-    assert largest_group(df, ["k"]) == 300
-    assert largest_group(df, []) == len(skewed())
-    assert largest_group(df.where("false"), ["k"]) == 0
+def test_over_in_pieces_of_the_same_rows(spark, both_ways):
+    """Rows that agree in everything, instants and dates in the order, and a result named like a column of the table."""
+    df = spark.range(300).selectExpr(
+        "id % 3 as k", "timestamp_micros(1700000000000000 + id * 1234567) as at", "date_add(date '2024-03-01', cast(id % 40 as int)) as day", "1 as x", "'mine' as n"
+    )
+    df = df.union(df)
+    got = over(df, ["k"], ["day", "at"], {"n": running_sum("x"), "all": total("x")})
+    assert sorted(got.columns) == sorted(["k", "at", "day", "x", "n", "all"])
+    out = got.collect()
+    assert {r["all"] for r in out} == {200}
+    for k in range(3):
+        mine = sorted((r for r in out if r.k == k), key=lambda r: r.n)
+        assert [r.n for r in mine] == list(range(1, 201)) and [(r.day, r["at"]) for r in mine] == sorted((r.day, r["at"]) for r in mine)
+
+
+def test_over_empty(spark, both_ways):
+    df = spark.createDataFrame([], "k string, o int, x int")
+    assert over(df, ["k"], ["o"], {"at": position(), "s": running_sum("x")}).count() == 0
+
+
+def test_over_writes_no_rows_and_spreads_a_group(spark):
+    """In pieces, no task of the window sees more than a part of a group of all rows."""
+    spark.conf.set(ROWS_PER_PIECE_KEY, "1000")
+    try:
+        df = spark.range(20_000).select(F.lit(1).alias("k"), F.col("id").alias("o"))
+        cuts = spread._cuts(df, ["k", "o"], 20_000, 20)
+        parts = df.withColumn("_piece", spread._piece(df, ["k", "o"], spread._literal(df, ["k", "o"], cuts), len(cuts)))
+        sizes = [r["count"] for r in parts.groupBy("_piece").count().collect()]
+        assert len(sizes) == 20 and max(sizes) < 3000
+        plan = over(df, ["k"], ["o"], {"at": position()})._jdf.queryExecution().toString()
+        assert "_piece" in plan and "RangePartitioning" not in plan
+    finally:
+        spark.conf.unset(ROWS_PER_PIECE_KEY)
 
 
 def test_quantiles(spark, both_ways):
