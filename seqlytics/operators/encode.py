@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 
 from seqlytics.functions.expressions import argbest, uniform
 from seqlytics.operators.clean import numeric_columns, string_columns
-from seqlytics.operators.spread import over, position, quantiles, quantiles_of, split_join
-from seqlytics.session import checkpoint
+from seqlytics.operators.ranks import quantiles
+from seqlytics.operators.spread import over, position, split_join
 
 MISSING = "Missing"
 UNKNOWN = "Unknown"
@@ -250,22 +250,15 @@ def polynomial(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def mutual_info(df: DataFrame, cols: Sequence[str], y: str, bins: int = 10, k: int | None = None) -> DataFrame:
     """(feature, mi): mutual information of binned columns with a class, highest first.
 
-    Columns are cut at their exact quantiles. Rows are counted per (feature,
-    value, class) before anything else, so the later steps see distinct values.
+    Columns are cut at their exact quantiles. Rows are counted per (feature, bin, class)
+    before anything is shuffled.
     """
-    cells = checkpoint(
-        long_form(df.withColumn("_y", F.col(y).cast("string")), cols, ids=["_y"])
-        .where(F.col("value").isNotNull() & F.col("_y").isNotNull())
-        .groupBy("name", "value", "_y")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
+    rows = long_form(df.withColumn("_y", F.col(y).cast("string")), cols, ids=["_y"]).where(F.col("value").isNotNull() & F.col("_y").isNotNull())
     cuts = {f"q{i}": i / bins for i in range(1, bins)}
-    counts = cells.groupBy("name", "value").agg(F.sum("c").alias("n"))
-    edges = quantiles_of(counts, ["name"], "value", cuts)
     # one row per column, so the cut points may be broadcast
-    cut = edges.select("name", F.array(*cuts).alias("_cuts"))
+    cut = quantiles(rows, ["name"], "value", cuts).select("name", F.array(*cuts).alias("_cuts"))
     bin_of = F.size(F.filter("_cuts", lambda e: F.col("value") > e))
-    joint = cells.join(F.broadcast(cut), "name").withColumn("bin", bin_of).groupBy("name", "bin", "_y").agg(F.sum("c").alias("c"))
+    joint = rows.join(F.broadcast(cut), "name").groupBy("name", bin_of.alias("bin"), "_y").agg(F.count(F.lit(1)).alias("c"))
     # bins x classes rows per feature from here on
     by = Window.partitionBy
     n = F.sum("c").over(by("name"))

@@ -7,7 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqlytics.functions.expressions import share
-from seqlytics.operators.spread import counted, over, position, quantiles_of, split_join, spread_join
+from seqlytics.operators.ranks import MOST_GROUPS_SENT, quantiles, with_groups
+from seqlytics.operators.spread import over, position, split_join
+from seqlytics.session import checkpoint
 
 # Result names.
 RESULT_FLAGS = ("Strikeout", "Walk")
@@ -170,27 +172,21 @@ def hist2d(df: DataFrame, x: str, y: str, bins: int = 30) -> DataFrame:
 def box_stats(df: DataFrame, group: Sequence[str], x: str) -> DataFrame:
     """(group, q1, median, q3, low, high, outliers, n): quartiles, 1.5 IQR whiskers, rows beyond them."""
     keys = list(group)
-    counts = counted(df.where(F.col(x).isNotNull()), keys, x)
-    box = quantiles_of(counts, keys, x, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    known = df.where(F.col(x).isNotNull()).select(*keys, x)
+    box = checkpoint(quantiles(known, keys, x, {"q1": 0.25, "median": 0.5, "q3": 0.75}))
     reach = (F.col("q3") - F.col("q1")) * F.lit(1.5)
     v = F.col(x)
     inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
-    joined = spread_join(counts, box, keys) if keys else _with_row(counts, box)
+    joined = with_groups(known, box, keys, box.count() <= MOST_GROUPS_SENT)
     return joined.groupBy(*keys).agg(
         *[F.any_value(c).alias(c) for c in ("q1", "median", "q3")],
         F.min(F.when(inside, v)).alias("low"),
         F.max(F.when(inside, v)).alias("high"),
-        F.sum(F.when(inside, F.lit(0)).otherwise(F.col("n"))).alias("outliers"),
-        F.sum("n").alias("n"),
+        F.count_if(~inside).alias("outliers"),
+        F.count(F.lit(1)).alias("n"),
     )
 
 
-def _with_row(df: DataFrame, row: DataFrame) -> DataFrame:
-    """Columns of a one-row table on every row, as a scalar subquery."""
-    s = row.agg(F.struct(*[F.max(c).alias(c) for c in row.columns]).alias("s")).scalar()
-    return df.withColumns({c: s[c] for c in row.columns})
-
-
 def sum_by_date(df: DataFrame, date: str, value: str, out: str = "total") -> DataFrame:
     return df.where(F.col(date).isNotNull()).groupBy(date).agg(F.sum(value).alias(out)).orderBy(date)
 

@@ -199,49 +199,6 @@ def _help(parts: DataFrame, keys: list, order: list, specs: Mapping[str, Spec],
     )
 
 
-def counted(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
-    """(keys, col, n): how often each value occurs in its group, null included.
-
-    Equal values meet before the shuffle, so a value that fills the table costs
-    one row per map task.
-    """
-    return df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("n"))
-
-
-def ranked(counts: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
-    """``counts`` without nulls, plus the rows up to and including each value, and of the group."""
-    known = counts.where(F.col(col).isNotNull())
-    return over(known, keys, [col], {"upto": running_sum("n"), "size": total("n")})
-
-
-def value_at(col: str, rank: Column) -> Column:
-    """Aggregate over ``ranked``: the value at 0-based ``rank``."""
-    return F.min(F.when(F.col("upto") > rank, F.col(col)))
-
-
-def quantiles(df: DataFrame, keys: Sequence[str], col: str, at: Mapping[str, float]) -> DataFrame:
-    """Exact quantiles with linear interpolation: one row per group that has a value."""
-    return quantiles_of(counted(df, keys, col), keys, col, at)
-
-
-def quantiles_of(counts: DataFrame, keys: Sequence[str], col: str, at: Mapping[str, float]) -> DataFrame:
-    """The same from (keys, col, n)."""
-    picks = []
-    for name, q in at.items():
-        h = (F.col("size") - 1) * F.lit(float(q))
-        picks += [
-            value_at(col, F.floor(h)).alias(f"_lo_{name}"),
-            value_at(col, F.ceil(h)).alias(f"_hi_{name}"),
-        ]
-    found = ranked(counts, keys, col).groupBy(*keys).agg(F.max("size").alias("_size"), *picks)
-    out = []
-    for name, q in at.items():
-        h = (F.col("_size") - 1) * F.lit(float(q))
-        lo, hi = F.col(f"_lo_{name}").cast("double"), F.col(f"_hi_{name}").cast("double")
-        out.append((lo + (hi - lo) * (h - F.floor(h))).alias(name))
-    return found.select(*keys, *out)
-
-
 def split_join(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join rows with an aggregated table so that AQE can split a hot key.
 

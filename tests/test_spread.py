@@ -4,17 +4,18 @@ import random
 from itertools import groupby
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from seqlytics.operators import spread
+from seqlytics.operators import ranks, spread
+from seqlytics.operators.ranks import at_ranks, quantiles
 from seqlytics.operators.spread import (
     carried,
     following,
     over,
     position,
     previous,
-    quantiles,
     running_sum,
     split_join,
     spread_join,
@@ -103,7 +104,31 @@ def test_over_writes_no_rows_and_spreads_a_group(spark):
         spark.conf.unset(ROWS_PER_PIECE_KEY)
 
 
-def test_quantiles(spark, both_ways):
+@pytest.mark.parametrize("sent", [ranks.MOST_GROUPS_SENT, 0])
+def test_ranks_of_any_numbers(spark, monkeypatch, sent):
+    """Values of all sizes and signs, infinite ones, many equal ones, null keys, one huge group: found without an order or a window."""
+    monkeypatch.setattr(ranks, "MOST_GROUPS_SENT", sent)
+    rnd = random.Random(8)
+    big = [rnd.choice([-1, 1]) * 10.0 ** rnd.uniform(-300, 300) for _ in range(3000)] + [0.0, -0.0, float("inf"), float("-inf"), 5e-324] * 40
+    data = [("hot", x) for x in big] + [(None, x) for x in big[:101]] + [(f"k{i}", rnd.choice(big)) for i in range(60)] + [("none", None), ("one", 2.5)]
+    df = spark.createDataFrame(data, "k string, x double").repartition(5)
+    places = {"first": lambda n: F.lit(0), "mid": lambda n: F.floor(n / 2), "last": lambda n: n - 1}
+    found = at_ranks(df, ["k"], "x", places)
+    for r in found.collect():
+        known = sorted(x for k, x in data if k == r.k and x is not None)
+        assert r.rows == len(known)
+        for name, at in (("first", 0), ("mid", len(known) // 2), ("last", len(known) - 1)):
+            v = known[at]
+            assert tuple(r[name]) == (v, sum(x < v for x in known), sum(x == v for x in known))
+    assert found.count() == len({k for k, x in data if x is not None})
+    longs = spark.createDataFrame([(x,) for x in (2**62, -(2**62), 2**62 + 1, 7, -(2**63), 2**63 - 1)], "x long")
+    got = at_ranks(longs, [], "x", {f"r{i}": lambda n, i=i: F.lit(i) for i in range(6)}).first()
+    assert [got[f"r{i}"].value for i in range(6)] == [-(2**63), -(2**62), 7, 2**62, 2**62 + 1, 2**63 - 1]
+    assert "Window" not in found._jdf.queryExecution().toString()
+    assert at_ranks(df.where("false"), ["k"], "x", places).count() == 0
+
+
+def test_quantiles(spark):
     data = [r for r in skewed() if r[0] is not None]
     df = spark.createDataFrame(data, "k string, o int, x int")
     at = {"a": 0.0, "q1": 0.25, "mid": 0.5, "q9": 0.9, "z": 1.0}
