@@ -8,8 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqlytics.functions.expressions import matches, share, smoothed
-from seqlytics.operators.ranks import at_ranks
-from seqlytics.operators.spread import over, previous, split_join
+from seqlytics.operators.spread import counted, over, previous, ranked, split_join, value_at
 from seqlytics.roles import Roles
 
 
@@ -104,15 +103,24 @@ def action_entropy(df: DataFrame, keys: Sequence[str], action: str, out: str = "
 def below_median_share(df: DataFrame, keys: Sequence[str], col: str, out: str = "below_median") -> DataFrame:
     """Share of the group's rows strictly below its exact median.
 
-    With the two middle values equal it is the rows below that value, else those up to the
-    lower one. Rows with a null count in the denominator only.
+    Read off the running counts, without a join back to the rows: with the two
+    middle values equal it is the rows before that value, else the rows up to
+    the lower one. Rows with a null count in the denominator only. Groups are many
+    and mostly small here, so one ordered pass over their distinct values costs less than rounds of counting.
     """
-    rows = _known(df, keys)
-    ranks = {"_lo": lambda n: F.floor((n - 1) / 2), "_hi": lambda n: F.floor(n / 2)}
-    below = F.when(F.col("_lo.value") == F.col("_hi.value"), F.col("_lo.before")).otherwise(F.col("_lo.before") + F.col("_lo.same"))
-    middle = at_ranks(rows, keys, col, ranks).select(*keys, below.alias("_below"))
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return sizes.join(middle, list(keys), "left").select(
+    counts = counted(_known(df, keys), keys, col)
+    low, high = F.floor((F.col("size") - 1) / 2), F.floor(F.col("size") / 2)
+    middle = ranked(counts, keys, col).groupBy(*keys).agg(
+        value_at(col, low).alias("_lo"),
+        value_at(col, high).alias("_hi"),
+        F.min(F.when(F.col("upto") > low, F.col("upto"))).alias("_upto"),
+        F.min(F.when(F.col("upto") > low, F.col("upto") - F.col("n"))).alias("_before"),
+    )
+    below = middle.select(
+        *keys, F.when(F.col("_lo") == F.col("_hi"), F.col("_before")).otherwise(F.col("_upto")).alias("_below")
+    )
+    sizes = counts.groupBy(*keys).agg(F.sum("n").alias("_rows"))
+    return sizes.join(below, list(keys), "left").select(
         *keys, (F.coalesce(F.col("_below"), F.lit(0)) / F.col("_rows")).alias(out)
     )
 

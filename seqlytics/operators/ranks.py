@@ -1,10 +1,10 @@
-"""Exact values at ranks of each group, by distributed selection on the values' ordered bits.
+"""Exact values at ranks of each group, by distributed selection.
 
-Every value stands for a 64-bit integer that keeps its order. In a round, the range in which a wanted rank
-lies is cut into cells by leading bits and the rows of each cell are counted; the cell that holds the rank,
-narrowed to its least and greatest value, is the range of the next round. Values of a discrete column are found in the first
-round, others after two or three, any after six. Rows are neither ordered, written nor gathered: counts of
-cells are all that is shuffled, pre-aggregated by every task.
+In a round, the range in which a wanted rank lies is cut into cells and the rows of each cell are counted; the cell
+that holds the rank, narrowed to its least and greatest value, is the range of the next round. First cells are of equal width, which finds
+the values of most columns in two rounds; then they go by the leading bits of a 64-bit integer that keeps the values' order,
+which ends after seven rounds whatever the values are. Rows are neither ordered, written nor gathered: counts of cells are all that
+is shuffled, pre-aggregated by every task. Made for few groups of any size; each round reads the rows once.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ from pyspark.sql.types import DecimalType, DoubleType, FloatType, IntegralType
 from seqlytics.operators.spread import spread_join
 from seqlytics.session import checkpoint
 
-CELL_BITS = 12
+CELL_BITS = 10
+#: Rounds with cells of equal width.
+LEVEL_ROUNDS = 3
 #: Groups whose ranges are sent to every task, some 100 bytes each; with more, rows and ranges meet in salted joins.
 MOST_GROUPS_SENT = 100_000
 
@@ -52,31 +54,46 @@ def at_ranks(df: DataFrame, keys: Sequence[str], col: str, ranks: Mapping[str, C
     Nulls are left out; equal values and null keys count as they are.
     """
     keys = list(keys)
-    rows = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).alias("_v"), ordered_bits(df, col).alias("_b"))
-    cell = [F.count(F.lit(1)).alias("_n"), F.min("_b").alias("_lo"), F.max("_b").alias("_hi"), F.min("_v").alias("_value")]
+    rows = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).alias("_v"))
+    level = isinstance(df.schema[col].dataType, (FloatType, DoubleType))
+    cell = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
     whole = rows.groupBy(*keys).agg(*cell)
     wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("long").alias("rank")) for name, rank in ranks.items()]))
-    state = whole.select(*keys, F.col("_n").alias("rows"), wanted.alias("_w"), "_lo", "_hi", "_n", "_value", F.lit(0).cast("long").alias("_before"))
-    state = checkpoint(state.select(*keys, "rows", F.col("_w.name").alias("_name"), F.col("_w.rank").alias("_rank"), "_before", "_n", "_lo", "_hi", "_value"))
-    few = state.count() <= MOST_GROUPS_SENT * len(ranks)
-    while state.where("_lo < _hi").limit(1).count():
-        state = checkpoint(state.where("_lo = _hi").unionByName(_narrowed(rows, state.where("_lo < _hi"), keys, cell, few)))
-    found = F.struct(F.col("_value").alias("value"), F.col("_before").alias("before"), F.col("_n").alias("same"))
+    state = whole.select(*keys, F.col("_n").alias("rows"), wanted.alias("_w"), "_lo", "_hi", "_n", F.lit(0).cast("long").alias("_before"))
+    state = checkpoint(state.select(*keys, "rows", F.col("_w.name").alias("_name"), F.col("_w.rank").alias("_rank"), "_before", "_n", "_lo", "_hi"))
+    size, open_ = state.agg(F.count(F.lit(1)), F.count_if(F.expr("_lo < _hi"))).first()
+    few, round_ = size <= MOST_GROUPS_SENT * len(ranks), 0
+    while open_:
+        state = checkpoint(state.where("_lo = _hi").unionByName(_narrowed(rows, state.where("_lo < _hi"), keys, cell, few, level and round_ < LEVEL_ROUNDS)))
+        open_ = state.where("_lo < _hi").count()
+        round_ += 1
+    found = F.struct(F.col("_lo").alias("value"), F.col("_before").alias("before"), F.col("_n").alias("same"))
     return state.groupBy(*keys).agg(F.max("rows").alias("rows"), *[F.max(F.when(F.col("_name") == name, found)).alias(name) for name in ranks])
 
 
-def _narrowed(rows: DataFrame, state: DataFrame, keys: list, cell: list[Column], few: bool) -> DataFrame:
-    """``state`` with each range narrowed to the cell that holds its rank."""
+def _narrowed(rows: DataFrame, state: DataFrame, keys: list, cell: list[Column], few: bool, level: bool) -> DataFrame:
+    """``state`` with each range narrowed to the cell that holds its rank; ``level``: cells of equal width, where the range is finite."""
+    lo, hi = ordered_bits(state, "_lo"), ordered_bits(state, "_hi")
     # halves, since a range may be wider than a long
-    width = F.length(F.bin(F.call_function("shiftright", F.col("_hi"), F.lit(1)) - F.call_function("shiftright", F.col("_lo"), F.lit(1)))) + 1
+    width = F.length(F.bin(F.call_function("shiftright", hi, F.lit(1)) - F.call_function("shiftright", lo, F.lit(1)))) + 1
     shift = F.greatest(F.lit(0), width - CELL_BITS)
+    scale = F.lit(None).cast("double")
+    if level:
+        scale = F.lit(float(1 << CELL_BITS)) / (F.col("_hi").cast("double") - F.col("_lo").cast("double"))
+        # neither a range beyond all doubles nor one too narrow to be scaled
+        scale = F.when((scale > 0) & (scale < float("inf")), scale)
     # as many ranges as there are ranks, at most
-    ranges = state.groupBy(*keys).agg(F.collect_set(F.struct("_lo", "_hi", shift.alias("shift"))).alias("_ranges"))
-    inside = with_groups(rows, ranges, keys, few).withColumn("_range", F.get(F.filter("_ranges", lambda r: F.col("_b").between(r["_lo"], r["_hi"])), 0))
-    part = F.call_function("shiftright", F.col("_b"), F.col("_range.shift"))
+    cut = state.select(*keys, F.struct("_lo", "_hi", shift.alias("shift"), scale.alias("scale")).alias("_range"))
+    ranges = cut.groupBy(*keys).agg(F.collect_set("_range").alias("_ranges"))
+    one = F.get("_ranges", 0)
+    held = F.get(F.filter("_ranges", lambda r: F.col("_v").between(r["_lo"], r["_hi"])), 0)
+    inside = with_groups(rows, ranges, keys, few).withColumn("_range", F.when(F.size("_ranges") > 1, held).when(F.col("_v").between(one["_lo"], one["_hi"]), one))
+    by_bits = F.call_function("shiftright", ordered_bits(rows, "_v"), F.col("_range.shift"))
+    by_width = F.floor((F.col("_v").cast("double") - F.col("_range._lo").cast("double")) * F.col("_range.scale"))
+    part = F.when(F.col("_range.scale").isNotNull(), by_width).otherwise(by_bits)
     counts = inside.where("_range is not null").groupBy(*keys, F.col("_range._lo").alias("_from"), part.alias("_cell")).agg(*cell)
     # the cells of one range, 2 ** CELL_BITS and one at most
-    cells = counts.groupBy(*keys, "_from").agg(F.sort_array(F.collect_list(F.struct("_cell", "_n", "_lo", "_hi", "_value"))).alias("_cells"))
+    cells = counts.groupBy(*keys, "_from").agg(F.sort_array(F.collect_list(F.struct("_cell", "_n", "_lo", "_hi"))).alias("_cells"))
     start = F.struct(F.col("_before").alias("before"), F.lit(-1).alias("at"), F.lit(0).alias("i"))
 
     def step(acc: Column, c: Column) -> Column:
@@ -92,7 +109,7 @@ def _narrowed(rows: DataFrame, state: DataFrame, keys: list, cell: list[Column],
     met = state.join(named, same).withColumn("_place", F.aggregate("_cells", start, step)).withColumn("_c", F.get("_cells", F.col("_place.at")))
     return met.select(
         *keys, "rows", "_name", "_rank", F.col("_place.before").alias("_before"),
-        F.col("_c._n").alias("_n"), F.col("_c._lo").alias("_lo"), F.col("_c._hi").alias("_hi"), F.col("_c._value").alias("_value"),
+        F.col("_c._n").alias("_n"), F.col("_c._lo").alias("_lo"), F.col("_c._hi").alias("_hi"),
     )
 
 
