@@ -122,8 +122,13 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return max(plain, float((1 / inner).sum()))
 
 
+def text_key(text: str = "text") -> Column:
+    """128 bits of the whole text, the same for equal texts."""
+    return F.unhex(F.md5(F.col(text).cast("binary")))
+
+
 def _signed(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
-    """(doc_id, same, bands): a hash of the whole text and the band hashes; none for texts without words.
+    """(doc_id, same, bands): the text's key and the band hashes; none for texts without words.
 
     A text with repeated shingles has the bands of its weighted and of its plain set, so that it meets by both kinds of likeness.
     """
@@ -148,11 +153,11 @@ def _signed(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
                 found = np.concatenate([found, band_hashes(plain, bands, rows)])[np.argsort(owner, kind="stable")].view(np.int64)
                 at_band = np.append(0, np.cumsum(np.bincount(owner) * bands)).astype(np.int32)
                 raw = part.tobytes()
-                same = [hashlib.blake2b(raw[at[t] : at[t + 1]], digest_size=16).digest() for t in held.tolist()]
+                same = [hashlib.md5(raw[at[t] : at[t + 1]], usedforsecurity=False).digest() for t in held.tolist()]
                 flat = pa.ListArray.from_arrays(pa.array(at_band), pa.array(found.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(held + i)), pa.array(same, pa.binary()), flat], ["doc_id", "same", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, same binary, bands array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -179,9 +184,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) ->
 
 
 def _rarest(texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(doc_id, h, left, of, before, early): of each text the rarest shingles, as many as leave less than ``similarity`` of its shingles and
-    of their weight; ``left`` of its ``of`` shingles are not rarer, ``before`` is the weight of the rarer ones, and
-    ``early`` lists short hashes of the text's rows.
+    """(doc_id, h, left, of, before): of each text the rarest shingles, as many as leave less than ``similarity`` of its shingles and
+    of their weight; ``left`` of its ``of`` shingles are not rarer, ``before`` is the weight of the rarer ones. A row is of one size, however long the text.
 
     Two texts of which none of these is shared have less than ``similarity`` in common, by number and by weight, and both kinds of
     likeness are below that share. Rarity is counted over ``texts``; shingles of one text only are left out.
@@ -202,9 +206,7 @@ def _rarest(texts: DataFrame, k: int, similarity: float) -> DataFrame:
     before = F.coalesce(F.sum("mass").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     placed = spread.withColumns({"before": before, "of": F.count(F.lit(1)).over(own), "nth": F.row_number().over(w)}).withColumn("left", F.col("of") - F.col("nth") + 1)
     early = (F.col("before") <= 1 - similarity + 1e-9) | (F.col("left") >= F.col("of") * similarity - 1e-9)
-    kept = placed.where(early & (F.col("n") > 1))
-    # in the order of rarity, which is the same for all texts
-    return kept.withColumn("early", F.transform(F.array_sort(F.collect_list(F.struct("n", "h")).over(own)), lambda x: F.hash(x.h))).select("doc_id", "h", "left", "of", "before", "early")
+    return placed.where(early & (F.col("n") > 1)).select("doc_id", "h", "left", "of", "before")
 
 
 def _may_reach(similarity: float) -> Column:
@@ -246,23 +248,26 @@ def _maps_may_reach(similarity: float) -> Column:
     return (m >= similarity * (F.col("of") + F.col("of_b") - m) - 1e-9) | ((1 - u) * (1 - v) >= similarity * (1 - u * v) - 1e-9)
 
 
-def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, n_links): one row per distinct id. ``class_id`` is the least id of its class.
+def _alike(docs: DataFrame, bands: int, rows: int, k: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct texts with words and the verified links between them, as three written tables.
 
-    Classes are the components of all verified candidate pairs and of equal texts; ``n_links`` counts the verified pairs
-    of the text that stands for the id's copies, as far as the class needed them. Rows without an id are left out; null, empty and blank
-    texts have no shingles and stay alone. An id with several texts joins the classes of all. Words are what lies between
-    white space, as written. Empty table: no rows.
+    (doc_id, same, rep) of every row that has words; (same, rep, first_id, n) of every distinct text, where ``rep`` is its number, ``first_id`` its least id,
+    null if it has none, and ``n`` the rows with that id; (src, dst) of the links between numbers, as far as the classes need them.
     """
-    signed = checkpoint(_signed(docs.where("doc_id is not null"), bands, rows, k))
-    copies = checkpoint(signed.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")))
+    signed = checkpoint(_signed(docs, bands, rows, k))
+    # a text's number is written down with it, so it stays what it is
+    by_id = signed.groupBy("same", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    first = F.min_by(F.struct("doc_id", "n"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("f")
+    copies = by_id.groupBy("same").agg(first, F.first("bands").alias("bands")).select("same", "f.n", F.col("f.doc_id").alias("first_id"), "bands")
+    copies = checkpoint(copies.withColumn("rep", F.monotonically_increasing_id()))
     banded = copies.select("rep", F.explode(F.array_distinct("bands")).alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("bucket", "lead")
     member = checkpoint(split_join(banded, buckets, ["bucket"]))
-    texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    wanted = member.select(F.col("rep").alias("doc_id")).distinct()
-    texts = texts.join(broadcast_if(wanted, MOST_IDS_SENT), "doc_id", "left_semi")
-    texts = checkpoint(texts.groupBy("doc_id").agg(F.max("text").alias("text")))
+    wanted = member.select("rep").distinct().join(copies, "rep").select("rep", "same", "first_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), "text", text_key().alias("same")).where("text is not null")
+    named = wanted.withColumnRenamed("first_id", "id").withColumnRenamed("same", "key")
+    texts = texts.join(broadcast_if(named, MOST_IDS_SENT), (F.col("same") == F.col("key")) & F.col("first_id").eqNullSafe(F.col("id")))
+    texts = checkpoint(texts.groupBy(F.col("rep").alias("doc_id")).agg(F.max("text").alias("text")))
 
     asked = checkpoint(member.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
     links = checkpoint(_verified(asked, texts, k, similarity))
@@ -271,33 +276,57 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SHIN
     root = split_join(member, tied.withColumnRenamed("id", "rep"), ["rep"], "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
     root = checkpoint(root)
     apart = root.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-    open_ = checkpoint(split_join(root, apart, ["bucket"]))
-    left = texts.join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    rare = _rarest(left, k, similarity)
-    about = open_.select(F.col("rep").alias("doc_id"), "root").distinct().join(_mapped(left, k), "doc_id")
-    rare = checkpoint(split_join(rare, about, ["doc_id"]))
-    mates = rare.select("h", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "root", "left", "of", "before", "total", "bits", "early")])
-    # a pair meets once, at the rarest shingle that both hold
-    once = F.get(F.array_intersect("early", "early_b"), F.lit(0)) == F.hash("h")
-    met = rare.join(mates, "h").where("doc_id < doc_id_b and root <> root_b").where(_may_reach(similarity)).where(once).where(_maps_may_reach(similarity))
-    more = met.select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b"))
+    open_ = split_join(root, apart, ["bucket"]).select(F.col("rep").alias("doc_id"), "root").distinct()
+    open_ = checkpoint(open_)
+    left = texts.join(open_.select("doc_id"), "doc_id", "left_semi")
+    about = open_.join(_mapped(left, k), "doc_id")
+    rare = checkpoint(split_join(_rarest(left, k, similarity), about, ["doc_id"]))
+    mates = rare.select("h", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "root", "left", "of", "before", "total", "bits")])
+    # the branches of a CASE are worked out in order, so maps are compared only where the other bounds let a pair pass
+    cheap = F.expr("doc_id < doc_id_b and root <> root_b") & _may_reach(similarity)
+    met = rare.join(mates, "h").where(F.when(cheap, _maps_may_reach(similarity)).otherwise(False))
+    more = met.select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b")).distinct()
     more = checkpoint(more.join(asked, ["a", "b"], "left_anti"))
-    links = checkpoint(links.union(_verified(more, texts, k, similarity)))
+    return signed.select("doc_id", "same"), copies.drop("bands"), checkpoint(links.union(_verified(more, texts, k, similarity)))
 
-    # equal texts are tied to their first, and an id to itself over all its texts
-    ids = signed.select("doc_id", "same")
-    ends = split_join(ids, copies.select("same", "rep"), ["same"])
-    same = ends.where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
-    final = components(links.union(same))
+
+def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, class_id, n_links): one row per distinct id. ``class_id`` is the least id of its class.
+
+    Classes are the components of all verified candidate pairs and of equal texts; ``n_links`` counts the verified pairs
+    of the text that stands for the id's copies, as far as the class needed them. Rows without an id are left out; null, empty and blank
+    texts have no shingles and stay alone. An id with several texts joins the classes of all. Ids must be whole numbers. Words are what lies between
+    white space, as written. Empty table: no rows.
+    """
+    named = docs.where("doc_id is not null")
+    signed, copies, links = _alike(named, bands, rows, k, similarity)
+    ends = checkpoint(split_join(signed, copies.select("same", "rep"), ["same"]).select("doc_id", "rep").distinct())
+    # an id is tied to itself over all its texts
+    several = ends.groupBy("doc_id").agg(F.min("rep").alias("src"), F.max("rep").alias("last")).where("src <> last").select("doc_id", "src")
+    tied = split_join(ends, several, ["doc_id"]).where("rep <> src").select("src", F.col("rep").alias("dst"))
+    roots = components(links.union(tied)).withColumnRenamed("id", "rep")
+    rooted = checkpoint(split_join(copies, roots, ["rep"], "left").select("rep", "first_id", F.coalesce("root", "rep").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"))
     degree = links.select(F.explode(F.array("src", "dst")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    of = split_join(ends, degree, ["rep"], "left").groupBy("doc_id").agg(F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"))
-    every = docs.where("doc_id is not null").select("doc_id").distinct()
-    out = every.join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(of, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of = split_join(split_join(rooted, least, ["root"]), degree, ["rep"], "left").select("rep", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    found = split_join(ends, of, ["rep"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
+    every = named.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    return every.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` whose id stands for its class, one row each, and rows without an id."""
-    stay = classes(docs, **settings).where("doc_id = class_id").select("doc_id")
-    named = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*[f"`{c}`" for c in docs.columns]).union(docs.where("doc_id is null"))
+def keep_one(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each class of texts the row with the least id, same columns.
+
+    Texts count, not ids: two texts of one id stay both if they are unlike, and rows without an id are copies like any other, kept if their class has no id. Of rows alike in id
+    and text one stays. Null, empty and blank texts have no shingles and stay.
+    """
+    _, copies, links = _alike(docs, bands, rows, k, similarity)
+    rooted = split_join(copies, components(links).withColumnRenamed("id", "rep"), ["rep"], "left").withColumn("root", F.coalesce("root", "rep"))
+    place = F.struct(F.col("first_id").isNull(), "first_id", "rep")
+    # every distinct text: whether it stays, under which id, and whether several rows are alike
+    stays = rooted.groupBy("root").agg(F.min_by(F.struct("same", "first_id", "n"), place).alias("s"))
+    stays = checkpoint(stays.select(F.col("s.same").alias("key"), F.col("s.first_id").alias("id"), F.col("s.n").alias("alike")))
+    rows_ = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own"), text_key().alias("same"), F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("worded"))
+    worded = rows_.where("worded").join(stays, (F.col("same") == F.col("key")) & F.col("own").eqNullSafe(F.col("id")))
+    one = worded.where("alike = 1").select("row").union(worded.where("alike > 1").dropDuplicates(["same"]).select("row"))
+    return one.union(rows_.where("not coalesce(worded, false)").select("row")).select("row.*")
