@@ -296,10 +296,10 @@ def sequences(
 ) -> DataFrame:
     """(seq, part, steps, length, longest, label): ordered feature vectors per sequence.
 
-    ``steps`` is padded with zero vectors to the longest sequence, ``label`` is
-    the outcome of the last step. A sequence longer than ``part_size`` goes on in
-    further rows (``part`` 1, 2, ...), so no cell grows with the data; every
-    sequence has the parts of the longest one, all zero after its own end.
+    ``label`` is the outcome of the last step, ``longest`` the length of the longest sequence. A sequence longer than
+    ``part_size`` goes on in further rows (``part`` 1, 2, ...), so no cell grows with the data. Each sequence
+    has its own steps only, however long another is; ``padded`` adds the zero vectors where they are read.
+    Rows without a sequence are left out.
     """
     seq = list(seq)
     placed = over(df, seq, order, {"_at": position()}, rows).withColumn(
@@ -313,17 +313,28 @@ def sequences(
         F.count(F.lit(1)).alias("length"), F.max_by(y, F.struct(*order)).alias("label")
     )
     longest = ends.agg(F.max("length")).scalar()
-    zero = F.array(*[F.lit(0.0) for _ in cols])
-    real = F.transform("_steps", lambda s: s["v"])
-    every = ends.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((longest - 1) / part_size).cast("int"))))
-    none = F.array().cast(parts.schema["_steps"].dataType)
-    left = longest - F.col("part") * part_size
-    width = F.least(left, F.lit(part_size))
-    steps = F.concat(real, F.array_repeat(zero, (width - F.size(real)).cast("int")))
     return (
-        split_join(every, parts, [*seq, "part"], "left")
-        .withColumn("_steps", F.coalesce("_steps", none))
-        .withColumn("steps", steps)
+        split_join(parts, ends, seq)
+        .withColumn("steps", F.transform("_steps", lambda s: s["v"]))
         .withColumn("longest", longest)
         .select(*seq, "part", "steps", "length", "longest", "label")
     )
+
+
+def padded(packed: DataFrame, seq: Sequence[str], width: int, part_size: int = 1024, upto: int | None = None) -> DataFrame:
+    """``packed`` as equally long sequences of ``upto`` steps (the longest one's number by default): zero vectors of ``width`` entries behind a
+    sequence's own end. Steps beyond ``upto`` are left out.
+
+    A view for a model's input: its rows are sequences times parts, so read it in bounds and don't write it.
+    The part that holds a sequence's end makes the zero parts behind it; nothing is shuffled.
+    """
+    end = F.col("longest") if upto is None else F.lit(upto).cast("long")
+    zero = F.array(*[F.lit(0.0) for _ in range(width)])
+    own, last = F.col("part"), F.floor((F.col("length") - 1) / part_size).cast("int")
+    behind = F.floor((end - 1) / part_size).cast("int")
+    parts = F.when((own == last) & (behind > own), F.sequence(own, behind)).otherwise(F.array(own))
+    rows = packed.where(own <= behind).withColumn("_part", F.explode(parts))
+    room = F.least(end - F.col("_part") * part_size, F.lit(part_size)).cast("int")
+    real = F.when(F.col("_part") == own, F.slice("steps", 1, F.least(room, F.size("steps")))).otherwise(F.array().cast("array<array<double>>"))
+    steps = F.concat(real, F.array_repeat(zero, room - F.size(real)))
+    return rows.select(*seq, F.col("_part").alias("part"), steps.alias("steps"), "length", "longest", "label")

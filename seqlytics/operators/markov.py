@@ -10,6 +10,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 from copy import copy
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -293,49 +294,129 @@ def propagate(
     ``start`` is (ids, state, mass) with states of the model, ``actions`` (on, state, action, p), where
     ``on`` are those of the ids the action mix depends on. Returns (ids, step,
     state, mass) before each step and (ids, step, action, p). Mass that ends, or
-    has no transition, spreads evenly over the other states of the model. That
-    makes the result one row per id and state, so start from few distinct ids
-    (a start state, an entity), not from rows.
+    has no transition, spreads evenly over the other states of the model; in a smoothed model (``p_other``) each
+    next state that a state and action were not seen to reach gets its share too.
+
+    What spreads evenly is not written state by state: an id has its few states, and for each step a number, the share that spread
+    then. Where such a share is a step later is the same for all ids with the same ``on``, and worked out once for these. So the
+    actions cost ids times reached states; only the first result, if it is read, has a row for each id and state.
     """
     ids, on = list(ids), list(on)
-    model = checkpoint(model.select("state", "action", "next_state", "p"))
+    cols = ["state", "action", "next_state", "p", *(["p_other"] if "p_other" in model.columns else [])]
+    model = checkpoint(model.select(*cols))
+    if "p_other" not in model.columns:
+        model = model.withColumn("p_other", F.lit(0.0))
     actions = checkpoint(actions.select(*on, "state", "action", "p"))
-    space = model.select("state").distinct()
+    space = checkpoint(model.select("state").distinct())
     size = space.count()
-    every = space.agg(F.collect_set("state")).scalar()
+    reached = checkpoint(model.select(F.col("next_state").alias("state")).join(space, "state", "left_semi").distinct())
+    within = reached.count()
     known = model.join(space.select(F.col("state").alias("next_state")), "next_state", "left_semi")
-
-    grid = start.groupBy(*ids).agg(F.lit(0.0).alias("mass")).withColumn("state", F.explode(every))
-    mass = start.select(*ids, "state", "mass").unionByName(grid.select(*ids, "state", "mass"))
-    mass = checkpoint(mass.groupBy(*ids, "state").agg(F.sum("mass").alias("mass")))
-    states, mixes = [], []
-    for step in range(1, n + 1):
-        states.append(mass.where(F.col("mass") > 0).withColumn("step", F.lit(step)))
-        played = mass.join(actions, [*on, "state"]).select(
-            *ids, "state", "action", (F.col("mass") * F.col("p")).alias("m")
+    other = model.groupBy("state", "action").agg(F.max("p_other").alias("p_other"))
+
+    # tracks: an id's own states, and for each ``on`` one unit in every state and one in every reached state
+    groups = start.select(*on).distinct()
+    track = [*ids, "_seed"]
+    # fields of ids that a seed's track has no value for
+    blank = [F.lit(None).cast(start.schema[c].dataType).alias(c) for c in ids if c not in on]
+    own = start.select(*ids, F.lit("own").alias("_seed"), "state", "mass")
+    seeds = [
+        _each(groups, on, table).select(*on, *blank, F.lit(name).alias("_seed"), "state", F.lit(1.0).alias("mass")).select(*track, "state", "mass")
+        for name, table in (("even", space), ("unseen", reached))
+    ]
+    mass = checkpoint(own.unionByName(seeds[0]).unionByName(seeds[1]).groupBy(*track, "state").agg(F.sum("mass").alias("mass")))
+    masses, mixes, spread = [], [], []
+    for step in range(n):
+        masses.append(mass.withColumn("_age", F.lit(step)))
+        played = checkpoint(
+            _same(mass, actions, [*on, "state"]).select(*track, "state", "action", (F.col("mass") * F.col("p")).alias("m"))
         )
-        mixes.append(played.groupBy(*ids, "action").agg(F.sum("m").alias("p")).withColumn("step", F.lit(step)))
-        if step == n:
+        mixes.append(played.groupBy(*track, "action").agg(F.sum("m").alias("p")).withColumn("_age", F.lit(step)))
+        if step == n - 1:
             break
-        # every move leaves one state and reaches another
-        m, none = F.col("m") * F.col("p"), F.lit(0.0)
+        # every move leaves one state and reaches another; unseen next states have p_other each, which the seen ones give back
+        flow, none = F.col("m") * (F.col("p") - F.col("p_other")), F.lit(0.0)
         ends = F.array(
-            F.struct(F.col("state"), none.alias("mass"), m.alias("left"), none.alias("in")),
-            F.struct(F.col("next_state").alias("state"), none.alias("mass"), none.alias("left"), m.alias("in")),
+            F.struct(F.col("state"), none.alias("mass"), flow.alias("left"), none.alias("in")),
+            F.struct(F.col("next_state").alias("state"), none.alias("mass"), none.alias("left"), flow.alias("in")),
         )
-        moved = played.join(known, ["state", "action"]).select(*ids, F.explode(ends).alias("e")).select(*ids, "e.*")
-        flows = mass.select(*ids, "state", "mass", none.alias("left"), none.alias("in")).unionByName(moved)
-        sums = flows.groupBy(*ids, "state").agg(*[F.sum(c).alias(c) for c in ("mass", "left", "in")])
-        # evenly to the others: everybody gets the id's loss, less the own share
+        moved = played.join(known, ["state", "action"]).select(*track, F.explode(ends).alias("e")).select(*track, "e.*")
+        unseen = played.join(other, ["state", "action"]).select(*track, "state", (F.col("m") * F.col("p_other")).alias("u"))
+        away = unseen.select(*track, "state", none.alias("mass"), (F.col("u") * float(within)).alias("left"), none.alias("in"))
+        flows = mass.select(*track, "state", "mass", none.alias("left"), none.alias("in")).unionByName(moved).unionByName(away)
+        sums = checkpoint(flows.groupBy(*track, "state").agg(*[F.sum(c).alias(c) for c in ("mass", "left", "in")]))
         lost = F.col("mass") - F.col("left")
-        whole = F.sum(lost).over(Window.partitionBy(*ids))
-        even = (whole - lost) / F.lit(float(size - 1)) if size > 1 else lost
-        mass = checkpoint(sums.select(*ids, "state", (F.col("in") + even).alias("mass")))
+        parts = sums.select(*track, lost.alias("lost"), none.alias("u")).unionByName(unseen.select(*track, none.alias("lost"), "u"))
+        spread.append(checkpoint(parts.groupBy(*track).agg(F.sum("lost").alias("lost"), F.sum("u").alias("u"))).withColumn("_age", F.lit(step)))
+        # what is lost in a state goes to the others: everybody gets the whole, less the own share
+        keeps = F.col("in") - (lost / F.lit(float(size - 1)) if size > 1 else F.lit(0.0))
+        mass = checkpoint(sums.select(*track, "state", keeps.alias("mass")).where("mass <> 0"))
+
+    shares = _shares(start.select(*ids).distinct(), spread, ids, on, n, size)
+
+    def ahead(parts: list[DataFrame], of: str, value: str) -> DataFrame:
+        """An id's own track at each step, and the seeds' tracks as often as their shares spread before it."""
+        every = reduce(DataFrame.unionByName, parts)
+        mine = every.where("_seed = 'own'").select(*ids, (F.col("_age") + 1).alias("step"), of, value)
+        seed = every.where("_seed <> 'own'").select(*on, F.col("_seed").alias("seed"), F.col("_age").alias("age"), of, F.col(value).alias("_unit"))
+        spread_ = _same(shares, seed, [*on, "seed", "age"]).select(*ids, "step", of, (F.col("share") * F.col("_unit")).alias(value))
+        return mine.unionByName(spread_).groupBy(*ids, "step", of).agg(F.sum(value).alias(value)).select(*ids, "step", of, value)
+
+    return ahead(masses, "state", "mass").where(F.col("mass") > 0), ahead(mixes, "action", "p")
+
 
-    def stacked(parts: list[DataFrame], cols: Sequence[str]) -> DataFrame:
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out.select(*ids, "step", *cols)
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return left.join(right, list(keys))
 
-    return stacked(states, ["state", "mass"]), stacked(mixes, ["action", "p"])
+
+def _each(groups: DataFrame, on: Sequence[str], table: DataFrame) -> DataFrame:
+    """The states of the model for each group of ids that shares its actions."""
+    states = table.agg(F.collect_list("state")).scalar()
+    return (groups if on else groups.sparkSession.range(1)).withColumn("state", F.explode(states))
+
+
+def _shares(starts: DataFrame, spread: list[DataFrame], ids: list, on: list, n: int, size: int) -> DataFrame:
+    """(ids, step, seed, age, share): how much of a seed's unit, spread ``age`` steps before, an id has at each step.
+
+    What an id spreads at a step is what its own states and the seeds' units it has by then spread: a short sum over the steps before.
+    """
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in starts.schema.fields], "step int, seed string, age int, share double"])
+    if not spread:
+        return starts.sparkSession.createDataFrame([], schema)
+    every = reduce(DataFrame.unionByName, spread)
+    own = every.groupBy(*ids).agg(_listed("own").alias("_own")).where(F.size("_own") > 0)
+    seed = every.where("_seed <> 'own'").groupBy(*on).agg(
+        *[_listed(name).alias(f"_{name}") for name in ("even", "unseen")]
+    )
+    both = _same(own, seed, on) if on else own.withColumns({f"_{c}": seed.agg(F.max(f"_{c}")).scalar() for c in ("even", "unseen")})
+    none = F.array().cast("array<struct<even:double,unseen:double>>")
+
+    def upto(acc: Column, t: Column) -> Column:
+        # shares that spread at step i have had t - 1 - i steps since
+        def sum_of(field: str) -> Column:
+            def part(i: Column) -> Column:
+                age = t - 1 - i
+                e, u = F.get("_even", age), F.get("_unseen", age)
+                a = F.get(acc, i)
+                return a["even"] * F.coalesce(e[field], F.lit(0.0)) + a["unseen"] * F.coalesce(u[field], F.lit(0.0))
+
+            places = F.when(t > 0, F.sequence(F.lit(0), t - 1)).otherwise(F.array().cast("array<int>"))
+            mine = F.coalesce(F.get("_own", t)[field], F.lit(0.0))
+            return F.aggregate(F.transform(places, part), mine, lambda x, y: x + y)
+
+        even = sum_of("lost") / F.lit(float(size - 1)) if size > 1 else F.lit(0.0) * sum_of("lost")
+        return F.concat(acc, F.array(F.struct(even.alias("even"), sum_of("u").alias("unseen"))))
+
+    made = both.withColumn("_c", F.aggregate(F.sequence(F.lit(0), F.lit(n - 2)), none, upto))
+    one = made.select(*ids, F.posexplode("_c").alias("_at", "_s"))
+    two = F.explode(F.array(F.struct(F.lit("even").alias("seed"), F.col("_s.even").alias("share")), F.struct(F.lit("unseen").alias("seed"), F.col("_s.unseen").alias("share"))))
+    long = one.select(*ids, "_at", two.alias("_x")).select(*ids, "_at", "_x.*").where("share <> 0")
+    # spread at step _at (from 0), so first there at step _at + 2 (from 1), of age 0
+    steps = long.withColumn("step", F.explode(F.sequence(F.col("_at") + 2, F.lit(n))))
+    return checkpoint(steps.select(*ids, "step", "seed", (F.col("step") - F.col("_at") - 2).alias("age"), "share"))
+
+
+def _listed(name: str) -> Column:
+    """The (lost, u) of one seed by age."""
+    found = F.sort_array(F.collect_list(F.when(F.col("_seed") == name, F.struct("_age", "lost", "u"))))
+    return F.transform(found, lambda x: F.struct(x["lost"], x["u"]))

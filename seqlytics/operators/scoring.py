@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from seqlytics.functions.expressions import argbest, percent, smoothed
 from seqlytics.operators.clean import dates_to_epoch, numeric_columns, require, string_columns
 from seqlytics.operators.encode import impute_const, impute_median, label_encode
-from seqlytics.operators.spread import over, position, running_sum, split_join, total
+from seqlytics.operators.ranks import MOST_GROUPS_SENT, with_groups
+from seqlytics.operators.spread import over, running_sum, split_join
 from seqlytics.session import checkpoint
 
+# Hex digits of a key's hash that tell a split's cells apart: 65,536 to a class.
+SPLIT_DIGITS = 4
+
 
 # --- matchup tables --------------------------------------------------------
 
@@ -61,13 +66,31 @@ def split(
 
     With ``strata`` every class gives the same share, at least one row where it
     has two. ``key`` has to identify a row.
+
+    Rows are not ordered: the rows of each class are counted by the hash's leading bits, running
+    counts say which of these cells holds the cut, and only its rows meet, in their order.
     """
     mark = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key]))
-    keys = [strata] if strata else []
-    marked = df.withColumn("_mark", mark).withColumn("_one", F.lit(1))
-    placed = over(marked, keys, ["_mark", *key], {"_at": position(), "_n": total("_one")})
-    take = F.when(F.col("_n") < 2, F.lit(0)).otherwise(F.ceil(F.col("_n") * F.lit(test_share)))
-    return placed.withColumn(out, (F.col("_at") <= take).cast("int")).drop("_mark", "_one", "_at", "_n")
+    classes = [strata] if strata else []
+    marked = df.withColumns({"_mark": mark, "_cell": F.conv(F.substring(mark, 1, SPLIT_DIGITS), 16, 10).cast("int")})
+    cells = marked.groupBy(*classes, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    # at most 16 ** SPLIT_DIGITS cells to a class
+    w = Window.partitionBy(*classes)
+    upto = w.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = cells.select(*classes, "_cell", "_n", F.sum("_n").over(upto).alias("_upto"), F.sum("_n").over(w).alias("_all"))
+    take = F.when(F.col("_all") < 2, F.lit(0)).otherwise(F.ceil(F.col("_all") * F.lit(test_share))).cast("long")
+    cuts = sums.withColumn("_take", take).groupBy(*classes).agg(
+        F.min(F.when(F.col("_upto") > F.col("_take"), F.struct("_cell", (F.col("_take") - F.col("_upto") + F.col("_n")).alias("rest")))).alias("_cut"),
+    )
+    cuts = checkpoint(cuts.select(*classes, F.col("_cut._cell").alias("_cut"), F.coalesce("_cut.rest", F.lit(0)).alias("_rest")))
+    rows = with_groups(marked, cuts, classes, cuts.count() <= MOST_GROUPS_SENT)
+    here = F.col("_cell") == F.col("_cut")
+    at = rows.where(here).withColumn("_at", F.row_number().over(Window.partitionBy(*classes).orderBy("_mark", *key)))
+    own = [f"`{c}`" for c in df.columns if c != out]
+    first = at.select(*own, (F.col("_at") <= F.col("_rest")).cast("int").alias(out))
+    # a class without a cut is taken whole
+    rest = rows.where(F.coalesce(~here, F.lit(True)))
+    return first.union(rest.select(*own, F.coalesce(F.col("_cell") < F.col("_cut"), F.lit(True)).cast("int").alias(out)))
 
 
 def matchup_or_entity(df: DataFrame, pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -169,9 +169,17 @@ _KINDS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 PART = 2
 
 
+def _packed(spark, d):
+    return e.sequences(steps(spark, d), STEP_SEQUENCE, STEP_ORDER, ["value", "success"], "action", PART)
+
+
+def ragged_sequences(spark, d):
+    """The own steps of each sequence, by part."""
+    return _packed(spark, d).select("user_id", F.col("day").cast("string").alias("day"), "part", F.transform("steps", lambda v: v[0]).alias("values"), "length", "longest", "label").withColumn("values", F.to_json("values"))
+
+
 def padded_sequences(spark, d):
-    packed = e.sequences(steps(spark, d), STEP_SEQUENCE, STEP_ORDER, ["value", "success"], "action", PART)
-    return packed.select(
+    return e.padded(_packed(spark, d), STEP_SEQUENCE, 2, PART).select(
         "user_id", F.col("day").cast("string").alias("day"), "length", "longest", "label", "part", F.posexplode("steps").alias("pos", "v")
     ).select("user_id", "day", "length", "longest", "label", (F.col("part") * PART + F.col("pos")).alias("pos"), F.col("v")[0].alias("value"), F.col("v")[1].alias("success"))
 
@@ -304,6 +312,17 @@ QUERIES = {
           FROM ends e, longest, LATERAL (SELECT unnest(range(longest)) AS pos) LEFT JOIN steps s
             ON s.user_id = e.user_id AND s.day = e.day AND s.place = pos + 1""",
     ),
+    "ragged_sequences": (
+        ragged_sequences,
+        with_(
+            STEPS,
+            "ends AS (SELECT user_id, day, count(*) AS length, max_by(action, place) AS label FROM steps GROUP BY user_id, day)",
+        )
+        + f"""SELECT s.user_id, strftime(s.day, '%Y-%m-%d') AS day, CAST((place - 1) // {PART} AS INTEGER) AS part,
+            '[' || string_agg(CAST(CAST(value AS DOUBLE) AS VARCHAR), ',' ORDER BY place) || ']' AS values, any_value(length) AS length,
+            (SELECT max(length) FROM ends) AS longest, any_value(label) AS label
+          FROM steps s JOIN ends e ON s.user_id = e.user_id AND s.day = e.day GROUP BY s.user_id, s.day, (place - 1) // {PART}""",
+    ),
     "surrogate_id": (
         surrogate_id,
         "SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS seq_id FROM orders",

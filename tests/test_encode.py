@@ -75,10 +75,21 @@ def test_mutual_info(spark, both_ways):
 def test_sequences_pad_and_part(spark, both_ways):
     data = [("a", i, float(i), f"o{i}") for i in (3, 1, 2)] + [("b", 1, 9.0, "end")]
     df = spark.createDataFrame(data, "s string, i int, x double, y string")
-    got = rows(e.sequences(df, ["s"], ["i"], ["x"], "y"), "s")
-    assert got == [("a", 0, [[1.0], [2.0], [3.0]], 3, 3, "o3"), ("b", 0, [[9.0], [0.0], [0.0]], 1, 3, "end")]
-    parts = rows(e.sequences(df, ["s"], ["i"], ["x"], "y", part_size=2), "s", "part")
-    assert [p[2] for p in parts] == [[[1.0], [2.0]], [[3.0]], [[9.0], [0.0]], [[0.0]]]
+    whole = e.sequences(df, ["s"], ["i"], ["x"], "y")
+    assert rows(whole, "s") == [("a", 0, [[1.0], [2.0], [3.0]], 3, 3, "o3"), ("b", 0, [[9.0]], 1, 3, "end")]
+    assert [r[2] for r in rows(e.padded(whole, ["s"], 1), "s")] == [[[1.0], [2.0], [3.0]], [[9.0], [0.0], [0.0]]]
+    parts = e.sequences(df, ["s"], ["i"], ["x"], "y", part_size=2)
+    assert [p[2] for p in rows(parts, "s", "part")] == [[[1.0], [2.0]], [[3.0]], [[9.0]]]
+    padded = lambda **k: [p[:3] for p in rows(e.padded(parts, ["s"], 1, 2, **k), "s", "part")]
+    assert padded() == [("a", 0, [[1.0], [2.0]]), ("a", 1, [[3.0]]), ("b", 0, [[9.0], [0.0]]), ("b", 1, [[0.0]])]
+    assert padded(upto=1) == [("a", 0, [[1.0]]), ("b", 0, [[9.0]])]
+    assert padded(upto=5)[2] == ("a", 2, [[0.0]]) and len(padded(upto=5)) == 6
+
+
+def test_one_long_sequence_costs_its_own_rows(spark):
+    df = spark.range(5000).selectExpr("if(id < 4000, 0, id) as s", "id as i", "1.0 as x", "'o' as y")
+    packed = e.sequences(df, ["s"], ["i"], ["x"], "y", part_size=100)
+    assert packed.count() == 40 + 1000 and packed.agg(F.sum(F.size("steps"))).first()[0] == 5000
 
 
 def test_seq_id_and_noise(spark):

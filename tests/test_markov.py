@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +153,54 @@ def test_propagate_keeps_the_mass(spark):
     assert got == {(1, "s1"): 1.0, (2, "s2"): 1.0, (3, "s1"): 1.0}
     sums = mixes.groupBy("step").agg(F.sum("p").alias("p"))
     assert all(math.isclose(r[1], 1.0) for r in rows(sums))
+
+
+def ahead_by_hand(start, acts, model, n, smooth):
+    """Every id over every state: the dense form of what ``propagate`` keeps apart."""
+    space = sorted({s for s, *_ in model})
+    reached = {t for _, _, t, *_ in model} & set(space)
+    seen = {(s, a): {t: p for s2, a2, t, p, _ in model if (s2, a2) == (s, a)} for s, a, *_ in model}
+    other = {(s, a): o for s, a, _, _, o in model}
+    states, mixes = {}, {}
+    for id_ in {i for i, *_ in start}:
+        mass = {s: sum(m for i, s2, m in start if (i, s2) == (id_, s)) for s in space}
+        for step in range(1, n + 1):
+            states |= {(id_, step, s): m for s, m in mass.items() if m > 1e-12}
+            flow, left = dict.fromkeys(space, 0.0), dict.fromkeys(space, 0.0)
+            for s, a, q in acts:
+                if mass.get(s):
+                    mixes[id_, step, a] = mixes.get((id_, step, a), 0.0) + mass[s] * q
+                for t in reached if (s, a) in seen else ():
+                    p = seen[s, a].get(t, other[s, a] if smooth else 0.0)
+                    flow[t] += mass[s] * q * p
+                    left[s] += mass[s] * q * p
+            lost = {s: mass[s] - left[s] for s in space}
+            mass = {s: flow[s] + (sum(lost.values()) - lost[s]) / (len(space) - 1) for s in space}
+    return states, mixes
+
+
+@pytest.mark.parametrize("smooth", [False, True])
+def test_propagate_against_every_state(spark, smooth):
+    rnd = random.Random(6)
+    names = [f"s{i}" for i in range(9)]
+    used = [(rnd.choice(names), rnd.choice("abc"), rnd.choice([*names[:6], "Ball", "Hit"])) for _ in range(70)]
+    t = m.transitions(spark.createDataFrame(used, "state string, action string, next_state string"), **({"alpha": 0.5, "support": "all"} if smooth else {}))
+    model = [(r.state, r.action, r.next_state, r.p, r.p_other if smooth else 0.0) for r in t.collect()]
+    for s, a in {(s, a) for s, a, *_ in model} if smooth else ():
+        seen = {t_: p for s2, a2, t_, p, _ in model if (s2, a2) == (s, a)}
+        o = next(o for s2, a2, _, _, o in model if (s2, a2) == (s, a))
+        assert math.isclose(sum(seen.values()) + o * (len({x[2] for x in model}) - len(seen)), 1.0)
+    pairs = sorted({(s, a) for s, a, *_ in model})
+    acts = [(s, a, 1 / sum(s2 == s for s2, _ in pairs)) for s, a in pairs]
+    have = sorted({s for s, _ in pairs})
+    start = [("x", have[0], 0.25), ("x", have[1], 0.75), ("y", have[2], 1.0)]
+    frames = [spark.createDataFrame(r, c) for r, c in ((start, "id string, state string, mass double"), (acts, "state string, action string, p double"))]
+    states, mixes = m.propagate(*frames, t, 5, ids=["id"])
+    want = ahead_by_hand(start, acts, model, 5, smooth)
+    for frame, by_hand, of, value in ((states, want[0], "state", "mass"), (mixes, want[1], "action", "p")):
+        got = {(r.id, r.step, r[of]): r[value] for r in frame.collect() if r[value] > 1e-12}
+        assert got.keys() == by_hand.keys() and all(math.isclose(v, by_hand[k], abs_tol=1e-9) for k, v in got.items())
+    by_id = frames[1].withColumn("id", F.lit("x")).union(frames[1].withColumn("id", F.lit("y"))).select("id", "state", "action", "p")
+    same = m.propagate(frames[0], by_id, t, 5, ids=["id"], on=["id"])[1]
+    assert {(r.id, r.step, r.action): round(r.p, 9) for r in same.collect()} == {k: round(v, 9) for k, v in want[1].items()}
+    assert m.propagate(frames[0], frames[1], t, 1, ids=["id"])[0].count() == 3
