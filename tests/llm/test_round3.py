@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqlytics.llm import importance, quality, whitening
+from seqlytics.llm import importance, near_dup, quality, whitening
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 LETTERS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -189,3 +189,56 @@ def test_whitening_without_variance(spark):
     found = whitening.by_component(whitening.whitened(far)).collect()
     assert sorted((r.vec_id, r.component, abs(round(r.whitened, 9))) for r in found) == [(1, 1, 1.0), (2, 1, 1.0), (2, 1, 1.0)]
     assert {int(r.deviation) for r in found} == {(2 * 64 * 10**14) ** 2}
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+
+def changed(words, places, seed):
+    rng, out = random.Random(seed), list(words)
+    for i in rng.sample(range(len(out)), places):
+        out[i] = f"x{rng.randrange(10**9)}"
+    return out
+
+
+def test_near_dup_ids_with_several_texts(spark):
+    a, b, c = prose(1, 300), prose(2, 300), prose(3, 300)
+    near = lambda w, s: " ".join(changed(w, 3, s))
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a, 5)), (3, near(b, 6)), (9, " ".join(c)), (None, near(c, 7)), (None, near(prose(4, 300), 0)), (None, " ".join(prose(4, 300)))]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], DOC + ", rep int, same string")
+    # an id joins the classes of all its texts
+    assert {r.doc_id: r.class_id for r in near_dup.classes(docs).collect()} == {1: 1, 2: 1, 3: 1, 9: 9}
+    kept = near_dup.keep_one(docs)
+    out = [(r.doc_id, r.text) for r in kept.collect()]
+    # unlike texts of one id both stay; rows without an id are copies like any other
+    assert kept.columns == docs.columns and sorted(i for i, _ in out if i) == [1, 1, 9] and {t for i, t in out if i == 1} == {" ".join(a), " ".join(b)}
+    assert [i for i, _ in out].count(None) == 1
+    twice = near_dup.keep_one(docs.union(docs))
+    assert sorted((str(r.doc_id), r.text[:20]) for r in twice.collect()) == sorted((str(i), t[:20]) for i, t in out)
+
+
+def test_near_dup_family_of_long_texts(spark):
+    """A family of 4,000-word texts, most of them unlike each other: classes by brute force, and rows that do not grow with the texts."""
+    base = prose(8, 4000)
+    texts_ = [base] + [changed(base, k, s) for s, k in enumerate([40, 60, 80, 150, 200, 260, 300, 320, 350, 400] * 2)]
+    texts_ += [changed(texts_[7], 30, 99), changed(texts_[9], 25, 98)]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in texts_]
+    parent = list(range(len(sets)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts_)], DOC)
+    got = {r.doc_id: r.class_id for r in near_dup.classes(docs, bands=320, rows=1).collect()}
+    assert got == {i: find(i) for i in range(len(sets))} and len(set(got.values())) > 3
+    rare = near_dup._rarest(docs, 5, 0.8)
+    assert all(kind in ("bigint", "double") for _, kind in rare.dtypes)
