@@ -420,3 +420,51 @@ def _listed(name: str) -> Column:
     """The (lost, u) of one seed by age."""
     found = F.sort_array(F.collect_list(F.when(F.col("_seed") == name, F.struct("_age", "lost", "u"))))
     return F.transform(found, lambda x: F.struct(x["lost"], x["u"]))
+
+
+# --- plans ---------------------------------------------------------------------
+
+
+def predict_plan(
+    situations: DataFrame, actions: DataFrame, model: DataFrame, key: Sequence[str], state: str = "state", length: str = "n",
+    on: Sequence[str] = (), arsenal: str | None = None, seed: int | None = None,
+) -> DataFrame:
+    """(key, step, action, p): the action of each of the next ``length`` steps of every situation.
+
+    Each row of ``situations`` has its own start state, number of steps and, by name, the columns ``on`` that the action mix ``actions``
+    depends on and the array ``arsenal`` of the actions it may take. The action is the likeliest of these, or with ``seed`` a draw by their
+    likelihoods (without p); null where none of them can come. ``key`` has to identify a situation; no steps, no rows.
+
+    The look-ahead runs once for each different start and picks once for each different arsenal, however many situations ask for it.
+    """
+    key, on = list(key), list(on)
+    named = situations.select(
+        *key, *[F.col(c).alias(f"_on_{c}") for c in on], F.col(state).alias("_start"), F.col(length).cast("int").alias("_n"),
+        (F.array_sort(F.array_distinct(arsenal)) if arsenal else F.lit(None).cast("array<string>")).alias("_may"),
+    )
+    ids = [*[f"_on_{c}" for c in on], "_start"]
+    asked = checkpoint(named.where("_n > 0").groupBy(*ids, "_may").agg(F.max("_n").alias("_most")))
+    longest = asked.agg(F.max("_most")).first()[0]
+    if longest is None:
+        cols = [situations[c] for c in key]
+        return situations.limit(0).select(*cols, F.lit(1).alias("step"), F.lit("").alias("action"), *([] if seed is not None else [F.lit(0.0).alias("p")]))
+    start = asked.select(*ids).distinct().select(*ids, F.col("_start").alias("state"), F.lit(1.0).alias("mass"))
+    renamed = actions.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    mixes = propagate(start, renamed, model, longest, ids=ids, on=[f"_on_{c}" for c in on])[1]
+    allowed = F.col("_may").isNull() | F.array_contains("_may", F.col("action"))
+    may = asked.join(mixes, ids).where((F.col("step") <= F.col("_most")) & allowed & (F.col("p") > 0))
+    # sums in another order differ by rounding, which must not decide between equals
+    may = may.withColumn("p", F.round("p", 9))
+    if seed is not None:
+        may = may.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy(*ids, "_may", "step")))
+    picked = pick_action(may, [*ids, "_may", "step"], seed)
+    each = named.where("_n > 0").withColumn("step", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    # structs with equal or with null fields are equal
+    same = lambda df: df.withColumn("_asked", F.struct(*ids, "_may", "step"))
+    found = same(each).join(same(picked).drop(*ids, "_may", "step"), "_asked", "left")
+    return found.select(*key, "step", "action", *(["p"] if seed is None else []))
+
+
+def predict_sequence(situations: DataFrame, n: int, actions: DataFrame, model: DataFrame, key: Sequence[str], **options) -> DataFrame:
+    """(key, step, action, p): the next ``n`` steps of every situation, as ``predict_plan`` makes them."""
+    return predict_plan(situations.withColumn("_steps", F.lit(n)), actions, model, key, length="_steps", **options)

@@ -199,6 +199,13 @@ def propagate_steps(spark, d):
     return _ahead(spark, d)[0].withColumn("mass", F.round("mass", 6))
 
 
+def propagate_smoothed(spark, d):
+    """The same over a model in which every next state is possible; the masses of each start and step sum to 1."""
+    t = m.transitions(step_usage(spark, d), weight="n", alpha=0.5, support="all")
+    start = t.select("state").distinct().select(F.col("state").alias("start"), "state", F.lit(1.0).alias("mass"))
+    return m.propagate(start, frequencies(t), t, STEPS_AHEAD, ids=["start"])[0].withColumn("mass", F.round("mass", 6))
+
+
 def propagate_actions(spark, d):
     return _ahead(spark, d)[1].withColumn("p", F.round("p", 6))
 
@@ -331,6 +338,14 @@ QUERIES = {
             f"SELECT start, {i} AS step, state, round(mass, 6) AS mass FROM m{i} WHERE mass > 0" for i in range(1, STEPS_AHEAD + 1)
         ),
     ),
+    "propagate_smoothed": (
+        propagate_smoothed,
+        with_(
+            STEPS, smoothed_model(0.5), _FREQ, "acts AS (SELECT * FROM freq)",
+            spread(STEPS_AHEAD, "start", "SELECT state AS start, state, CAST(1 AS DOUBLE) AS mass FROM space"),
+        )
+        + " UNION ALL ".join(f"SELECT start, {i} AS step, state, round(mass, 6) AS mass FROM m{i} WHERE mass > 0" for i in range(1, STEPS_AHEAD + 1)),
+    ),
     "propagate_actions": (
         propagate_actions,
         with_(*_AHEAD)

@@ -211,6 +211,30 @@ def predict_plan(spark, d):
 
 
 AHEAD = 4
+MOST_STEPS = 5
+
+
+def _situations(used):
+    """A situation for each team and state: its start, its number of steps and what its team throws."""
+    throws = used.groupBy("team").agg(F.collect_set("action").alias("may"))
+    asked = used.groupBy("team", "state").agg((1 + F.sum("n") % MOST_STEPS).alias("n"))
+    return asked.join(throws, "team").withColumn("may", F.filter("may", lambda a: F.length(a) > 2))
+
+
+def plan_situations(spark, d):
+    """The likely next actions of situations with starts, lengths and arsenals of their own."""
+    used = game_usage(spark, d)
+    t = game_model(used)
+    return m.predict_plan(_situations(used), frequencies(t), t, ["team", "state"], arsenal="may").withColumn("p", F.round("p", 6))
+
+
+def sequence_situations(spark, d):
+    """The next steps of every team in every state, by the team's own mix of actions."""
+    used = game_usage(spark, d)
+    keys = ["team", "state"]
+    counts = used.groupBy(*keys, "action").agg(F.sum("n").alias("n"))
+    mix = counts.join(counts.groupBy(*keys).agg(F.sum("n").alias("all")), keys).select(*keys, "action", (F.col("n") / F.col("all")).alias("p"))
+    return m.predict_sequence(_situations(used), AHEAD, mix, game_model(used), keys, on=["team"]).withColumn("p", F.round("p", 6))
 
 
 def predict_sequence(spark, d):
@@ -236,7 +260,46 @@ def _picked(n, ids):
       SELECT *, row_number() OVER (PARTITION BY {ids}, step ORDER BY round(p, 9) DESC, action) AS rn FROM ({union})) WHERE rn = 1)"""
 
 
+_SITUATIONS = f"""situ AS (SELECT team, state, 1 + count(*) % {MOST_STEPS} AS n FROM gstates GROUP BY team, state),
+ar AS (SELECT DISTINCT team, pitch_type AS action FROM gstates WHERE length(pitch_type) > 2)"""
+
+
+def _ahead_of(n, ids):
+    return " UNION ALL ".join(f"SELECT {ids}, {i} AS step, action, p FROM a{i}" for i in range(1, n + 1))
+
+
 QUERIES = {
+    "plan_situations": (
+        plan_situations,
+        with_(
+            PITCHES,
+            GAMES,
+            model("gstates", "pitch_type"),
+            _FREQ,
+            "acts AS (SELECT * FROM freq)",
+            spread(MOST_STEPS, "start", "SELECT state AS start, state, CAST(1 AS DOUBLE) AS mass FROM space"),
+            _SITUATIONS,
+            f"""pick AS (SELECT team, start, step, action, round(p, 6) AS p FROM (SELECT *, row_number() OVER (
+              PARTITION BY team, start, step ORDER BY round(p, 9) DESC, action) AS rn FROM ({_ahead_of(MOST_STEPS, "start")}) JOIN ar USING (action) WHERE round(p, 9) > 0) WHERE rn = 1)""",
+        )
+        + f"""SELECT s.team, s.state, CAST(i AS INTEGER) AS step, action, p FROM situ s JOIN range(1, {MOST_STEPS + 1}) r(i) ON i <= n
+          LEFT JOIN pick ON pick.team = s.team AND start = s.state AND step = i""",
+    ),
+    "sequence_situations": (
+        sequence_situations,
+        with_(
+            PITCHES,
+            GAMES,
+            model("gstates", "pitch_type"),
+            """acts AS (SELECT team || '/' || s.state AS start, c.state, action, p FROM (SELECT DISTINCT team, state FROM gstates) s JOIN (
+              SELECT team, state, pitch_type AS action, count(*) / sum(count(*)) OVER (PARTITION BY team, state) AS p FROM gstates GROUP BY team, state, pitch_type) c USING (team))""",
+            spread(AHEAD, "start", "SELECT DISTINCT team || '/' || state AS start, state, CAST(1 AS DOUBLE) AS mass FROM gstates", "start"),
+            _SITUATIONS,
+            f"""pick AS (SELECT start, step, action, round(p, 6) AS p FROM (SELECT *, row_number() OVER (
+              PARTITION BY start, step ORDER BY round(p, 9) DESC, action) AS rn FROM ({_ahead_of(AHEAD, "start")}) WHERE round(p, 9) > 0) WHERE rn = 1)""",
+        )
+        + "SELECT team, state, CAST(step AS INTEGER) AS step, action, p FROM situ JOIN pick ON start = team || '/' || state",
+    ),
     "matchup_table": (
         matchup_table,
         with_(PITCHES, _FIRST)

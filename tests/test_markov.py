@@ -204,3 +204,22 @@ def test_propagate_against_every_state(spark, smooth):
     same = m.propagate(frames[0], by_id, t, 5, ids=["id"], on=["id"])[1]
     assert {(r.id, r.step, r.action): round(r.p, 9) for r in same.collect()} == {k: round(v, 9) for k, v in want[1].items()}
     assert m.propagate(frames[0], frames[1], t, 1, ids=["id"])[0].count() == 3
+
+
+def test_plans_of_situations(spark):
+    """Own starts, lengths and arsenals; equal situations share their look-ahead; no steps and no possible action."""
+    t = m.transitions(spark.createDataFrame(STEPS_OF_A_MODEL, "state string, action string, next_state string"))
+    acts = t.groupBy("state", "action").agg(F.sum("n").alias("n"))
+    acts = acts.join(acts.groupBy("state").agg(F.sum("n").alias("all")), "state").select("state", "action", (F.col("n") / F.col("all")).alias("p"))
+    data = [(1, "s1", 2, ["a", "b"]), (2, "s1", 2, ["a", "b"]), (3, "s1", 3, ["b"]), (4, "s2", 1, None), (5, "s2", 0, ["a"]), (6, "s1", 1, ["z"]), (7, "s1", None, ["a"])]
+    asked = spark.createDataFrame(data, "id int, state string, n int, may array<string>")
+    got = {(r.id, r.step): (r.action, r.p) for r in m.predict_plan(asked, acts, t, ["id"], arsenal="may").collect()}
+    assert got[1, 1] == got[2, 1] == ("a", 0.75) and got[3, 1] == ("b", 0.25) and got[6, 1] == (None, None)
+    assert {k for k in got if k[0] in (1, 2, 3, 4, 5, 7)} == {(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 2), (3, 3), (4, 1)}
+    drawn = m.predict_plan(asked, acts, t, ["id"], arsenal="may", seed=3)
+    assert drawn.columns == ["id", "step", "action"] and {r.action for r in drawn.where("id = 3").collect()} == {"b"}
+    assert m.predict_plan(asked.where("n = 0"), acts, t, ["id"]).count() == 0
+    assert m.predict_sequence(asked, 2, acts, t, ["id"]).count() == 14
+
+
+STEPS_OF_A_MODEL = [("s1", "a", "s2")] * 3 + [("s1", "b", "s1"), ("s2", "a", "s1"), ("s2", "b", "s2"), ("s2", "b", "Out")]
