@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 from seqlytics.operators.spread import split_join
 from seqlytics.session import checkpoint
 
+MOST_PAIRS_IN_ONE_TASK = 200_000
+
 
 def broadcast_if(df: DataFrame, most: int) -> DataFrame:
     """``df``, hinted for broadcast only if it was counted to hold at most ``most`` rows; any size is joined rightly."""
@@ -35,14 +37,20 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     pairs = checkpoint(_star(ends))
     state = _state(pairs)
+    # the list never grows, so one that was counted to be short may stay in one task, where its rounds need no shuffle
+    short = state[0] <= MOST_PAIRS_IN_ONE_TASK
+    together = (lambda df: df.coalesce(1)) if short else (lambda df: df)
+    meet = (lambda x, y: x.join(y, ["u"])) if short else (lambda x, y: split_join(x, y, ["u"]))
+    pairs = together(pairs)
     while state[0]:
-        both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a"))
+        both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct("b", "a"))).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = split_join(both.where("v > u"), least, ["u"]).select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        nearest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = split_join(large, nearest, ["a"])
-        pairs = checkpoint(_star(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(nearest.select("a", "m"))))
+        large = meet(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("b"))
+        large = large.where("u <> b").distinct()
+        nearest = large.groupBy("u").agg(F.min("b").alias("m"))
+        small = meet(large, nearest)
+        stars = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(nearest.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        pairs = together(checkpoint(_star(together(stars))))
         before, state = state, _state(pairs)
         if state == before:
             break

@@ -15,7 +15,7 @@ U = np.uint64
 ODD = U(0x9E3779B97F4A7C15)
 STEP = U(0xD6E8FEB86659FD93)
 #: Bytes or code points worked on at once; a longer text is a piece of its own.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _sep = np.zeros(256, bool)
 _sep[[9, 10, 11, 12, 13, 32]] = True

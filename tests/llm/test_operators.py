@@ -54,7 +54,9 @@ def classes_by_hand(edges):
     return {x: find(parent, x) for x in parent}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("together", [components.MOST_PAIRS_IN_ONE_TASK, 0])
+def test_components(spark, monkeypatch, together):
+    monkeypatch.setattr(components, "MOST_PAIRS_IN_ONE_TASK", together)
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)]
     edges = [e for e in edges if e[0] != e[1]]
