@@ -43,7 +43,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     meet = (lambda x, y: x.join(y, ["u"])) if short else (lambda x, y: split_join(x, y, ["u"]))
     pairs = together(pairs)
     while state[0]:
-        both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct("b", "a"))).alias("e")).select("e.*")
+        both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = meet(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("b"))
         large = large.where("u <> b").distinct()
