@@ -453,11 +453,14 @@ def predict_plan(
     mixes = propagate(start, renamed, model, longest, ids=ids, on=[f"_on_{c}" for c in on])[1]
     allowed = F.col("_may").isNull() | F.array_contains("_may", F.col("action"))
     may = asked.join(mixes, ids).where((F.col("step") <= F.col("_most")) & allowed & (F.col("p") > 0))
+    picks = [*ids, "_may", "step"]
     # sums in another order differ by rounding, which must not decide between equals
-    may = may.withColumn("p", F.round("p", 9))
-    if seed is not None:
-        may = may.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy(*ids, "_may", "step")))
-    picked = pick_action(may, [*ids, "_may", "step"], seed)
+    if seed is None:
+        best = F.min(F.struct((-F.round("p", 9)).alias("less"), "action", "p")).alias("best")
+        picked = may.groupBy(*picks).agg(best).select(*picks, "best.action", "best.p")
+    else:
+        rounded = may.withColumn("p", F.round("p", 9))
+        picked = pick_action(rounded.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy(*picks))), picks, seed)
     each = named.where("_n > 0").withColumn("step", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     # structs with equal or with null fields are equal
     same = lambda df: df.withColumn("_asked", F.struct(*ids, "_may", "step"))
