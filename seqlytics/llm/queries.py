@@ -37,12 +37,24 @@ with recursive p as (
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) as tail
   from p
 ), tags as (
-  select case when is_url then host || tail end as src, host, unnest([
-    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) as t
+  select case when is_url then host || tail end as src, host, path, unnest(
+    list_transform(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), lambda x: regexp_extract(x, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1))
+    || list_transform(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda x: regexp_extract(x, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1))) as raw
   from q
+), refs as (
+  select src, host, path, regexp_replace(regexp_replace(raw, '(?i)&(?:amp|#0*38|#x0*26);', '&', 'g'), '(?i)&(?:sol|#0*47|#x0*2f);', '/', 'g') as t from tags where raw <> ''
+), halves as (
+  select *, regexp_extract(t, '^[^?#]*') as part, regexp_extract(t, '^[^?#]*(\?[^#]*)', 1) as query,
+    coalesce(nullif(regexp_extract(path, '^(.*/)', 1), ''), '/') as dir from refs
+), whole as (
+  select *, case when prefix(part, '/') then part else dir || part end as p from halves
+), dotless as (
+  select *, list_reduce(list_prepend('', string_split(substr(p, 2), '/')),
+    lambda acc, x: case x when '..' then regexp_replace(acc, '/[^/]*$', '') when '.' then acc else acc || '/' || x end)
+    || case when regexp_matches(p, '/\.\.?$') then '/' else '' end as clean from whole
 ), ends as (
-  select src, case when t like '//%' then 'http:' || t when t like '/%' then 'http://' || host || t else t end as t from tags where t <> ''
+  select src, case when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') then t when prefix(t, '//') then 'http:' || t
+    when not regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:|^#') then 'http://' || host || case when part = '' then path else clean end || query end as t from dotless
 ), edges as (
   select src, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(r, '^[^/?#]*([^#]*)', 1) as dst
   from (select src, substr(t, strpos(t, '://') + 3) as r from ends where strpos(t, '://') > 0) where src is not null

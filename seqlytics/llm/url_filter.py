@@ -19,6 +19,8 @@ CANONICAL = r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
 TO = r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)"""
+#: Character references as they occur in urls; other ones stay as they are.
+REFERENCES = ((r"(?i)&(?:amp|#0*38|#x0*26);", "&"), (r"(?i)&(?:sol|#0*47|#x0*2f);", "/"))
 MOST_RULES_SENT = 100_000
 
 
@@ -43,29 +45,57 @@ def node_of(url: Column) -> Column:
     return F.when(F.locate("://", url) > 0, F.concat(host_of(url), tail))
 
 
-def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst) nodes: each page to the target of its first canonical link and of its first refresh redirect.
+def without_dots(path: Column) -> Column:
+    """``path``, which begins with ``/``, with its ``.`` and ``..`` segments resolved; ``..`` above the root is dropped."""
+    step = lambda acc, x: F.when(x == "..", F.regexp_replace(acc, "/[^/]*$", "")).when(x == ".", acc).otherwise(F.concat(acc, F.lit("/"), x))
+    folded = F.aggregate(F.split(F.substr(path, F.lit(2)), "/"), F.lit(""), step)
+    return F.when(F.regexp_like(path, F.lit(r"/\.\.?$")), F.concat(folded, F.lit("/"))).otherwise(folded)
+
 
-    A target may be absolute, ``//host/path`` or ``/path``; other relative ones are left out. Null html: no edge.
+def target_node(url: Column, to: Column) -> Column:
+    """The node that a reference ``to`` in the page at ``url`` names; null where it names none.
+
+    Absolute, ``//host/path``, ``/path``, ``?query`` and relative ones (``next.html``, ``../a``), the latter from the
+    directory of the page. References of other schemes (``mailto:``), and fragments alone, name no other resource.
     """
-    tags = F.array(
-        F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1),
-        F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TO, 1),
+    parts = F.regexp_extract(to, r"^([^?#]*)", 1)
+    query = F.regexp_extract(to, r"^[^?#]*(\?[^#]*)", 1)
+    directory = F.coalesce(F.nullif(F.regexp_extract(path_of(url), "^(.*/)", 1), F.lit("")), F.lit("/"))
+    inside = (
+        F.when(parts.startswith("/"), without_dots(parts))
+        .when(parts == "", path_of(url))
+        .otherwise(without_dots(F.concat(directory, parts)))
     )
-    found = pages.select(F.col(url).alias("_url"), F.explode(tags).alias("_to")).where("_to <> ''")
-    to = (
-        F.when(F.col("_to").startswith("//"), F.concat(F.lit("http:"), F.col("_to")))
-        .when(F.col("_to").startswith("/"), F.concat(F.lit("http://"), host_of(F.col("_url")), F.col("_to")))
-        .otherwise(F.col("_to"))
+    here = F.when(F.locate("://", url) > 0, F.concat(host_of(url), inside, query))
+    return (
+        F.when(F.regexp_like(to, F.lit("^[A-Za-z][A-Za-z0-9+.-]*://")), node_of(to))
+        .when(to.startswith("//"), node_of(F.concat(F.lit("http:"), to)))
+        .when(~F.regexp_like(to, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:|^#")), here)
     )
-    edges = found.select(node_of(F.col("_url")).alias("src"), node_of(to).alias("dst"))
+
+
+def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(src, dst) nodes: each page to the targets of its canonical links and refresh redirects, see ``target_node``.
+
+    References to ``&`` and ``/`` in targets are decoded. Null html: no edge. A ``base`` tag changes nothing.
+    """
+    canonical = F.transform(F.regexp_extract_all(F.col(html), F.lit(CANONICAL), 0), lambda t: F.regexp_extract(t, HREF, 1))
+    refresh = F.transform(F.regexp_extract_all(F.col(html), F.lit(REFRESH), 0), lambda t: F.regexp_extract(t, TO, 1))
+    found = pages.select(F.col(url).alias("_url"), F.explode(F.concat(canonical, refresh)).alias("_to")).where("_to <> ''")
+    to = F.col("_to")
+    for pattern, sign in REFERENCES:
+        to = F.regexp_replace(to, pattern, sign)
+    named = found.select("_url", to.alias("_to"))
+    edges = named.select(node_of(F.col("_url")).alias("src"), target_node(F.col("_url"), F.col("_to")).alias("dst"))
     return edges.where("src is not null and dst is not null and src <> dst")
 
 
 def rule_table(df: DataFrame, rules: Iterable[tuple[str, str, str]]) -> DataFrame:
-    """(rule_host, rule_path, action) of (action, host, path) tuples."""
-    rows = [(host, path, action) for action, host, path in rules]
-    return df.sparkSession.createDataFrame(rows, "rule_host string, rule_path string, action string")
+    """(rule_host, rule_path, action) of (action, host, path) tuples, as literals of the plan; a long list is better read from a table."""
+    rows = [F.struct(F.lit(host).alias("rule_host"), F.lit(path).alias("rule_path"), F.lit(action).alias("action")) for action, host, path in rules]
+    if not rows:
+        return df.sparkSession.createDataFrame([], "rule_host string, rule_path string, action string")
+    return df.sparkSession.range(1).select(F.inline(F.array(*rows)))
 
 
 def matched(keyed: DataFrame, key: str, rules: DataFrame) -> DataFrame:
@@ -91,7 +121,8 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     stay; columns of ``pages`` named like a result column are replaced. Empty table: no rows.
     """
     made = ("host", "path", "rule", "verdict")
-    own = pages.select(*[f"`{c}`" for c in pages.columns if c not in made])
+    # the caller's columns travel in one, so none of them can clash with a helper's name
+    own = F.struct(*[f"`{c}`" for c in pages.columns if c not in made]).alias("_own")
     links = link_edges(pages, url, html)
     if redirects is not None:
         links = links.union(redirects.select(node_of(F.col("src")), node_of(F.col("dst"))))
@@ -104,15 +135,13 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     aliases = split_join(tied, verdicts, ["root"]).select("_node", "_ok")
 
     # urls meet rules by host and path, once for each that occurs
-    key = F.concat_ws("/", "host", "path")
-    rows = own.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url)), "_node": node_of(F.col(url))})
-    rows = rows.withColumn("_key", key)
+    rows = pages.select(own, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), node_of(F.col(url)).alias("_node"))
+    rows = rows.withColumn("_key", F.concat_ws("/", "host", "path"))
     rules_of = matched(rows.select("_key", "host", "path"), "_key", rules)
-    rows = split_join(rows.drop(html) if html not in own.columns else rows, rules_of, ["_key"], "left")
+    rows = split_join(rows, rules_of, ["_key"], "left")
     if aliases.limit(1).count():
         rows = split_join(rows, aliases, ["_node"], "left")
     else:
         rows = rows.withColumn("_ok", F.lit(None).cast("boolean"))
     verdict = F.coalesce("action", F.when(~F.col("_ok"), "block"), F.lit("allow"))
-    keep = [f"`{c}`" for c in own.columns]
-    return rows.select(*keep, "host", "path", "rule", verdict.alias("verdict"))
+    return rows.select("_own.*", "host", "path", "rule", verdict.alias("verdict"))
