@@ -18,6 +18,8 @@ SIMILARITY = 0.8
 #: 8 blocks of 8 bits: at most 23 differing bits leave a block with at most two, and all such values are looked up. At a
 #: similarity of 0.8 fingerprints differ in 7 to 12 bits on the average, by the items' sizes, with a deviation of about 3.
 BLOCKS, BLOCK_BITS, RADIUS = 8, 8, 23
+#: Items of one or two words are phrases that any text may hold.
+FEWEST_WORDS = 3
 MOST_SHINGLES_SENT = 1_000_000
 MOST_BLOCKS_SENT = 1_000_000
 MOST_ROWS_SENT = 1_000_000
@@ -47,9 +49,13 @@ def _block(bits: Column, number: Column) -> Column:
     return F.call_function("shiftright", bits, number * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
 
 
+def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
+    return benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), words_of(text).alias("words"))
+
+
 def item_table(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(item_id, shingles, n, bits) of the items that have a shingle. Null ids, null and short texts are left out."""
-    items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), words_of(text).alias("words"))
+    items = _items(benchmark, item_id, text)
     items = items.select("item_id", shingle_hashes("words").alias("shingles"))
     items = items.where(F.size("shingles") > 0).distinct()
     return items.select("item_id", "shingles", F.size("shingles").alias("n"), simhash("shingles").alias("bits"))
@@ -70,13 +76,45 @@ def suspects(docs: DataFrame, items: DataFrame, vocabulary: DataFrame, doc_id: s
     return rows.join(broadcast_if(marked, MOST_ROWS_SENT), "row", "left_semi")
 
 
+def short_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame | None:
+    """What ``hits`` gives for items of one to four words: such an item is one shingle of its own size, so a hit holds all its words in a row.
+
+    Texts are read once more for the sizes that occur, at most four; None where there is no such item.
+    """
+    items = _items(benchmark, "item_id", "text").where(F.size("words").between(1, SHINGLE - 1))
+    items = checkpoint(items.select("item_id", F.size("words").alias("k"), F.array_join("words", " ").alias("run")).distinct())
+    sizes = sorted(r.k for r in items.select("k").distinct().collect())
+    if not sizes:
+        return None
+    rows = docs.select(F.xxhash64(doc_id, text).alias("row"), F.col(doc_id).alias("doc_id"), words_of(text).alias("words"))
+    last = F.size("words") - F.lit(1)
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    at = rows.select("row", "doc_id", "words", F.explode(starts).alias("start"))
+    runs = F.array(*[F.struct(F.lit(k).alias("k"), F.array_join(F.slice("words", F.col("start") + 1, k), " ").alias("run")) for k in sizes])
+    # the first place of each run in each text, before texts meet the items
+    probe = at.select("row", "doc_id", "start", F.size("words").alias("total"), F.explode(runs).alias("r"))
+    probe = probe.where(F.col("start") + F.col("r.k") <= F.col("total")).select("row", "doc_id", "start", "r.k", "r.run")
+    wanted = items.select("k", "run").distinct()
+    found = probe.join(broadcast_if(wanted, MOST_SHINGLES_SENT), ["k", "run"], "left_semi")
+    first = found.groupBy("row", "doc_id", "k", "run").agg(F.min("start").alias("start"))
+    met = split_join(first, items, ["k", "run"])
+    return met.select("row", "doc_id", "item_id", F.col("start").alias("start_word"), F.col("k").alias("n_words"), F.lit(1.0).alias("similarity"))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(row, doc_id, item_id, start_word, n_words, similarity): the best window of each row and item that reaches ``similarity``.
 
     ``row`` is a hash of id and text, so rows without an id or with the same one are told apart. The similarity is the sum of the
-    lesser counts of all shingles over that of the larger. Texts and items of fewer than five words, empty or null, match
-    nothing. Repeated rows give one result. Empty tables: no rows.
+    lesser counts of all shingles over that of the larger. An item of fewer than five words is one shingle of its own size. Empty
+    and null texts and items match nothing. Repeated rows give one result. Empty tables: no rows.
     """
+    short = short_hits(docs, benchmark, doc_id, text)
+    long = long_hits(docs, benchmark, doc_id, text, similarity)
+    return long if short is None else long.union(short)
+
+
+def long_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame:
+    """What ``hits`` gives for items of five words or more."""
     items = checkpoint(item_table(benchmark))
     vocabulary = checkpoint(items.select(F.explode("shingles").alias("h"), "n").groupBy("h").agg(F.collect_set("n").alias("sizes")))
     keyed = suspects(docs, items, vocabulary, doc_id, text, similarity).select("row", "doc_id", shingle_hashes("words").alias("s"))
@@ -113,8 +151,16 @@ def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     return out.select("row", "doc_id", "item_id", (-F.col("b.back")).alias("start_word"), (F.col("b.size") + (SHINGLE - 1)).alias("n_words"), "b.similarity")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` without a hit, same columns."""
-    bad = checkpoint(hits(docs, benchmark, similarity=similarity).select(F.col("row").alias("_row")).distinct())
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    return rows.join(broadcast_if(bad, MOST_ROWS_SENT), "_row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, fewest_words: int = FEWEST_WORDS) -> DataFrame:
+    """The rows of ``docs`` without a hit, same columns.
+
+    An item of fewer than ``fewest_words`` words is too common a phrase to tell a leak: it rejects only texts that are nothing else.
+    """
+    found = hits(docs, benchmark, similarity=similarity)
+    every = F.struct(*[f"`{c}`" for c in docs.columns]).alias("_own")
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("_row"), every, F.least(F.size(words_of()), F.lit(fewest_words)).alias("_size"))
+    # (row, the size up to which it goes)
+    most = F.max(F.when(F.col("n_words") < fewest_words, F.col("n_words")).otherwise(fewest_words)).alias("_most")
+    bad = checkpoint(found.groupBy(F.col("row").alias("_bad")).agg(most))
+    gone = (F.col("_row") == F.col("_bad")) & (F.col("_size") <= F.col("_most"))
+    return rows.join(broadcast_if(bad, MOST_ROWS_SENT), gone, "left_anti").select("_own.*")
