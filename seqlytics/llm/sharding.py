@@ -52,9 +52,10 @@ def shard(docs: DataFrame, limit: int, doc_id: str = "doc_id", text: str = "text
     named like a result column are replaced. Empty table: no rows.
     """
     made = ("bytes", "shard", "shard_depth", "shard_bytes")
-    own = [c for c in docs.columns if c not in made]
+    # the caller's columns travel in one, so none of them can clash with a helper's name
+    own = F.struct(*[f"`{c}`" for c in docs.columns if c not in made]).alias("_own")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    rows = docs.select(*[f"`{c}`" for c in own]).withColumns({"bytes": size, "_hash": hash_bits(doc_id, text)})
+    rows = docs.select(own, size.alias("bytes"), hash_bits(doc_id, text).alias("_hash"))
     whole = rows.agg(F.sum("bytes")).first()[0] or 0
     bits = min(BITS, max(0, math.ceil(math.log2(max(1, whole / limit)))) + CELL_BITS)
     cell = F.shiftright("_hash", BITS - bits)
@@ -66,10 +67,11 @@ def shard(docs: DataFrame, limit: int, doc_id: str = "doc_id", text: str = "text
         F.lit("b"),
         F.when(F.col("_depth") > 0, F.lpad(F.conv(_prefix(F.col("_hash"), BITS, F.col("_depth")).cast("string"), 10, 2), F.col("_depth"), F.lit("0"))).otherwise(""),
     )
-    out = [*[f"`{c}`" for c in own], "bytes"]
+    out = ["_own", "bytes"]
+    flat = lambda df: df.select("_own.*", *made)
     done = here.select(*out, name().alias("shard"), F.col("_depth").alias("shard_depth"), F.col("_total").alias("shard_bytes"))
     if not shallow.where("_depth is null").limit(1).count():
-        return done
+        return flat(done)
 
     # buckets that are too large even as a single cell go on bit by bit
     below = rows.where("_depth is null").drop("_depth", "_total", "_cell")
@@ -79,10 +81,10 @@ def shard(docs: DataFrame, limit: int, doc_id: str = "doc_id", text: str = "text
     done = done.union(split.select(*out, name().alias("shard"), "_depth", "_total"))
     stuck = sums.join(leaves, "_cell", "left_anti").select(F.col("_cell").alias("_hash"), F.lit(BITS).alias("_depth"))
     if not stuck.limit(1).count():
-        return done
+        return flat(done)
     alike = below.join(stuck, "_hash").groupBy(*out, "_hash", "_depth").agg(F.count(F.lit(1)).alias("_n"))
     each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("bytes", F.lit(1))))
     alike = alike.withColumn("_each", each).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     piece = F.floor((F.col("_copy") - 1) / F.col("_each"))
     held = F.least(F.col("_each"), F.col("_n") - piece * F.col("_each")) * F.col("bytes")
-    return done.union(alike.select(*out, F.concat(name(), F.lit("-"), piece.cast("string")), "_depth", held))
+    return flat(done.union(alike.select(*out, F.concat(name(), F.lit("-"), piece.cast("string")), "_depth", held)))
