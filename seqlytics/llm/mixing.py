@@ -95,12 +95,26 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: tuple[int, int
 def mixed_rows(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: tuple[int, int] = SHARE) -> DataFrame:
     """``docs`` as the mix reads them: a row for each epoch that takes more than half of it or all, whole texts.
 
-    The row at a source's cut is taken whole if the cut lies in its later half. Rows without words are never taken.
+    The row at a source's cut is taken whole if the cut lies in its later half. Rows without words are never taken. Rows
+    alike in id, source and size share their copies: each has as many as all can have, and the rest go to the first in the order of a hash.
     """
     plan = mix(docs, weights, share)
-    times = plan.where("size > 0").groupBy("doc_id", "source", "size").agg(F.sum(F.round(F.col("taken") / F.col("size"))).alias("_n"), F.count(F.lit(1)).alias("_rows"))
-    times = times.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), (F.col("_n") / F.col("_rows")).alias("_times"))
-    keyed = docs.withColumn("_size", n_words())
-    same = F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
-    rows = keyed.join(times.where("_times > 0"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil("_times").cast("int"))))
-    return rows.select(*[f"`{c}`" for c in docs.columns])
+    alike = ["_i", "_s", "_z"]
+    times = plan.where("size > 0").groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"))
+    times = times.agg(F.sum(F.round(F.col("taken") / F.col("size"))).cast("long").alias("_n"), F.count(F.lit(1)).alias("_rows")).where("_n > 0")
+    times = checkpoint(times.select(*[F.col(c).alias(f"{c}2") for c in alike], "_n", "_rows"))
+    # the caller's columns travel in one, so none of them can clash with a helper's name
+    every = F.struct(*[f"`{c}`" for c in docs.columns]).alias("_own")
+    keyed = docs.select(every, F.col("doc_id").alias("_i"), F.col("source").alias("_s"), n_words().alias("_z"))
+    same = F.col("_i").eqNullSafe(F.col("_i2")) & F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_z") == F.col("_z2"))
+    copies = lambda df, n: df.withColumn("_copy", F.explode(F.sequence(F.lit(1), n.cast("int")))).select("_own.*")
+    each = F.floor(F.col("_n") / F.col("_rows"))
+    even = times.where("_n % _rows = 0")
+    out = copies(keyed.join(even, same), each)
+    uneven = times.where("_n % _rows > 0")
+    if not uneven.limit(1).count():
+        return out
+    rows = keyed.join(uneven, same).withColumns({"_mark": F.md5(F.to_json("_own")), "_n": F.col("_n") - each * F.col("_rows"), "_each": each})
+    placed = over(rows, alike, ["_mark"], {"_at": position()})
+    n = F.col("_each") + (F.col("_at") <= F.col("_n")).cast("int")
+    return out.union(copies(placed.withColumn("_times", n).where("_times > 0"), F.col("_times")))
