@@ -157,4 +157,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
 
 def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs`` below the threshold, same columns."""
-    return score(docs, model, name="_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    name = "_toxicity"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, model, name=name).where(F.col(name) < threshold).drop(name)
