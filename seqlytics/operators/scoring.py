@@ -178,25 +178,55 @@ def score_candidates_model(
     classes: Sequence[str],
     success: str,
     probability: str = "probability",
+    features: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The same with a fitted pipeline: rows are scored once per candidate of their A.
+    """The same with a fitted pipeline, which scores every distinct base row once per candidate of its A.
 
-    Candidates reach a row as a short array, so the fan-out needs no shuffle
-    beyond the join on A.
+    ``features`` are what the model reads besides a, b and action; all other columns of ``df`` where none are named.
+    Rows alike in these are counted before they meet the candidates. A base row keeps its own B, in the fallback too: a pair
+    that never met takes the average over all rows of A, worked out once per A and not once per pair, so what is
+    scored does not grow with the asked pairs. A pair whose A has no row or no candidate has no result.
     """
-    base = matchup_or_entity(df, pairs, a, b)
+    read = [c for c in (df.columns if features is None else features) if c not in (a, b, action)]
+    asked = pairs.select(a, b).distinct()
+    met = df.select(a, b).distinct()
+    unmet = asked.join(met, [a, b], "left_anti")
+    # rows of an A of which a never-met pair is asked, and of the other pairs that are
+    wanted = met.join(asked.withColumn("_own", F.lit(True)), [a, b], "left").join(
+        unmet.select(a).distinct().withColumn("_all", F.lit(True)), a, "left"
+    )
+    counted = df.groupBy(a, b, *read).agg(F.count(F.lit(1)).alias("_n"))
+    base = split_join(counted, wanted.where("_own or _all"), [a, b])
     candidates = (
         df.where(F.col(action).isNotNull()).groupBy(a).agg(F.array_sort(F.collect_set(action)).alias("_actions"))
     )
-    asked = split_join(base, candidates, [a]).withColumn(action, F.explode("_actions")).drop("_actions", b)
-    p = vector_to_array(F.col(probability))
-    scored = model.transform(asked.withColumnRenamed("for_b", b)).withColumn("_p", p)
-    table = scored.groupBy(a, b, action).agg(
-        *[percent(F.avg(F.col("_p")[i])).alias(c) for i, c in enumerate(classes)]
-    )
+    rows = split_join(base, candidates, [a]).withColumn(action, F.explode("_actions")).drop("_actions")
+    scored = model.transform(rows).withColumn("_p", vector_to_array(F.col(probability)))
+    sums = [F.sum(F.col("_n") * F.col("_p")[i]).alias(f"_s{i}") for i in range(len(classes))]
+    met_sums = checkpoint(scored.groupBy(a, b, action).agg(F.sum("_n").alias("_n"), F.first("_own").alias("_own"), *sums))
+    names = ["_n", *[f"_s{i}" for i in range(len(classes))]]
+    entity = met_sums.join(unmet.select(a).distinct(), a, "left_semi").groupBy(a, action).agg(*[F.sum(c).alias(c) for c in names])
+    own = met_sums.where("_own").select(a, b, action, *names)
+    rest = split_join(unmet, entity, [a]).select(a, b, action, *names)
+    every = own.unionByName(rest)
+    table = every.select(a, b, action, *[percent(F.col(f"_s{i}") / F.col("_n")).alias(c) for i, c in enumerate(classes)])
     return attach_best(table, [a, b], success, action, "best")
 
 
+def class_probabilities(
+    model, situations: DataFrame, by: Sequence[str], classes: Sequence[str], name: str = "action", probability: str = "probability"
+) -> DataFrame:
+    """(by, name, p): the fitted classifier's probability of each class, scored once per distinct situation.
+
+    ``by`` are all the columns that the model reads. The table has the form that ``recommend_distribution`` takes as
+    ``probs``, so a fitted model can stand where observed frequencies do.
+    """
+    scored = model.transform(situations.select(*by).distinct())
+    listed = scored.select(*by, F.posexplode(vector_to_array(F.col(probability))).alias("_i", "p"))
+    named = F.element_at(F.array(*[F.lit(c) for c in classes]), F.col("_i") + 1)
+    return listed.select(*by, named.alias(name), "p")
+
+
 def score_action(
     df: DataFrame,
     wanted: DataFrame,

@@ -1,4 +1,4 @@
-"""Queries that fit Spark ML models; learners differ, so there is no SQL text."""
+"""Queries that fit Spark ML models; learners differ, so there is SQL text only for what does not depend on the fit."""
 
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from seqlytics.operators import metrics as q
 from seqlytics.operators import models as m
-from seqlytics.operators.scoring import score_candidates_model, split
-from seqlytics.plans.chains import step_states
+from seqlytics.operators import markov
+from seqlytics.operators.scoring import class_probabilities, score_candidates_model, split
+from seqlytics.operators.sequence import arsenal
+from seqlytics.plans.chains import ROUNDS, STEPS, step_states, step_usage
 from seqlytics.plans.scored import CLASSES, PAIR, prepared
+from seqlytics.plans.sql import with_
 from seqlytics.sources.tables import pitches, table
 
 LENGTH = ["rel_speed", "spin_rate", "exit_speed", "ship_date", "pitch_type", "pitch_call"]
@@ -47,10 +50,24 @@ def outcome_classifier(spark, d):
 
 
 def score_candidates_fitted(spark, d):
-    """What-if scores of every pair and candidate from a fitted model."""
+    """What-if scores of every pair and candidate from a fitted model, and of a batter that no pitcher has met."""
     rows = pitches(spark, d, EVENT)
     model = m.fit_outcome_classifier(rows, NUMBERS, ["pitch_type", "play_result"], "pitch_call", trees=4, depth=4)
-    return score_candidates_model(rows, rows.select(*PAIR), model, *PAIR, "pitch_type", m.classes_of(model), CLASSES[-1])
+    asked = rows.select(*PAIR).distinct().union(rows.select("pitcher_id", F.lit(-1).cast(rows.schema["batter_id"].dataType)).distinct())
+    read = [*NUMBERS, "play_result"]
+    return score_candidates_model(rows, asked, model, *PAIR, "pitch_type", m.classes_of(model), CLASSES[-1], features=read)
+
+
+def recommend_fitted(spark, d):
+    """The actions recommended in each state by a classifier fitted on the states, and the sum of their shares."""
+    used = step_usage(spark, d)
+    model = m.fit_outcome_classifier(step_states(spark, d).select("state", "action"), [], ["state"], "action", trees=8, depth=5)
+    probs = class_probabilities(model, used, ["state"], m.classes_of(model))
+    solved = markov.Model(markov.transitions(used, weight="n"))
+    best = markov.greedy_policy(solved, markov.value_iteration(solved, theta=0.0, max_iter=ROUNDS))
+    dist = markov.recommend_distribution(used, probs, arsenal(used, "user_id", "action"), best, "user_id")
+    whole = dist.groupBy("user_id", "state").agg(F.round(F.sum("p"), 6).alias("total"))
+    return dist.select("user_id", "state", "action").join(whole, ["user_id", "state"])
 
 
 def action_classifier_cv(spark, d):
@@ -112,6 +129,11 @@ QUERIES = {
     "predict_length": (predict_length, None),
     "outcome_classifier": (outcome_classifier, None),
     "score_candidates_fitted": (score_candidates_fitted, None),
+    "recommend_fitted": (
+        recommend_fitted,
+        with_(STEPS, "ars AS (SELECT DISTINCT user_id, action FROM states WHERE action <> 'Unknown')")
+        + """SELECT DISTINCT user_id, state, ars.action, CAST(1 AS DOUBLE) AS total FROM states JOIN ars USING (user_id)""",
+    ),
     "action_classifier_cv": (action_classifier_cv, None),
     "compare_models": (compare_models, None),
     "compare_regressors": (compare_regressors, None),

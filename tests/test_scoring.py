@@ -183,3 +183,42 @@ def test_fits_beat_the_majority(spark, tmp_path):
 def test_best_ignores_missing_scores(spark):
     df = spark.createDataFrame([(1, "a", None), (1, "b", 0.5), (2, "c", None)], "step int, cand string, score double")
     assert [x[3] for x in rows(s.attach_best(df, ["step"], "score", "cand"), "step", "cand")] == ["b", "b", None]
+
+
+def test_model_scores_once_per_distinct_row(spark):
+    """Against every candidate put on every base row; a never-met pair takes the rows of its A as they are."""
+    df = spark.range(400).selectExpr(
+        "concat('a', id % 3) as a", "cast(id % 5 as double) as b", "if(id % 4 = 0 and id % 3 = 1, null, concat('t', id % 2 + id % 3)) as act",
+        "cast(id % 7 as double) as x", "if((id % 7) + (id % 2) * 3 + (id % 5) > 6, 'Strike', 'Ball') as y",
+    )
+    train = df.where("act is not null")
+    model = models.fit_outcome_classifier(train, ["x", "b"], ["act"], "y", trees=3, depth=4)
+    classes = models.classes_of(model)
+    asked = [("a0", 1.0), ("a0", 99.0), ("a1", 77.0), ("a1", 78.0), ("a2", 0.0), ("a9", 0.0), ("a0", 99.0)]
+    pairs = spark.createDataFrame(asked, "a string, b double")
+    got = s.score_candidates_model(df, pairs, model, "a", "b", "act", classes, "Strike", features=["x"]).collect()
+
+    base = [tuple(r) for r in df.select("a", "b", "act", "x").collect()]
+    actions = sorted({r[2] for r in base if r[2]})
+    grid = spark.createDataFrame([(b, x, t) for b, x in {(r[1], r[3]) for r in base} for t in actions], "b double, x double, act string")
+    p = {(r.b, r.x, r.act): r.probability.toArray() for r in model.transform(grid).select("b", "x", "act", "probability").collect()}
+    want = {}
+    for a, b in set(asked):
+        mine = [r for r in base if r[0] == a and r[1] == b] or [r for r in base if r[0] == a]
+        for t in sorted({r[2] for r in base if r[0] == a and r[2]}):
+            want[a, b, t] = sum(p[r[1], r[3], t] for r in mine) / len(mine) * 100
+    assert {(r.a, r.b, r.act) for r in got} == set(want)
+    for r in got:
+        assert [r[c] for c in classes] == pytest.approx(list(want[r.a, r.b, r.act]), abs=0.011)
+        at = classes.index("Strike")
+        most = max(round(want[k][at], 2) for k in want if k[:2] == (r.a, r.b))
+        assert want[r.a, r.b, r.best][at] >= most - 0.011
+
+
+def test_probabilities_of_a_classifier(spark):
+    df = spark.range(300).selectExpr("concat('s', id % 4) as state", "if(id % 4 < 2 and id % 10 > 0, 'u', 'v') as action")
+    model = models.fit_outcome_classifier(df, [], ["state"], "action", trees=3, depth=3)
+    table = s.class_probabilities(model, df, ["state"], models.classes_of(model))
+    got = {(r.state, r.action): r.p for r in table.collect()}
+    assert len(got) == table.count() == 8 and all(got[f"s{i}", "u"] + got[f"s{i}", "v"] == pytest.approx(1) for i in range(4))
+    assert got["s0", "u"] > 0.5 > got["s3", "u"]
