@@ -15,6 +15,7 @@ from seqlytics.functions.expressions import argbest, uniform
 from seqlytics.operators.clean import numeric_columns, string_columns
 from seqlytics.operators.ranks import quantiles
 from seqlytics.operators.spread import over, position, split_join
+from seqlytics.session import stored
 
 MISSING = "Missing"
 UNKNOWN = "Unknown"
@@ -251,9 +252,10 @@ def mutual_info(df: DataFrame, cols: Sequence[str], y: str, bins: int = 10, k: i
     """(feature, mi): mutual information of binned columns with a class, highest first.
 
     Columns are cut at their exact quantiles. Rows are counted per (feature, bin, class)
-    before anything is shuffled.
+    before anything is shuffled; what they need is written once, since the quantiles read it several times.
     """
-    rows = long_form(df.withColumn("_y", F.col(y).cast("string")), cols, ids=["_y"]).where(F.col("value").isNotNull() & F.col("_y").isNotNull())
+    known = df.select(F.col(y).cast("string").alias("_y"), *[F.col(c).cast("double").alias(c) for c in cols]).where("_y is not null")
+    rows = long_form(stored(known), cols, ids=["_y"]).where(F.col("value").isNotNull())
     cuts = {f"q{i}": i / bins for i in range(1, bins)}
     # one row per column, so the cut points may be broadcast
     cut = quantiles(rows, ["name"], "value", cuts).select("name", F.array(*cuts).alias("_cuts"))

@@ -196,11 +196,11 @@ def score_candidates_model(
         unmet.select(a).distinct().withColumn("_all", F.lit(True)), a, "left"
     )
     counted = df.groupBy(a, b, *read).agg(F.count(F.lit(1)).alias("_n"))
-    base = split_join(counted, wanted.where("_own or _all"), [a, b])
     candidates = (
         df.where(F.col(action).isNotNull()).groupBy(a).agg(F.array_sort(F.collect_set(action)).alias("_actions"))
     )
-    rows = split_join(base, candidates, [a]).withColumn(action, F.explode("_actions")).drop("_actions")
+    # pairs meet their candidates first, so that the base rows are shuffled once for both
+    rows = split_join(counted, wanted.where("_own or _all").join(candidates, a), [a, b]).withColumn(action, F.explode("_actions")).drop("_actions")
     scored = model.transform(rows).withColumn("_p", vector_to_array(F.col(probability)))
     sums = [F.sum(F.col("_n") * F.col("_p")[i]).alias(f"_s{i}") for i in range(len(classes))]
     met_sums = checkpoint(scored.groupBy(a, b, action).agg(F.sum("_n").alias("_n"), F.first("_own").alias("_own"), *sums))

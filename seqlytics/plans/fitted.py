@@ -9,9 +9,10 @@ from seqlytics.operators import models as m
 from seqlytics.operators import markov
 from seqlytics.operators.scoring import class_probabilities, score_candidates_model, split
 from seqlytics.operators.sequence import arsenal
-from seqlytics.plans.chains import ROUNDS, STEPS, step_states, step_usage
+from seqlytics.plans.chains import ROUNDS, STEPS, step_states, usage
 from seqlytics.plans.scored import CLASSES, PAIR, prepared
 from seqlytics.plans.sql import with_
+from seqlytics.session import stored
 from seqlytics.sources.tables import pitches, table
 
 LENGTH = ["rel_speed", "spin_rate", "exit_speed", "ship_date", "pitch_type", "pitch_call"]
@@ -21,7 +22,7 @@ EVENT = [*NUMBERS, *PAIR, "pitch_type", "play_result", "pitch_call"]
 
 def _fitted_length(spark, d):
     table_ = prepared(spark, d).persist()
-    parts = split(table_, PAIR)
+    parts = stored(split(table_, PAIR))
     model = m.fit_length_regressor(parts.where("is_test = 0"), LENGTH, "pitch_of_pa", trees=10, depth=4)
     return model, table_, parts.where("is_test = 1")
 
@@ -43,7 +44,7 @@ def predict_length(spark, d):
 
 def outcome_classifier(spark, d):
     """Fit on the rows of four fifths of the games; metrics on the rest."""
-    rows = pitches(spark, d, ["game_id", *EVENT])
+    rows = stored(pitches(spark, d, ["game_id", *EVENT]))  # a fit reads its rows several times
     test = F.col("game_id") % 5 == 0
     model = m.fit_outcome_classifier(rows.where(~test), NUMBERS, ["pitch_type", "play_result"], "pitch_call", trees=8, depth=5)
     return q.classification_metrics(model.transform(rows.where(test)), "pitch_call", "predicted")
@@ -51,7 +52,7 @@ def outcome_classifier(spark, d):
 
 def score_candidates_fitted(spark, d):
     """What-if scores of every pair and candidate from a fitted model, and of a batter that no pitcher has met."""
-    rows = pitches(spark, d, EVENT)
+    rows = stored(pitches(spark, d, EVENT))
     model = m.fit_outcome_classifier(rows, NUMBERS, ["pitch_type", "play_result"], "pitch_call", trees=4, depth=4)
     asked = rows.select(*PAIR).distinct().union(rows.select("pitcher_id", F.lit(-1).cast(rows.schema["batter_id"].dataType)).distinct())
     read = [*NUMBERS, "play_result"]
@@ -60,8 +61,9 @@ def score_candidates_fitted(spark, d):
 
 def recommend_fitted(spark, d):
     """The actions recommended in each state by a classifier fitted on the states, and the sum of their shares."""
-    used = step_usage(spark, d)
-    model = m.fit_outcome_classifier(step_states(spark, d).select("state", "action"), [], ["state"], "action", trees=8, depth=5)
+    states = stored(step_states(spark, d).select("user_id", "state", "action", "next_state"))
+    used = usage(states, "user_id", "action")
+    model = m.fit_outcome_classifier(states.select("state", "action"), [], ["state"], "action", trees=8, depth=5)
     probs = class_probabilities(model, used, ["state"], m.classes_of(model))
     solved = markov.Model(markov.transitions(used, weight="n"))
     best = markov.greedy_policy(solved, markov.value_iteration(solved, theta=0.0, max_iter=ROUNDS))

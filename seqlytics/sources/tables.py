@@ -22,17 +22,19 @@ _LINE += ("spin_rate", "plate_height", "speed_drop", "exit_speed", "outs_on_play
 
 def pitches(spark: SparkSession, folder: str, cols: Sequence[str]) -> DataFrame:
     """Line items as events. Tables that give none of ``cols`` are not joined:
-    every line has exactly one order, customer, nation and part.
+    every line has exactly one order, customer, nation and part. Orders meet their
+    customers first, so lines are shuffled once for all three.
 
     Amounts are whole numbers (cents, percent), so sums are exact in any order.
     """
     li = table(spark, folder, "lineitem")
     need = set(cols)
     if need & {"play_result", "batter_id", "team"}:
-        li = li.join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    if need & {"batter_id", "team"}:
-        li = li.join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        li = li.join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        orders = table(spark, folder, "orders")
+        if need & {"batter_id", "team"}:
+            homes = table(spark, folder, "customer").join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+            orders = orders.join(homes, F.col("o_custkey") == F.col("c_custkey"))
+        li = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     if "pitch_type" in need:
         li = li.join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
     price = F.round(F.col("l_extendedprice") * 100)
