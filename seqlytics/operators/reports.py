@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seqlytics.functions.expressions import share
 from seqlytics.operators.ranks import MOST_GROUPS_SENT, quantiles, with_groups
 from seqlytics.operators.spread import over, position, split_join
-from seqlytics.session import checkpoint
+from seqlytics.session import checkpoint, dealt
 
 # Result names.
 RESULT_FLAGS = ("Strikeout", "Walk")
@@ -59,10 +59,11 @@ def rollup_sequences(
     those of the whole sequence.
     """
     keys = list(keys)
+    rows = df.count() if rows is None else rows
     placed = over(df, keys, order, {"_at": position()}, rows).withColumn(
         "part", F.floor((F.col("_at") - 1) / part_size).cast("int")
     )
-    parts = placed.groupBy(*keys, "part").agg(
+    parts = dealt(placed, [*keys, "part"], rows).groupBy(*keys, "part").agg(
         F.sort_array(F.collect_list(F.struct("_at", *lists))).alias("_items")
     )
     lists_ = [F.col("_items").getField(c).alias(c) for c in lists]

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from seqlytics.operators import reports as r
 from seqlytics.plans.sql import KEYS, ORDER, PITCHES, with_
+from seqlytics.session import dealt, stored
 from seqlytics.sources.tables import PITCH_ORDER, pitches, table
 
 RESULTS = ("Out", "Strikeout")
@@ -43,9 +44,9 @@ _GAMES = "gm AS (SELECT *, CASE WHEN outs_on_play = 1 THEN play_result END AS fl
 PART = 2
 
 
-def _rolled(spark, d):
+def _rolled(games):
     return r.rollup_sequences(
-        _games(spark, d), ["game_id"], PITCH_ORDER, ["pitch_type", "flag"], ["outs_on_play", "runs_scored"], PART
+        games, ["game_id"], PITCH_ORDER, ["pitch_type", "flag"], ["outs_on_play", "runs_scored"], PART
     )
 
 
@@ -53,15 +54,16 @@ def rollup_sequences(spark, d):
     def text(c):
         return F.array_join(c, ",", "-").alias(c)
 
-    return _rolled(spark, d).select("game_id", "part", text("pitch_type"), text("flag"), "outs_on_play", "runs_scored")
+    return _rolled(stored(_games(spark, d))).select("game_id", "part", text("pitch_type"), text("flag"), "outs_on_play", "runs_scored")
 
 
 def last_in_sequence(spark, d):
-    rolled = _rolled(spark, d)
+    games = stored(_games(spark, d))
+    rolled = _rolled(games)
     # the last element of the list, and the same without a list
     ends = {name: F.max_by(r.last_of(c), "part").alias(name) for name, c in (("listed_type", "pitch_type"), ("listed_flag", "flag"))}
     listed = rolled.groupBy("game_id").agg(*ends.values())
-    direct = r.last_in_sequence(_games(spark, d), ["game_id"], PITCH_ORDER, {"last_type": "pitch_type", "last_flag": "flag"})
+    direct = r.last_in_sequence(games, ["game_id"], PITCH_ORDER, {"last_type": "pitch_type", "last_flag": "flag"})
     return listed.join(direct, "game_id")
 
 
@@ -71,8 +73,9 @@ def batter_result(spark, d):
 
 
 def explode_parallel(spark, d):
-    out = r.explode_parallel(_rolled(spark, d).drop("outs_on_play", "runs_scored", "part"), ["pitch_type", "flag"])
-    return out.groupBy("game_id", "pitch_type", "flag").agg(F.count(F.lit(1)).alias("n"))
+    games = stored(_games(spark, d))
+    out = r.explode_parallel(_rolled(games).drop("outs_on_play", "runs_scored", "part"), ["pitch_type", "flag"])
+    return dealt(out, ["game_id", "pitch_type", "flag"], games.count()).groupBy("game_id", "pitch_type", "flag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def explode_turns(spark, d):
