@@ -7,7 +7,7 @@ from seqlytics.operators import markov as m
 from seqlytics.operators import sequence as s
 from seqlytics.operators.spread import over, position
 from seqlytics.plans.sql import GAMES, PITCHES, STEPS, model, policy, rounds, spread, with_, smoothed_model
-from seqlytics.session import checkpoint
+from seqlytics.session import checkpoint, stored
 from seqlytics.sources.tables import PITCH_ORDER, STEP_ORDER, STEP_SEQUENCE, pitches, steps, table
 
 SEQ, ORDER = list(STEP_SEQUENCE), list(STEP_ORDER)
@@ -32,7 +32,8 @@ def step_states(spark, d):
 def game_states(spark, d):
     cols = [*PITCH_ORDER, "pitch_type", "pitch_call", "outs_on_play", "team"]
     rows = s.success_label(pitches(spark, d, cols), "pitch_call", "outs_on_play", out="success")
-    return _states(rows, ["game_id"], PITCH_ORDER, "pitch_type")
+    # read for their number, for both ordered passes and their cuts
+    return _states(stored(rows), ["game_id"], PITCH_ORDER, "pitch_type")
 
 
 def usage(states, entity, action):
