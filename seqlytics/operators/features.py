@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seqlytics.functions.expressions import matches, share, smoothed
 from seqlytics.operators.spread import counted, over, previous, ranked, split_join, value_at
 from seqlytics.roles import Roles
+from seqlytics.session import stored
 
 
 # --- aggregate expressions -------------------------------------------------
@@ -108,7 +109,8 @@ def below_median_share(df: DataFrame, keys: Sequence[str], col: str, out: str =
     the lower one. Rows with a null count in the denominator only. Groups are many
     and mostly small here, so one ordered pass over their distinct values costs less than rounds of counting.
     """
-    counts = counted(_known(df, keys), keys, col)
+    # read for their number, their cuts, their order and the sizes
+    counts = stored(counted(_known(df, keys), keys, col))
     low, high = F.floor((F.col("size") - 1) / 2), F.floor(F.col("size") / 2)
     middle = ranked(counts, keys, col).groupBy(*keys).agg(
         value_at(col, low).alias("_lo"),

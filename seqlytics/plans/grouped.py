@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from seqlytics.operators import features as f
 from seqlytics.plans.sql import KEYS, ORDER, PITCHES, with_
-from seqlytics.session import checkpoint
+from seqlytics.session import stored
 from seqlytics.sources.tables import PITCH_ORDER, PITCHES as R, pitches
 
 K = list(R.group)
@@ -35,7 +35,7 @@ def below_median_share(spark, d):
 
 
 def mean_diff(spark, d):
-    rows = pitches(spark, d, [*dict.fromkeys([*K, *PITCH_ORDER])])
+    rows = stored(pitches(spark, d, [*dict.fromkeys([*K, *PITCH_ORDER])]))  # read for their number, their cuts and their order
     return _rounded(f.mean_diff(rows, K, "rel_speed", PITCH_ORDER), mean_diff=4)
 
 
@@ -67,7 +67,7 @@ def features_joined_inner(spark, d):
 
 def features_joined_left(spark, d):
     rows = _with_nulls(spark, d, [*PITCH_ORDER, "pitch_type", "balls", "plate_height", "spin_rate", "play_result"])
-    rows = checkpoint(rows)  # the joined events are read once per grain
+    rows = stored(rows)  # the joined events are read once per grain
     out = f.more_features(rows, R, speed="spin_rate")
     made = [c for c in out.columns if c not in rows.columns]
     return out.select(*K, "game_id", "part_id", "rel_speed", *[F.round(c, 5).alias(c) for c in made])
@@ -87,7 +87,7 @@ STAGE_COLUMNS = [
 
 
 def feature_stage(spark, d):
-    rows = checkpoint(pitches(spark, d, STAGE_COLUMNS))  # read once per grain
+    rows = stored(pitches(spark, d, STAGE_COLUMNS))  # read once per grain
     out = f.feature_stage(rows, R)
     made = [c for c in out.columns if c not in STAGE_COLUMNS]
     return out.select(*K, "game_id", "part_id", "rel_speed", *[F.round(c, 4).alias(c) for c in made])
