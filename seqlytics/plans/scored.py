@@ -8,6 +8,7 @@ from seqlytics.operators import scoring as s
 from seqlytics.operators.sequence import arsenal
 from seqlytics.plans.chains import frequencies, game_model, game_usage, recommended_sql
 from seqlytics.plans.sql import GAMES, ORDER, PITCHES, STEPS, model, policy, rounds, spread, with_
+from seqlytics.session import stored
 from seqlytics.sources.tables import PITCH_ORDER, STEP_ORDER, STEP_SEQUENCE, pitches, steps, table
 
 PAIR = ["pitcher_id", "batter_id"]
@@ -132,7 +133,7 @@ def matchup_or_entity(spark, d):
 
 
 def _what_if(spark, d):
-    rows = pitches(spark, d, [*PAIR, "pitch_type", "balls", "pitch_call"])
+    rows = stored(pitches(spark, d, [*PAIR, "pitch_type", "balls", "pitch_call"]))  # read for scores, weights and candidates
     return rows, s.frequency_scores(rows, "pitch_type", ["balls"], "pitch_call", CLASSES)
 
 
