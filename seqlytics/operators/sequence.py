@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from seqlytics.functions.expressions import balls_strikes, is_terminal, state_of
 from seqlytics.operators.spread import following, over, position, previous
@@ -71,15 +71,22 @@ def state_columns(
     action: str,
     success: str,
     rows: int | None = None,
+    placed: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """prev_action, next_situation, state, next_state and is_first in one pass."""
-    moved = over(
-        df,
-        seq,
-        order,
-        {"prev_action": previous(action), "next_situation": following(situation), "_at": position()},
-        rows,
-    )
+    """prev_action, next_situation, state, next_state and is_first in one pass.
+
+    ``placed`` makes the situation of a row's place in its sequence, from 1, where ``df`` does not hold it: the pass that gives
+    the place gives the situation too, and that of the next row, so the rows are ordered once.
+    """
+    if placed is None:
+        specs = {"prev_action": previous(action), "next_situation": following(situation), "_at": position()}
+        moved = over(df, seq, order, specs, rows)
+    else:
+        specs = {"prev_action": previous(action), "_more": following("_more"), "_at": position()}
+        made = {situation: placed(F.col("_at")), "next_situation": F.when(F.col("_more").isNotNull(), placed(F.col("_at") + 1))}
+        moved = over(df.withColumn("_more", F.lit(1)), seq, order, specs, rows).withColumns(made)
+        own = [f"`{c}`" for c in df.columns if c not in (situation, "prev_action", "next_situation", "_at")]
+        moved = moved.select(*own, situation, "prev_action", "next_situation", "_at")
     ended = moved.withColumns(
         {
             "is_first": (F.col("_at") == 1).cast("int"),

@@ -14,15 +14,18 @@ SEQ, ORDER = list(STEP_SEQUENCE), list(STEP_ORDER)
 ROUNDS = 12
 
 
-def situated(df, seq, order, n_rows=None):
-    """Situation: the place in the sequence from 0, at most 3."""
-    placed = over(df, seq, order, {"place": position()}, n_rows)
-    return placed.withColumn("situation", F.least(F.col("place") - 1, F.lit(3)).cast("string")).drop("place")
+def situation(place):
+    """The place in the sequence from 0, at most 3."""
+    return F.least(place - 1, F.lit(3)).cast("string")
+
+
+def situated(df, seq, order):
+    placed = over(df, seq, order, {"place": position()})
+    return placed.withColumn("situation", situation(F.col("place"))).drop("place")
 
 
 def _states(rows, seq, order, action):
-    n_rows = rows.count()
-    return s.state_columns(situated(rows, seq, order, n_rows), seq, order, "situation", action, "success", n_rows)
+    return s.state_columns(rows, seq, order, "situation", action, "success", placed=situation)
 
 
 def step_states(spark, d):
@@ -32,7 +35,7 @@ def step_states(spark, d):
 def game_states(spark, d):
     cols = [*PITCH_ORDER, "pitch_type", "pitch_call", "outs_on_play", "team"]
     rows = s.success_label(pitches(spark, d, cols), "pitch_call", "outs_on_play", out="success")
-    # read for their number, for both ordered passes and their cuts
+    # read for their number, for the ordered pass and for its cuts
     return _states(stored(rows), ["game_id"], PITCH_ORDER, "pitch_type")
 
 

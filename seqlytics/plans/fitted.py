@@ -3,6 +3,7 @@
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from seqlytics.operators import metrics as q
 from seqlytics.operators import models as m
@@ -68,8 +69,9 @@ def recommend_fitted(spark, d):
     solved = markov.Model(markov.transitions(used, weight="n"))
     best = markov.greedy_policy(solved, markov.value_iteration(solved, theta=0.0, max_iter=ROUNDS))
     dist = markov.recommend_distribution(used, probs, arsenal(used, "user_id", "action"), best, "user_id")
-    whole = dist.groupBy("user_id", "state").agg(F.round(F.sum("p"), 6).alias("total"))
-    return dist.select("user_id", "state", "action").join(whole, ["user_id", "state"])
+    # summed where the distribution lies already: joined to its own sums it would be worked out twice
+    whole = F.round(F.sum("p").over(Window.partitionBy("user_id", "state")), 6)
+    return dist.where("user_id is not null and state is not null").select("user_id", "state", "action", whole.alias("total"))
 
 
 def action_classifier_cv(spark, d):

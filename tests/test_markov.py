@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from seqlytics.operators import markov as m
 from seqlytics.operators import sequence as s
+from seqlytics.plans import chains
 
 STEPS = [
     ("q", 1, "a", "0-0", 0), ("q", 2, "b", "0-1", 1), ("q", 3, "a", "1-1", 0), ("q", 4, "c", "1-2", 1), ("r", 1, "b", "0-0", 0),
@@ -33,6 +34,24 @@ def test_states_by_hand(spark, both_ways):
     assert [r[-1] for r in last] == ["0-1", "1-1", "1-2", "terminal_out", "terminal_hit"]
 
 
+def test_place_and_states_in_one_pass(spark, both_ways):
+    """A situation made of the place comes with the states, as if it had been added before."""
+    data = [(k, i, f"a{i * 7 % 3}" if i % 4 else None, i % 2) for k, n in (("q", 70), ("r", 1), (None, 30), ("s", 5)) for i in range(n)]
+    df = spark.createDataFrame(data, "seq string, i int, act string, success int")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    got = chains._states(df.mapInArrow(counted, df.schema), ["seq"], ["i"], "act")
+    want = s.state_columns(chains.situated(df, ["seq"], ["i"]), ["seq"], ["i"], "situation", "act", "success")
+    assert got.columns == want.columns and sorted(map(str, rows(got))) == sorted(map(str, rows(want)))
+    # for their number and for the pass; pieces have cuts, which are drawn and ordered, and help
+    assert seen.value == len(data) * (2 if both_ways > len(data) else 5)
+
+
 def test_labels(spark):
     df = spark.createDataFrame([(2, 1, "STRIKE", 0), (0, 0, "Ball", 1), (3, 2, None, None)], "b int, s int, call string, outs int")
     out = s.success_label(s.count_label(df, "b", "s"), "call", "outs")

@@ -50,6 +50,19 @@ def test_rows_are_worked_out_once(spark, monkeypatch, module, name):
     assert seen.value == N
 
 
+def test_recommended_distribution_is_worked_out_once(spark, monkeypatch):
+    data = [(i // 6 if i % 40 else None, datetime.date(2020, 1, 1), i, i, ["view", "click", "purchase"][i * i % 3], int(i % 3 == 0), float(i)) for i in range(N)]
+    events = spark.createDataFrame(data, "user_id long, day date, ts long, event_id long, action string, success int, value double")
+    monkeypatch.setattr(chains, "steps", lambda spark, folder: events)
+    got = fitted.recommend_fitted(spark, "")
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert len([x for x in text.splitlines() if "Window [max(_own" in x]) == 1
+    found = rows(got)
+    assert len(found) == len(set(found)) and found and all(r[0] is not None and r[3] == 1 for r in found)
+    own = {u: {r[4] for r in data if r[0] == u} for u in {r[0] for r in data}}
+    assert {(u, a) for u, _, a, _ in found} == {(u, a) for u in own if u is not None for a in own[u]}
+
+
 def test_stored_rows_come_back(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, float("nan"), None)], "`a b` long, `x;y` double, `A B` string")
     back = session.stored(df)
