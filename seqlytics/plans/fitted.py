@@ -24,7 +24,7 @@ EVENT = [*NUMBERS, *PAIR, "pitch_type", "play_result", "pitch_call"]
 def _fitted_length(spark, d):
     table_ = prepared(spark, d).persist()
     parts = stored(split(table_, PAIR))
-    model = m.fit_length_regressor(parts.where("is_test = 0"), LENGTH, "pitch_of_pa", trees=10, depth=4)
+    model = m.fit_length_regressor(parts.where("is_test = 0"), LENGTH, "pitch_of_pa")
     return model, table_, parts.where("is_test = 1")
 
 

@@ -8,6 +8,7 @@ from seqlytics.operators import metrics as q
 from seqlytics.operators import models
 from seqlytics.operators import reports as r
 from seqlytics.operators import scoring as s
+from seqlytics.plans import fitted
 
 
 def test_metrics_zero_division(spark):
@@ -222,3 +223,14 @@ def test_probabilities_of_a_classifier(spark):
     got = {(r.state, r.action): r.p for r in table.collect()}
     assert len(got) == table.count() == 8 and all(got[f"s{i}", "u"] + got[f"s{i}", "v"] == pytest.approx(1) for i in range(4))
     assert got["s0", "u"] > 0.5 > got["s3", "u"]
+
+
+def test_lengths_are_fitted_with_all_trees(spark, monkeypatch):
+    """The queries on lengths fit the regressor's own number of trees at its own depth, not a few shallow ones."""
+    kinds = [f"cast(id * {k} % {7 + k} as double) as {c}" for k, c in enumerate(fitted.LENGTH, 1)]
+    pairs = spark.range(60).selectExpr("id as pitcher_id", "id % 3 as batter_id", *kinds, "cast(if(id % 2 = 0, 3, 7) as int) as pitch_of_pa")
+    monkeypatch.setattr(fitted, "prepared", lambda spark, folder: pairs)
+    model, known, test = fitted._fitted_length(spark, "")
+    assert model.stages[-1].getNumTrees == 100 and model.stages[-1].getMaxDepth() == 8 and model.stages[-1].getStepSize() == 0.1
+    assert known.count() == 60 and 0 < test.count() < 60
+    known.unpersist()
