@@ -7,7 +7,7 @@ first such shingle loses nothing it shares. Fingerprints are of the shingles tha
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqlytics.llm.components import broadcast_if
 from seqlytics.operators.spread import split_join
@@ -87,13 +87,14 @@ def short_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     if not sizes:
         return None
     rows = docs.select(F.xxhash64(doc_id, text).alias("row"), F.col(doc_id).alias("doc_id"), words_of(text).alias("words"))
+    # the first place of each run in each text, before texts meet the items; no text is repeated for its places
     last = F.size("words") - F.lit(1)
     starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    at = rows.select("row", "doc_id", "words", F.explode(starts).alias("start"))
-    runs = F.array(*[F.struct(F.lit(k).alias("k"), F.array_join(F.slice("words", F.col("start") + 1, k), " ").alias("run")) for k in sizes])
-    # the first place of each run in each text, before texts meet the items
-    probe = at.select("row", "doc_id", "start", F.size("words").alias("total"), F.explode(runs).alias("r"))
-    probe = probe.where(F.col("start") + F.col("r.k") <= F.col("total")).select("row", "doc_id", "start", "r.k", "r.run")
+    run = lambda i, k: F.struct(i.alias("start"), F.lit(k).alias("k"), F.array_join(F.slice("words", i + 1, k), " ").alias("run"))
+    runs = F.flatten(F.transform(starts, lambda i: F.array(*[run(i, k) for k in sizes])))
+    # sizes are taken before the lists are dealt out: beside an explode they would keep the whole list in every row
+    probe = rows.select("row", "doc_id", F.size("words").alias("total"), runs.alias("runs")).select("row", "doc_id", "total", F.explode("runs").alias("r"))
+    probe = probe.where(F.col("r.start") + F.col("r.k") <= F.col("total")).select("row", "doc_id", "r.start", "r.k", "r.run")
     wanted = items.select("k", "run").distinct()
     found = probe.join(broadcast_if(wanted, MOST_SHINGLES_SENT), ["k", "run"], "left_semi")
     first = found.groupBy("row", "doc_id", "k", "run").agg(F.min("start").alias("start"))
@@ -118,14 +119,16 @@ def long_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, sim
     items = checkpoint(item_table(benchmark))
     vocabulary = checkpoint(items.select(F.explode("shingles").alias("h"), "n").groupBy("h").agg(F.collect_set("n").alias("sizes")))
     keyed = suspects(docs, items, vocabulary, doc_id, text, similarity).select("row", "doc_id", shingle_hashes("words").alias("s"))
-    keyed = keyed.select("row", "doc_id", F.size("s").alias("total"), F.posexplode("s").alias("pos", "h"))
-    found = keyed.join(broadcast_if(vocabulary, MOST_SHINGLES_SENT), "h")
-    # the hits of one text, at most as many as it has words
-    here = F.array_sort(F.collect_set(F.struct("pos", "h", "sizes"))).alias("found")
-    rows = checkpoint(found.groupBy("row", "doc_id", "total").agg(here))
-    starts = rows.select("*", F.explode("found").alias("f")).select("*", F.explode("f.sizes").alias("n"), F.col("f.pos").alias("start"))
-    inside = F.filter("found", lambda x: (x.pos >= F.col("start")) & (x.pos < F.col("start") + F.col("n")))
-    windows = starts.withColumn("held", F.transform(inside, lambda x: x.h)).where(F.size("held") >= F.col("n") * F.lit(similarity))
+    keyed = keyed.select("row", "doc_id", F.size("s").alias("total"), "s").select("row", "doc_id", "total", F.posexplode("s").alias("pos", "h"))
+    sent = broadcast_if(vocabulary, MOST_SHINGLES_SENT)
+    # a text's shingles stay rows, so no task gathers a text, however many of its shingles are the benchmark's
+    found = keyed.join(sent.select("h"), "h", "left_semi").select("row", "doc_id", "total", "pos", "h").distinct()
+    longest, every = items.agg(F.max("n"), F.sum("n")).first()
+    ahead = Window.partitionBy("row", "doc_id", "total").orderBy("pos").rangeBetween(0, (longest or 1) - 1)
+    near = found.withColumn("near", F.collect_list(F.struct("pos", "h")).over(ahead))
+    held = lambda n: F.transform(F.filter("near", lambda x: x.pos < F.col("pos") + n), lambda x: x.h)
+    full = F.filter(F.transform("sizes", lambda n: F.struct(n.alias("n"), held(n).alias("held"))), lambda w: F.size(w.held) >= w.n * F.lit(similarity))
+    windows = near.join(sent, "h").select("row", "doc_id", "total", F.col("pos").alias("start"), F.explode(full).alias("w")).select("*", "w.n", "w.held")
     windows = checkpoint(windows.select("row", "doc_id", "start", "n", F.least("n", F.col("total") - F.col("start")).alias("size"), "held", simhash("held").alias("bits")))
 
     numbers = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
@@ -141,7 +144,8 @@ def long_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, sim
     met = met.where(F.bit_count(F.col("bits").bitwiseXOR(F.col("item_bits"))) <= RADIUS).select("row", "start", "n", "item_id").distinct()
 
     pairs = split_join(met, windows.select("row", "doc_id", "start", "n", "size", "held").dropDuplicates(["row", "start", "n"]), ["row", "start", "n"])
-    pairs = pairs.join(broadcast_if(items.select("item_id", "n", "shingles"), MOST_SHINGLES_SENT), ["item_id", "n"])
+    lists = items.select("item_id", "n", "shingles")
+    pairs = pairs.join(F.broadcast(lists) if (every or 0) <= MOST_SHINGLES_SENT else lists, ["item_id", "n"])
     lesser = F.expr(
         "aggregate(array_intersect(held, shingles), 0, (acc, x) -> acc + least(size(filter(held, h -> h = x)), size(filter(shingles, h -> h = x))))"
     )

@@ -7,8 +7,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seqlytics.llm import components, decontaminate, fingerprints, mixing, near_dup, repeats, secrets, sharding, token_counts, toxicity, url_filter
+from seqlytics.session import checkpoint
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOC = "doc_id long, text string"
@@ -385,3 +387,29 @@ def test_toxicity(spark):
     assert [r.score for r in toxicity.score(docs, one).collect()] == pytest.approx([1 / (1 + np.exp(-one.bias))] * docs.count())
     assert toxicity.score(docs.limit(0), model).count() == 0
 
+
+def test_a_text_of_passages_is_never_gathered(spark, monkeypatch):
+    """However many of a text's shingles are the benchmark's, no row holds more of them than the longest item has, and no text is repeated for its places."""
+    rng = random.Random(16)
+    bench = [(i, " ".join(words(rng, n, 10**6))) for i, n in enumerate([20, 30, 30])]
+    rows = [(i, " ".join(rng.choice(bench)[1] for _ in range(20))) for i in range(3)] + [(3, " ".join([bench[0][1]] * 12)), (None, bench[1][1]), (3, "own words")]
+    docs, items = frame(spark, [*rows, rows[0]]), frame(spark, bench, "item_id long, text string")
+    longest, plans = [], []
+
+    def generated(df):
+        """The columns that each explode keeps beside what it deals out."""
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        return [x.rsplit(", false, ", 1)[0].rsplit("[", 1)[1] for x in plan.splitlines() if re.search(r"Generate (pos)?explode", x)]
+
+    def seen(df):
+        plans.append(df)
+        lists = [F.max(F.size(c)) for c, kind in df.dtypes if kind.startswith("array") and c != "sizes"]
+        longest.extend(df.agg(*lists).first() if lists else [])
+        return checkpoint(df)
+
+    monkeypatch.setattr(decontaminate, "checkpoint", seen)
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.hits(docs, items).collect()}
+    assert got == leaks_by_hand(rows, bench) and got[3, 0] == got[None, 1] == 1
+    assert max(x for x in longest if x) == 26
+    kept = [generated(df) for df in plans] + [generated(decontaminate.short_hits(docs, frame(spark, [(1, "own words")], "item_id long, text string")))]
+    assert sum(map(len, kept)) > 3 and not any(re.search(r"\b(words|s|near|found|runs)#", x) for x in itertools.chain(*kept))
